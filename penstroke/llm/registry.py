@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints
+from . import chat, fingerprints, packing
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op6_packing": packing.op6_packing,
         "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
