@@ -45,25 +45,21 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     nodes at ever smaller neighbours, until every node points at its component's smallest one. A step
     groups by node with map-side minima only, so no neighbour list is ever gathered into one task.
     """
-    def minima(both: DataFrame) -> DataFrame:
-        return both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-
     current = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
     for _ in range(rounds):
-        # large star: neighbours above u move to the smallest of u's neighbourhood
+        seen = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if seen == before or not seen[0]:
+            break
+        before = seen
+        # large star: u's larger neighbours move to the smallest of u and its neighbours
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = materialize(minima(both), "minima")
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "minima")
         large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # small star: u and its smaller neighbours move to the smallest of these
         down = materialize(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "down")
-        moved = large.select(F.col("a").alias("u"), F.col("b").alias("v")).join(down, "u")
-        small = materialize(
-            moved.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "small"
-        )
-        same = small.exceptAll(current).isEmpty() and current.exceptAll(small).isEmpty()
-        current = small
-        if same:
-            break
+        moved = large.select(F.col("a").alias("u"), F.col("b").alias("v")).join(down, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        current = materialize(moved.unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "small")
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
