@@ -20,6 +20,8 @@ from .common import materialize, table, text_of
 
 
 SAMPLES = 32
+#: Stands for a missing doc_id; no doc_id may have this value.
+NO_ID = -(1 << 63)
 def _draws(samples: int) -> list[Column]:
     """For each sample r and c of Gamma(2, 1), as sums of two exponentials, and b, from the term's hashes."""
     out = []
@@ -108,23 +110,24 @@ def neighbours(docs: DataFrame) -> DataFrame:
 def edited(docs: DataFrame) -> DataFrame:
     """Each row with its edited text and next_id: the last half of its text replaced by the first as much of the next one's."""
     near = materialize(neighbours(docs), "neighbours")
-    own = docs.select("doc_id", text_of().alias("text"))
-    heads = own.withColumnRenamed("doc_id", "next_id").join(near, "next_id").select("doc_id", "next_id", F.left("text", F.col("need")).alias("head"))
-    heads = heads.groupBy("doc_id").agg(F.min(F.struct("head", "next_id")).alias("h")).select("doc_id", "h.head", "h.next_id")
+    # a key that is never null keeps both joins below on one and the same exchange of the texts
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("key"), text_of().alias("text"))
+    heads = own.join(near.select(F.col("next_id").alias("key"), "doc_id", "need"), "key").select(F.col("doc_id"), F.col("key").alias("next_id"), F.left("text", F.col("need")).alias("head"))
+    heads = heads.groupBy(F.col("doc_id").alias("key")).agg(F.min(F.struct("head", "next_id")).alias("h")).select("key", "h.head", "h.next_id")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    both = own.join(heads, "doc_id", "left").withColumn("n_chars", n.cast("long"))
+    both = own.join(heads, "key", "left").withColumn("n_chars", n.cast("long"))
     return both.withColumn("edited", F.concat(F.left("text", n - half), F.left(F.coalesce("head", F.lit("")), half))).drop("head")
 
 
 def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """The rows that op10 returns."""
     rows = edited(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["doc_id", "row", "next_id", "n_chars", "edited_sha256"]
+    keys = ["key", "row", "next_id", "n_chars", "edited_sha256"]
     prints = materialize(fingerprint(rows, keys, {"fingerprint": "text", "edited_fingerprint": "edited"}, samples), "fingerprints")
-    following = prints.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
+    following = prints.groupBy(F.col("key").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
     out = prints.join(following, "next_id", "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    return out.select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, packing
+from . import chat, fingerprints, neardup, packing, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op3_near_duplicates": neardup.op3_near_duplicates,
         "op6_packing": packing.op6_packing,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
