@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, neardup, packing, toxicity
+from . import chat, fingerprints, neardup, packing, secrets, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op2_warc": warc.op2_warc,
         "op3_near_duplicates": neardup.op3_near_duplicates,
+        "op4_secrets": secrets.op4_secrets,
         "op6_packing": packing.op6_packing,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_fingerprints": fingerprints.op10_fingerprints,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.OP1_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op2_warc": warc.OP2_SQL}

@@ -32,6 +32,7 @@ from .common import table, text_of
 #: The most labelled documents that are learnt from, the first by a hash of doc_id.
 SAMPLE = 6000
 WINDOW, WINDOWS = 64, 12000
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _ENDS = re.compile(r"^\W+|\W+$")
 _WORDS = re.compile(r"\S+")
 
@@ -204,7 +205,7 @@ def held_out(doc_id: Column) -> Column:
 
 def scored(docs: DataFrame, model: Field, batch: int = 2048) -> DataFrame:
     """The rows with score (double) and spans (offending words' code points) added."""
-    schema = T.StructType(list(docs.schema.fields)).add("score", "double").add("spans", "array<struct<start:int,end:int>>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
     at, names = docs.columns.index("text"), [*docs.columns, "score", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
