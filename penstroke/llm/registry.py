@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, neardup, packing, secrets, toxicity, warc
+from . import chat, fingerprints, idfiles, neardup, packing, secrets, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_near_duplicates": neardup.op3_near_duplicates,
         "op4_secrets": secrets.op4_secrets,
         "op6_packing": packing.op6_packing,
+        "op7_idfiles": idfiles.op7_idfiles,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_fingerprints": fingerprints.op10_fingerprints,
     }
