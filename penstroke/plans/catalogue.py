@@ -1,6 +1,525 @@
-"""Named queries over the tables, and the SQL that must give the same rows."""
+"""Named queries over the tables, and the SQL that must give the same rows.
+
+Authors are the sources src0 to src9, distractors all other sources; paragraphs are the lines of documents.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import constants as C
+from ..functions.scalars import LEXICAL, contraction, ends_terminal, lexical_tokens, possessive, probit_sql
+from ..functions.tables import materialize, read
+from ..operators import corpus, evaluate, exemplars, lint, preserve, style
+
+AUTHORS = [f"src{i}" for i in range(10)]
+RULES = lint.default_rules()
+
+
+def _r(x: str | Column, n: int = 9) -> Column:
+    return F.round(F.col(x) if isinstance(x, str) else x, n)
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.from_documents(read(spark, sf, "documents"))
+
+
+def _admitted(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.admitted(_docs(spark, sf))
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    e = corpus.eligible(_admitted(spark, sf)).select("doc_id", "source", "split", "text")
+    return corpus.lines(e).withColumn("class", F.when(F.col("source").isin(AUTHORS), "author").otherwise("distractor"))
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return style.vectors(_segments(spark, sf), floor=C.MIN_LEXICAL).drop("line")
+
+
+def _long(spark: SparkSession, sf: str) -> DataFrame:
+    return style.long_form(_vectors(spark, sf))
+
+
+def _fit(long: DataFrame) -> DataFrame:
+    return style.profile(long.where("class = 'author' and split = 'train'"))
+
+
+def _standard(spark: SparkSession, sf: str) -> DataFrame:
+    long = materialize(_long(spark, sf), "features")
+    return style.standardized(long, _fit(long))
+
+
+def _deviations(spark: SparkSession, sf: str, split: str = "test") -> DataFrame:
+    z = materialize(_standard(spark, sf), "standard")
+    reference = z.where("class = 'author' and split = 'calibrate'")
+    return style.deviations(z.where(f"class = 'distractor' or split = '{split}'"), reference)
+
+
+def _distances(spark: SparkSession, sf: str, split: str = "test") -> DataFrame:
+    d = style.distances(_deviations(spark, sf, split), ["class", "doc_id", "seg"])
+    return materialize(d.withColumn("document", F.col("doc_id")).withColumn("distance", _r("distance")), "distances")
+
+
+def _evaluation(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    test, held = _distances(spark, sf), _distances(spark, sf, "calibrate")
+    limits = evaluate.thresholds(held)
+    row = limits.first()
+    clusters = {r[0]: r[1] for r in test.where("distance is not null").groupBy("class").agg(F.countDistinct("document")).collect()}
+    draws = materialize(evaluate.resampled(test, row["low"], row["high"]), "draws")
+    return {
+        "limits": limits,
+        "intervals": evaluate.intervals(materialize(evaluate.resampled(held), "draws")),
+        "bounds": evaluate.error_bounds(draws, clusters.get("author", 0), clusters.get("distractor", 0)),
+        "auc": evaluate.auc_bound(draws, min(clusters.get("author", 0), clusters.get("distractor", 0))),
+    }
+
+
+def doc_admission(spark, sf):
+    files = _docs(spark, sf).select("path", F.col("text").cast("binary").alias("content"))
+    return corpus.admit_bytes(files).select("path", "valid", "had_bom", F.octet_length("text").alias("bytes"), "content_hash")
+
+
+def dedupe_first_wins(spark, sf):
+    return corpus.first_wins(corpus.hashed(_docs(spark, sf))).select("path", "content_hash", "duplicate_of")
+
+
+def split_assignment(spark, sf):
+    return _admitted(spark, sf).select("doc_id", "admission", "split")
+
+
+def corpus_summary(spark, sf):
+    return corpus.summary(_admitted(spark, sf))
+
+
+def overlap_screen(spark, sf):
+    d = corpus.hashed(_docs(spark, sf))
+    return corpus.overlap(d.where(F.col("source").isin(AUTHORS)), d.where(~F.col("source").isin(AUTHORS)))
+
+
+def _passages(spark, sf):
+    return read(spark, sf, "benchmark").select(F.explode(F.split("text", "\n")).alias("text")).where("length(trim(text)) >= 20")
+
+
+def tool_output_screen(spark, sf):
+    return corpus.published_screen(_docs(spark, sf), _passages(spark, sf))
+
+
+def check_statuses(spark, sf):
+    flagged = tool_output_screen(spark, sf).where("tool_output").limit(1).count()
+    return corpus.checks(spark, True, flagged)
+
+
+def already_rewritten_flags(spark, sf):
+    published = _passages(spark, sf).select(F.sha2(F.trim("text"), 256).alias("h"))
+    asked = corpus.lines(_docs(spark, sf)).select(F.sha2(F.trim("line"), 256).alias("h")).distinct()
+    return corpus.already_rewritten(asked, published)
+
+
+def token_counts(spark, sf):
+    return corpus.all_tokens(_docs(spark, sf))
+
+
+def contraction_flags(spark, sf):
+    t = _docs(spark, sf).select(F.explode(lexical_tokens(F.col("text"))).alias("t")).where("t rlike '[\\'’]'")
+    return t.groupBy("t").agg(F.count("*").alias("n")).select("t", "n", contraction(F.col("t")).alias("contraction"), possessive(F.col("t")).alias("possessive"))
+
+
+def sentential_lines(spark, sf):
+    s = corpus.lines(_docs(spark, sf)).withColumn("words", F.size(lexical_tokens(F.col("line")))).withColumn("terminal", ends_terminal(F.col("line")))
+    return s.select("doc_id", "seg", "words", "terminal", ((F.col("terminal") & (F.col("words") >= C.MIN_SENTENTIAL)) | (F.col("words") >= C.MIN_UNPUNCTUATED)).alias("sentential"))
+
+
+def feature_vectors(spark, sf):
+    return _vectors(spark, sf).select("doc_id", "seg", "lexical", *[_r(f).alias(f) for f in C.FEATURES])
+
+
+def sampling_variance(spark, sf):
+    return _vectors(spark, sf).select("doc_id", "seg", *[_r(f"sv_{f}").alias(f"sv_{f}") for f in C.FEATURES])
+
+
+def paragraph_floor_partition(spark, sf):
+    v = style.vectors(_segments(spark, sf)).withColumn("kept", F.col("lexical") >= C.MIN_LEXICAL)
+    return v.groupBy("split", "class").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("below_floor"))
+
+
+def profile_stats(spark, sf):
+    return _fit(_long(spark, sf)).select("feature", "n", "undefined", _r("mean").alias("mean"), _r("variance").alias("variance"))
+
+
+def profile_by_source(spark, sf):
+    s = _long(spark, sf).groupBy("source", "feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("variance"))
+    return s.select("source", "feature", "n", _r("mean").alias("mean"), _r("variance").alias("variance"))
+
+
+def profile_stats_mad(spark, sf):
+    long = materialize(_long(spark, sf).where("class = 'author' and split = 'train'"), "train")
+    return style.profile(style.mad_trimmed(long, 3.0)).select("feature", "n", _r("mean").alias("mean"), _r("variance").alias("variance"))
+
+
+def standardized_values(spark, sf):
+    return _standard(spark, sf).where("class = 'author' and split <> 'train'").select("doc_id", "seg", "feature", _r("z").alias("z"), "reason")
+
+
+def reference_sizes_caps(spark, sf):
+    z = _standard(spark, sf).where("class = 'author' and split = 'calibrate'")
+    return style.reference_sizes(z).select("feature", "size", "available", _r("cap").alias("cap"))
+
+
+def rank_transform(spark, sf):
+    return _deviations(spark, sf).where("class = 'author'").select("doc_id", "seg", "feature", _r("u").alias("u"), _r("dev").alias("dev"))
+
+
+def distance_scores(spark, sf):
+    return _distances(spark, sf).select("class", "doc_id", "seg", "available", "met", "distance")
+
+
+def feature_deltas(spark, sf):
+    return style.deltas(_deviations(spark, sf)).groupBy("class", "feature", "direction").agg(F.count("*").alias("n"))
+
+
+def tier_plan(spark, sf):
+    z = _standard(spark, sf).where("class = 'author' and split = 'calibrate'")
+    s = style.reference_sizes(z).agg(F.count("*").alias("manifest"), F.count_if("available").alias("available"))
+    need = F.floor(F.col("manifest") / 2) + 1
+    return s.select("manifest", "available", need.cast("long").alias("required"), (F.col("available") >= need).alias("met"))
+
+
+def thresholds(spark, sf):
+    return evaluate.thresholds(_distances(spark, sf, "calibrate"))
+
+
+def band_occupancy(spark, sf):
+    return evaluate.occupancy(evaluate.banded(_distances(spark, sf), thresholds(spark, sf)))
+
+
+def achieved_rates(spark, sf):
+    d, t = _distances(spark, sf, "calibrate"), thresholds(spark, sf)
+    j = d.where("distance is not null").crossJoin(F.broadcast(t.select("low", "high")))  # one row
+    a, b = F.col("class") == "author", F.col("class") == "distractor"
+    return j.agg(_r(F.avg(F.when(a, (F.col("distance") >= F.col("low")).cast("double")))).alias("author_rate"), _r(F.avg(F.when(b, (F.col("distance") <= F.col("high")).cast("double")))).alias("distractor_rate"))
+
+
+def auc_midrank(spark, sf):
+    return evaluate.auc(_distances(spark, sf)).select(_r("auc").alias("auc"), "positives", "negatives")
+
+
+def quality_auc(spark, sf):
+    lab = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return evaluate.auc(lab, "n_chars", "quality = 1").select(_r("auc").alias("auc"), "positives", "negatives")
+
+
+def bootstrap_intervals(spark, sf):
+    return _evaluation(spark, sf)["intervals"]
+
+
+def band_error_bounds(spark, sf):
+    return _evaluation(spark, sf)["bounds"]
+
+
+def auc_lower_bound(spark, sf):
+    return _evaluation(spark, sf)["auc"]
+
+
+def release_verdict(spark, sf):
+    e = _evaluation(spark, sf)
+    return evaluate.release(e["limits"], e["bounds"], e["auc"])
+
+
+def _candidates(spark, sf):
+    long = _long(spark, sf).where("source = 'src0' and split = 'train'")
+    return materialize(long.withColumn("id", F.col("doc_id") * 100000 + F.col("seg")).select("id", "feature", "value"), "candidates")
+
+
+def self_midrank(spark, sf):
+    return exemplars.self_ranked(_candidates(spark, sf)).select("id", "feature", _r("u").alias("u"), _r("q").alias("q"))
+
+
+def exemplar_density(spark, sf):
+    return exemplars.densities(exemplars.self_ranked(_candidates(spark, sf))).select("id", _r("density", 6).alias("density"))
+
+
+def exemplar_eligible(spark, sf):
+    return exemplars.eligible(exemplar_density(spark, sf))
+
+
+def exemplar_medoids(spark, sf):
+    ranked = materialize(exemplars.self_ranked(_candidates(spark, sf)), "ranked")
+    chosen = exemplars.eligible(exemplars.densities(ranked)).withColumn("stratum", F.lit("paragraph|"))
+    return spark.createDataFrame(exemplars.medoids(ranked, materialize(chosen, "chosen")), "stratum string, id long, distance_sum double")
+
+
+def stratum_order(spark, sf):
+    s = _segments(spark, sf).where("class = 'author'").select(F.concat_ws("|", F.lit("paragraph"), "source").alias("stratum"))
+    return exemplars.strata(s)
+
+
+def lint_findings(spark, sf):
+    return lint.findings(_docs(spark, sf), RULES)
+
+
+def lint_counts(spark, sf):
+    pages = read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.coalesce("html", F.lit("")).alias("text"))
+    return lint.counts(_docs(spark, sf).select("doc_id", "text").unionByName(pages), RULES).groupBy("rule").agg(F.sum("n").alias("findings"), F.count("*").alias("texts"))
+
+
+#: Derived rules that the invented prose does match.
+DERIVED = [lint.Rule("doubled-article", "error", "(the the|la la|de de|die die)", "derived"), lint.Rule("pipe-table", "warn", " \\| ", "derived", "source-contamination"), lint.Rule("exclaimed", "info", "!!", "derived", "formatting")]
+
+
+def lint_severity_vector(spark, sf):
+    return lint.severity_vector(lint.findings(_docs(spark, sf), DERIVED))
+
+
+def lint_overlap_filtered(spark, sf):
+    return lint.without_overlaps(lint.findings(_docs(spark, sf), DERIVED))
+
+
+def _pairs(spark, sf):
+    c = read(spark, sf, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    old, new = (c.where(f"role = '{r}'") for r in ("user", "assistant"))
+    j = old.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("current")).join(new.select("conv_id", "turn", F.col("text").alias("candidate")), ["conv_id", "turn"])
+    return j.select(F.concat_ws(":", "conv_id", "turn").alias("pair_id"), "current", "candidate")
+
+
+def preserve_differences(spark, sf):
+    return preserve.differences(_pairs(spark, sf))
+
+
+def audit_identifiers(spark, sf):
+    d = preserve.differences(_pairs(spark, sf)).select("class", "direction", "item").distinct()
+    return d.select("class", "direction", "item", preserve.audit_id(F.col("class"), F.col("direction"), F.col("item")).alias("identifier"))
+
+
+def script_counts(spark, sf):
+    return preserve.script_counts(_docs(spark, sf), "doc_id", "text")
+
+
+def scripts_introduced(spark, sf):
+    p = _pairs(spark, sf)
+    return preserve.introduced(preserve.script_counts(p, "pair_id", "current"), preserve.script_counts(p, "pair_id", "candidate"), "pair_id")
+
+
+def scripts_overgrown(spark, sf):
+    p = _pairs(spark, sf)
+    return preserve.overgrown(preserve.script_counts(p, "pair_id", "current"), preserve.script_counts(p, "pair_id", "candidate"), "pair_id")
+
+
+def expansion_guard(spark, sf):
+    return preserve.judged(_pairs(spark, sf)).select("pair_id", "n_current", "n_candidate", (F.col("n_candidate") > C.EXPANSION * F.col("n_current")).alias("expanded"))
+
+
+def rejection_codes(spark, sf):
+    return preserve.judged(_pairs(spark, sf)).select("pair_id", "code")
+
+
+def accepted_attempts(spark, sf):
+    d = _distances(spark, sf).where("distance is not null").select("doc_id", "seg", "distance")
+    first = d.where("seg = 0").select("doc_id", F.col("distance").alias("start"))
+    tries = d.where("seg between 1 and 4").join(first, "doc_id").select(F.col("doc_id").alias("target"), (F.col("seg") - 1).alias("index"), "start", "distance", F.lit("").alias("code"))
+    return preserve.accepted(tries)
+
+
+def urls_extracted(spark, sf):
+    p = read(spark, sf, "pages").select("page_id", F.explode(preserve.urls(F.coalesce("html", F.lit("")))).alias("url"))
+    return p.groupBy("page_id", "url").agg(F.count("*").alias("n"))
+
+
+def quotes_extracted(spark, sf):
+    p = read(spark, sf, "pages").select("page_id", F.explode(preserve.quotes(F.coalesce("html", F.lit("")))).alias("quote"))
+    return p.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.char_length("quote")).alias("chars"))
+
+
+def interval_union(spark, sf):
+    """Spans [ts, ts + value seconds) of a user's events, merged where they overlap; touching ones stay apart."""
+    e = read(spark, sf, "events").where("user_id is not null and ts is not null and value > 0").select("user_id", F.unix_micros("ts").alias("s"), (F.unix_micros("ts") + (F.col("value") * 1e6).cast("long")).alias("e"))
+    w = Window.partitionBy("user_id").orderBy("s", "e")
+    m = e.withColumn("upto", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("n", F.row_number().over(w))
+    m = m.withColumn("island", F.sum(F.when(F.col("upto").isNull() | (F.col("s") >= F.col("upto")), 1).otherwise(0)).over(w))
+    return m.groupBy("user_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("parts")).select("user_id", "s", "e", "parts")
+
+
+def content_ids(spark, sf):
+    from ..functions.scalars import content_id
+
+    h = corpus.hashed(_docs(spark, sf))
+    return h.select("path", content_id(F.lit("snapshot"), F.col("path")).alias("document_id"), content_id(content_id(F.lit("snapshot"), F.col("path")), F.lit("0")).alias("node_id"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        doc_admission, dedupe_first_wins, split_assignment, corpus_summary, check_statuses, overlap_screen, tool_output_screen, already_rewritten_flags, token_counts, contraction_flags, sentential_lines,
+        feature_vectors, sampling_variance, paragraph_floor_partition, profile_stats, profile_by_source, profile_stats_mad, standardized_values, reference_sizes_caps, rank_transform, distance_scores,
+        feature_deltas, tier_plan, thresholds, band_occupancy, achieved_rates, auc_midrank, quality_auc, bootstrap_intervals, band_error_bounds, auc_lower_bound, release_verdict, self_midrank,
+        exemplar_density, exemplar_eligible, exemplar_medoids, stratum_order, lint_findings, lint_counts, lint_severity_vector, lint_overlap_filtered, preserve_differences, audit_identifiers, script_counts,
+        scripts_introduced, scripts_overgrown, expansion_guard, rejection_codes, accepted_attempts, urls_extracted, quotes_extracted, interval_union, content_ids,
+    )
+}
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _lex(x: str) -> str:
+    return f"list_filter(regexp_extract_all({x}, {_q(LEXICAL)}), lambda t: NOT regexp_matches(t, '^[0-9]+$'))"
+
+
+def _in(words) -> str:
+    return "[" + ", ".join(map(_q, words)) + "]"
+
+
+_AUTHORS = "(" + ", ".join(map(_q, AUTHORS)) + ")"
+_DOCS = "d AS (SELECT doc_id, lpad(doc_id::VARCHAR, 12, '0') AS path, coalesce(text, '') AS text, source, sha256(coalesce(text, '')) AS hash FROM documents)"
+_ADMITTED = f"""{_DOCS}, w AS (SELECT *, min(path) OVER (PARTITION BY hash) AS winner, len({_lex('text')}) AS lexical FROM d),
+adm AS (SELECT *, CASE WHEN path <> winner THEN 'rejected-duplicate' WHEN lexical < 1 THEN 'rejected-too-short' ELSE 'eligible' END AS admission,
+  ('0x' || substr(sha256('17:content-sha256-v112:penstroke-v164:' || hash), 1, 16))::UBIGINT % 10 AS bucket FROM w),
+a AS (SELECT *, CASE WHEN admission <> 'eligible' THEN '' WHEN bucket < 8 THEN 'train' WHEN bucket = 8 THEN 'calibrate' ELSE 'test' END AS split FROM adm)"""
+_SEGMENTS = f"""{_ADMITTED}, sp AS (SELECT doc_id, source, split, string_split(text, chr(10)) AS ls FROM a WHERE admission = 'eligible'),
+s AS (SELECT doc_id, source, split, i - 1 AS seg, ls[i] AS line, CASE WHEN source IN {_AUTHORS} THEN 'author' ELSE 'distractor' END AS class FROM sp, unnest(generate_series(1, len(ls))) AS g(i))"""
+_RAW = f"""{_SEGMENTS}, tk AS (SELECT *, {_lex('line')} AS t FROM s),
+raw AS (SELECT *, len(t) AS lexical, CASE WHEN len(t) > 0 THEN len(t)::DOUBLE END AS n, coalesce(list_sum(list_transform(t, lambda x: length(x))), 0)::DOUBLE AS chars,
+  coalesce(list_sum(list_transform(t, lambda x: length(x) * length(x))), 0)::DOUBLE AS squares,
+  length(regexp_replace(line, '[^,]', '', 'g')) AS n0, length(regexp_replace(line, '[^;]', '', 'g')) AS n1, length(regexp_replace(line, '[^:]', '', 'g')) AS n2,
+  len(list_filter(t, lambda x: list_contains({_in(C.FUNCTION_WORDS)}, lower(x)))) AS fw, len(list_filter(t, lambda x: list_contains({_in(C.CLAUSE_MARKERS)}, lower(x)))) AS cm FROM tk)"""
+_VECTORS = f"""{_RAW}, v AS (SELECT doc_id, source, split, class, seg, lexical, chars / n AS word_length_mean,
+  CASE WHEN n >= 2 THEN greatest((squares - chars * (chars / n)) / (n - 1), 0) / n END AS sv_word_length_mean, n0 / n AS comma_density, n0 / n / n AS sv_comma_density,
+  n1 / n AS semicolon_density, n1 / n / n AS sv_semicolon_density, n2 / n AS colon_density, n2 / n / n AS sv_colon_density,
+  fw / n AS function_word_rate, fw / n * (1 - fw / n) / n AS sv_function_word_rate, cm / n AS clause_marker_rate, cm / n * (1 - cm / n) / n AS sv_clause_marker_rate
+  FROM raw WHERE lexical >= {C.MIN_LEXICAL})"""
+_LONG = f"{_VECTORS}, l AS (" + " UNION ALL ".join(f"SELECT doc_id, source, split, class, seg, '{f}' AS feature, {f} AS value, sv_{f} AS sv FROM v" for f in C.FEATURES) + ")"
+_STATS = f"""st AS (SELECT feature, count(value) AS n, sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END)::BIGINT AS undefined, CASE WHEN count(value) >= {C.MIN_OBSERVATIONS} THEN avg(value) END AS mean,
+  CASE WHEN count(value) >= {C.MIN_OBSERVATIONS} THEN var_samp(value) END AS variance FROM l WHERE class = 'author' AND split = 'train' GROUP BY feature)"""
+_Z = f"""{_LONG}, {_STATS}, r AS (SELECT l.*, CASE WHEN value IS NULL THEN 'feature-undefined' WHEN sv IS NULL THEN 'sampling-variance-undefined' WHEN mean IS NULL THEN 'profile-undefined'
+  WHEN variance IS NULL THEN 'profile-variance-undefined' WHEN variance + sv <= 0 THEN 'zero-variance' END AS reason, mean, variance FROM l JOIN st USING (feature)),
+z AS (SELECT *, CASE WHEN reason IS NULL THEN (value - mean) / sqrt(variance + sv) END AS z FROM r)"""
+_REF = "ref AS (SELECT feature, z FROM z WHERE class = 'author' AND split = 'calibrate' AND z IS NOT NULL), rs AS (SELECT feature, count(*) AS size FROM ref GROUP BY feature)"
+
+
+def _dev(split: str) -> str:
+    """Ranks by windows over the union of queries and reference."""
+    return f"""{_Z}, {_REF}, un AS (SELECT doc_id, seg, class, feature, z, reason, 0 AS w FROM z WHERE class = 'distractor' OR split = '{split}' UNION ALL SELECT NULL, NULL, NULL, feature, z, NULL, 1 FROM ref),
+  rk AS (SELECT *, sum(w) OVER (PARTITION BY feature ORDER BY z RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(w) OVER (PARTITION BY feature, z) AS ties FROM un WHERE z IS NOT NULL),
+  du AS (SELECT doc_id, seg, class, feature, CASE WHEN size >= {C.MIN_REFERENCE} THEN (upto - ties + ties / 2e0 + 0.5e0) / (size + 1) END AS u FROM rk LEFT JOIN rs USING (feature) WHERE w = 0
+    UNION ALL SELECT doc_id, seg, class, feature, NULL FROM un WHERE z IS NULL),
+  dv AS (SELECT *, CASE WHEN u IS NOT NULL THEN {probit_sql('u')} END AS dev FROM du)"""
+
+
+def _dist(split: str) -> str:
+    return f"{_dev(split)}, ds AS (SELECT class, doc_id, seg, count(dev) AS available, count(dev) >= {C.MIN_FEATURES} AS met, CASE WHEN count(dev) >= {C.MIN_FEATURES} THEN round(avg(abs(dev)), 9) END AS distance FROM dv GROUP BY class, doc_id, seg)"
+
+
+_LIMITS = f"""x AS (SELECT class, distance, count(*) OVER (PARTITION BY class) AS size, count(*) OVER (PARTITION BY class ORDER BY distance RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+  count(*) OVER (PARTITION BY class ORDER BY distance DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above FROM ds WHERE distance IS NOT NULL),
+lm0 AS (SELECT min(CASE WHEN class = 'author' AND above / size::DOUBLE <= {C.AUTHOR_TARGET} THEN distance END) AS low, max(CASE WHEN class = 'distractor' AND upto / size::DOUBLE <= {C.DISTRACTOR_TARGET} THEN distance END) AS high,
+  coalesce(max(CASE WHEN class = 'author' THEN size END), 0) AS authors, coalesce(max(CASE WHEN class = 'distractor' THEN size END), 0) AS distractors FROM x),
+lm AS (SELECT CASE WHEN authors >= 20 AND distractors >= 10 THEN low END AS low, CASE WHEN authors >= 20 AND distractors >= 10 THEN high END AS high, authors, distractors FROM lm0)"""
+_PASSAGES = "ps AS (SELECT DISTINCT sha256(trim(l)) AS h FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM benchmark) WHERE length(trim(l)) >= 20)"
+_DLINES = "dl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)"
+_PAIRS = """c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT o.conv_id || ':' || n.turn AS pair_id, o.text AS current, n.text AS candidate FROM c o JOIN c n ON o.conv_id = n.conv_id AND n.turn = o.turn + 1 WHERE o.role = 'user' AND n.role = 'assistant')"""
+_CAND = f"{_LONG}, k AS (SELECT doc_id * 100000 + seg AS id, feature, value FROM l WHERE source = 'src0' AND split = 'train'), sr AS (SELECT id, feature, CASE WHEN value IS NOT NULL THEN (rank() OVER (PARTITION BY feature ORDER BY value) - 1 + count(*) OVER (PARTITION BY feature, value) / 2e0 + 0.5e0) / (count(value) OVER (PARTITION BY feature) + 1) END AS u FROM k)"
+_DENS = f"""{_CAND}, sq AS (SELECT *, {probit_sql('u')} AS q FROM sr), nn AS (SELECT count(DISTINCT id) AS n FROM k), kk AS (SELECT least(greatest(floor(sqrt(n)), 3), 15) AS k, n FROM nn),
+  pr AS (SELECT a.id AS a, b.id AS b, avg(abs(a.q - b.q)) AS dist FROM sq a JOIN sq b ON a.feature = b.feature AND a.id <> b.id WHERE a.q IS NOT NULL AND b.q IS NOT NULL GROUP BY a.id, b.id HAVING count(*) >= 3),
+  nr AS (SELECT a, dist, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS rn FROM pr), den AS (SELECT a AS id, round(avg(dist), 6) AS density FROM nr, kk WHERE rn <= k GROUP BY a HAVING count(*) >= max(k))"""
+
+
+def _script(x: str, s: str) -> str:
+    return f"len(regexp_extract_all({x}, '\\p{{{s}}}'))"
+
+
+def _scripts(name: str, source: str, key: str, text: str) -> str:
+    return f"{name} AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT {key}, '{s}' AS script, {_script(text, s)} AS letters FROM {source}" for s in preserve.SCRIPTS) + ") WHERE letters > 0)"
+
+
+def _items(name: str) -> str:
+    neg = _in(preserve._NEGATIONS)
+    from ..functions.scalars import NUMBER, QUOTE, URL
+
+    strip = "'[.,;:!?)\\]}\"''”’]+$'"
+    parts = {
+        "number": f"regexp_extract_all({name}, {_q(NUMBER)})",
+        "negation": f"list_filter(list_transform({_lex(name)}, lambda x: lower(x)), lambda x: list_contains({neg}, x))",
+        "url": f"list_filter(list_transform(regexp_extract_all({name}, {_q(URL)}), lambda x: regexp_replace(x, {strip}, '')), lambda x: x <> '')",
+        "quote": f"regexp_extract_all({name}, {_q(QUOTE)})",
+    }
+    return " UNION ALL ".join([f"SELECT pair_id, '{k}' AS class, unnest({v}) AS item FROM wp" for k, v in parts.items()] + [f"SELECT pair_id, 'entity', unnest(list_filter(list_transform({_lex(name)}, lambda x: lower(x)), lambda x: list_contains(watched, x))) FROM wp"])
+
+
+def _entities(name: str) -> str:
+    return f"list_transform(list_filter({_lex(name)}, lambda x: regexp_matches(x, '^\\p{{Lu}}') AND NOT list_contains({_in(C.FUNCTION_WORDS)}, lower(x))), lambda x: lower(x))"
+
+
+_DIFF = f"""{_PAIRS}, wp AS (SELECT *, list_concat({_entities('current')}, {_entities('candidate')}) AS watched FROM p),
+cur AS ({_items('current')}), new AS ({_items('candidate')}),
+nt AS (SELECT pair_id, class, item, sum(sign) AS net FROM (SELECT *, 1 AS sign FROM new UNION ALL SELECT *, -1 FROM cur) GROUP BY ALL HAVING sum(sign) <> 0),
+df AS (SELECT pair_id, class, item, CASE WHEN net > 0 THEN 'invented' ELSE 'lost' END AS direction, abs(net)::BIGINT AS n FROM nt)"""
+_SCR = f"{_scripts('so', 'p', 'pair_id', 'current')}, {_scripts('sn', 'p', 'pair_id', 'candidate')}"
+_OVER = f"""sh AS (SELECT n.pair_id, n.script, coalesce(o.letters, 0) AS ol, n.letters AS nl, coalesce(o.letters / o.t, 0) AS os, n.letters / n.t AS ns
+  FROM (SELECT *, sum(letters) OVER (PARTITION BY pair_id)::DOUBLE AS t FROM sn) n LEFT JOIN (SELECT *, sum(letters) OVER (PARTITION BY pair_id)::DOUBLE AS t FROM so) o USING (pair_id, script)),
+ov AS (SELECT pair_id, script, ol AS old_letters, nl AS new_letters FROM sh WHERE os < {C.SCRIPT_ESTABLISHED} AND ns > {C.SCRIPT_CEILING} AND ((nl > ol AND ns > os) OR ns >= {C.SCRIPT_ESTABLISHED}))"""
+
+
+def _framed(*parts: str) -> str:
+    return "sha256(" + " || ".join(f"strlen({p})::VARCHAR || ':' || {p}" for p in parts) + ")"
+
+
+_FLIST = ", ".join(f"round({f}, 9) AS {f}" for f in C.FEATURES)
+_SVLIST = ", ".join(f"round(sv_{f}, 9) AS sv_{f}" for f in C.FEATURES)
+_APO = "lower(replace(t, '’', ''''))"
+_SUFFIX = "(" + " OR ".join(f"ends_with({_APO}, {_q(x)})" for x in C.CONTRACTION_SUFFIXES) + ")"
+_HOST = f"list_contains({_in(C.S_HOSTS)}, regexp_replace({_APO}, '''s$', ''))"
+
+ORACLE: dict[str, str] = {
+    "doc_admission": f"WITH {_DOCS} SELECT path, true AS valid, starts_with(text, chr(65279)) AS had_bom, strlen(text) - CASE WHEN starts_with(text, chr(65279)) THEN 3 ELSE 0 END AS bytes, hash AS content_hash FROM d",
+    "dedupe_first_wins": f"WITH {_DOCS} SELECT path, hash AS content_hash, CASE WHEN path <> first_value(path) OVER w THEN first_value(path) OVER w END AS duplicate_of FROM d WINDOW w AS (PARTITION BY hash ORDER BY path)",
+    "split_assignment": f"WITH {_ADMITTED} SELECT doc_id, admission, split FROM a",
+    "corpus_summary": f"WITH {_ADMITTED} SELECT count(*) AS documents, count(*) FILTER (admission = 'eligible') AS eligible, count(*) FILTER (admission = 'rejected-duplicate') AS duplicates, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'calibrate') AS calibrate, count(*) FILTER (split = 'test') AS test, sum(lexical)::BIGINT AS lexical_tokens FROM a",
+    "check_statuses": f"WITH {_DOCS}, {_PASSAGES}, {_DLINES} SELECT unnest(['near-duplicate', 'language', 'contamination', 'source-control', 'overlap']) AS check_name, 'not-performed' AS state UNION ALL SELECT 'tool-output', CASE WHEN EXISTS (SELECT 1 FROM dl JOIN ps ON h = sha256(trim(line))) THEN 'failed' ELSE 'passed' END",
+    "overlap_screen": f"WITH {_DOCS} SELECT hash AS content_hash FROM d WHERE source IN {_AUTHORS} INTERSECT SELECT hash FROM d WHERE source NOT IN {_AUTHORS}",
+    "tool_output_screen": f"WITH {_DOCS}, {_PASSAGES}, {_DLINES} SELECT doc_id, bool_or(sha256(trim(line)) IN (SELECT h FROM ps)) AS tool_output FROM dl GROUP BY doc_id",
+    "already_rewritten_flags": f"WITH {_DOCS}, {_PASSAGES}, {_DLINES} SELECT DISTINCT sha256(trim(line)) AS h, sha256(trim(line)) IN (SELECT h FROM ps) AS produced FROM dl",
+    "token_counts": f"WITH {_DOCS} SELECT doc_id, len({_lex('text')}) AS lexical, len(regexp_extract_all(text, '[0-9]+')) AS digit_runs, len(regexp_extract_all(text, '[,;:.!?]')) AS punctuation, len(regexp_extract_all(text, '[\\p{{So}}\\p{{Sc}}]')) AS symbols FROM d",
+    "contraction_flags": f"WITH {_DOCS}, k AS (SELECT unnest({_lex('text')}) AS t FROM d) SELECT t, count(*) AS n, NOT ends_with({_APO}, '''') AND ({_SUFFIX} OR (ends_with({_APO}, '''s') AND {_HOST})) AS contraction, ends_with({_APO}, '''') OR (ends_with({_APO}, '''s') AND NOT {_HOST}) AS possessive FROM k WHERE regexp_matches(t, '[''’]') GROUP BY t",
+    "sentential_lines": f"WITH {_DOCS}, q AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d), y AS (SELECT doc_id, i - 1 AS seg, len({_lex('ls[i]')}) AS words, regexp_matches(ls[i], '[.!?][\"''”’)\\]}}*_]* *$') AS terminal FROM q, unnest(generate_series(1, len(ls))) AS g(i)) SELECT doc_id, seg, words, terminal, (terminal AND words >= 4) OR words >= 8 AS sentential FROM y",
+    "feature_vectors": f"WITH {_VECTORS} SELECT doc_id, seg, lexical, {_FLIST} FROM v",
+    "sampling_variance": f"WITH {_VECTORS} SELECT doc_id, seg, {_SVLIST} FROM v",
+    "paragraph_floor_partition": f"WITH {_RAW} SELECT split, class, count(*) FILTER (lexical >= {C.MIN_LEXICAL}) AS kept, count(*) FILTER (lexical < {C.MIN_LEXICAL}) AS below_floor FROM raw GROUP BY split, class",
+    "profile_stats": f"WITH {_LONG}, {_STATS} SELECT feature, n, undefined, round(mean, 9) AS mean, round(variance, 9) AS variance FROM st",
+    "profile_by_source": f"WITH {_LONG} SELECT source, feature, count(value) AS n, round(avg(value), 9) AS mean, round(var_samp(value), 9) AS variance FROM l GROUP BY source, feature",
+    "profile_stats_mad": f"WITH {_LONG}, tr AS (SELECT * FROM l WHERE class = 'author' AND split = 'train'), m AS (SELECT feature, median(value) AS med FROM tr GROUP BY feature), e AS (SELECT tr.feature, value, abs(value - med) AS dev FROM tr JOIN m USING (feature)), md AS (SELECT feature, median(dev) AS mad FROM e GROUP BY feature) SELECT feature, count(value) AS n, round(avg(value), 9) AS mean, round(var_samp(value), 9) AS variance FROM e JOIN md USING (feature) WHERE mad = 0 OR dev <= 3e0 * {C.MAD_SCALE}e0 * mad GROUP BY feature",
+    "standardized_values": f"WITH {_Z} SELECT doc_id, seg, feature, round(z, 9) AS z, reason FROM z WHERE class = 'author' AND split <> 'train'",
+    "reference_sizes_caps": f"WITH {_Z}, q AS (SELECT feature, count(z) AS size, 1 - 1 / (2e0 * (count(z) + 1)) AS u FROM z WHERE class = 'author' AND split = 'calibrate' GROUP BY feature) SELECT feature, size, size >= {C.MIN_REFERENCE} AS available, round({probit_sql('u')}, 9) AS cap FROM q",
+    "rank_transform": f"WITH {_dev('test')} SELECT doc_id, seg, feature, round(u, 9) AS u, round(dev, 9) AS dev FROM dv WHERE class = 'author'",
+    "distance_scores": f"WITH {_dist('test')} SELECT class, doc_id, seg, available, met, distance FROM ds",
+    "feature_deltas": f"WITH {_dev('test')} SELECT class, feature, CASE WHEN dev > 0 THEN 'above' WHEN dev < 0 THEN 'below' WHEN dev = 0 THEN 'typical' END AS direction, count(*) AS n FROM dv GROUP BY ALL",
+    "tier_plan": f"WITH {_Z}, q AS (SELECT feature, count(z) AS size FROM z WHERE class = 'author' AND split = 'calibrate' GROUP BY feature), y AS (SELECT count(*) AS manifest, count(*) FILTER (size >= {C.MIN_REFERENCE}) AS available FROM q) SELECT manifest, available, (manifest // 2 + 1)::BIGINT AS required, available >= manifest // 2 + 1 AS met FROM y",
+    "thresholds": f"WITH {_dist('calibrate')}, {_LIMITS} SELECT low, high, authors, distractors, CASE WHEN low IS NULL OR high IS NULL THEN 'uncalibrated' WHEN low < high THEN 'separated' ELSE 'pair-incompatible' END AS verdict FROM lm",
+    "achieved_rates": f"WITH {_dist('calibrate')}, {_LIMITS} SELECT round(avg(CASE WHEN class = 'author' THEN (distance >= low)::INT END), 9) AS author_rate, round(avg(CASE WHEN class = 'distractor' THEN (distance <= high)::INT END), 9) AS distractor_rate FROM ds, lm WHERE distance IS NOT NULL",
+    "auc_midrank": f"WITH {_dist('test')}, y AS (SELECT class, distance AS x FROM ds WHERE distance IS NOT NULL), pr AS (SELECT avg(CASE WHEN p.x > q.x THEN 1e0 WHEN p.x = q.x THEN 0.5e0 ELSE 0e0 END) AS auc FROM y p, y q WHERE p.class = 'distractor' AND q.class = 'author') SELECT round(auc, 9) AS auc, (SELECT count(*) FROM y WHERE class = 'distractor') AS positives, (SELECT count(*) FROM y WHERE class = 'author') AS negatives FROM pr",
+    "quality_auc": "WITH y AS (SELECT quality, n_chars AS x FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL), pr AS (SELECT avg(CASE WHEN p.x > q.x THEN 1e0 WHEN p.x = q.x THEN 0.5e0 ELSE 0e0 END) AS auc FROM y p, y q WHERE p.quality = 1 AND q.quality <> 1) SELECT round(auc, 9) AS auc, (SELECT count(*) FROM y WHERE quality = 1) AS positives, (SELECT count(*) FROM y WHERE quality <> 1) AS negatives FROM pr",
+    "self_midrank": f"WITH {_CAND} SELECT id, feature, round(u, 9) AS u, round({probit_sql('u')}, 9) AS q FROM sr",
+    "exemplar_density": f"WITH {_DENS} SELECT i.id, density FROM (SELECT DISTINCT id FROM k) i LEFT JOIN den USING (id)",
+    "exemplar_eligible": f"WITH {_DENS} SELECT id, density FROM (SELECT id, density, row_number() OVER (ORDER BY density, id) AS rn FROM den), kk WHERE rn <= ceil(0.75 * n)",
+    "stratum_order": f"WITH {_SEGMENTS}, y AS (SELECT 'paragraph|' || source AS stratum, count(*) AS size FROM s WHERE class = 'author' GROUP BY 1) SELECT stratum, size, row_number() OVER (ORDER BY size DESC, stratum) AS place FROM y",
+    "lint_counts": f"WITH {_DOCS}, tx AS (SELECT text FROM d UNION ALL SELECT coalesce(html, '') FROM pages), y AS (" + " UNION ALL ".join(f"SELECT {_q(r.id)} AS rule, len(regexp_extract_all(text, {_q(r.pattern)})) AS n FROM tx" for r in RULES) + ") SELECT rule, sum(n)::BIGINT AS findings, count(*) AS texts FROM y WHERE n > 0 GROUP BY rule",
+    "lint_severity_vector": f"WITH {_DOCS}, y AS (SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, {_q(r.pattern)})) AS n{i}" for i, r in enumerate(DERIVED)) + " FROM d) SELECT doc_id, n0 AS errors, n1 AS warns, 0 AS infos, CASE WHEN n0 + n1 > 0 THEN 'flagged' ELSE 'indeterminate' END AS screening FROM y WHERE n0 + n1 + n2 > 0",
+    "preserve_differences": f"WITH {_DIFF} SELECT pair_id, class, item, direction, n FROM df",
+    "audit_identifiers": f"WITH {_DIFF} SELECT DISTINCT class, direction, item, 'preserve-v1:' || class || ':' || direction || ':' || substr(sha256('preserve-v1' || chr(0) || class || chr(0) || direction || chr(0) || item), 1, 16) AS identifier FROM df",
+    "script_counts": f"WITH {_DOCS}, {_scripts('y', 'd', 'doc_id', 'text')} SELECT doc_id, script, letters FROM y",
+    "scripts_introduced": f"WITH {_PAIRS}, {_SCR} SELECT pair_id, script FROM sn ANTI JOIN so USING (pair_id, script)",
+    "scripts_overgrown": f"WITH {_PAIRS}, {_SCR}, {_OVER} SELECT pair_id, script, old_letters, new_letters FROM ov",
+    "expansion_guard": f"WITH {_PAIRS} SELECT pair_id, len({_lex('current')}) AS n_current, len({_lex('candidate')}) AS n_candidate, len({_lex('candidate')}) > 1.5 * len({_lex('current')}) AS expanded FROM p",
+    "rejection_codes": f"WITH {_DIFF}, {_SCR}, {_OVER}, y AS (SELECT pair_id, len({_lex('current')}) AS a, len({_lex('candidate')}) AS b FROM p) SELECT pair_id, CASE WHEN a = 0 THEN 'unscoreable' WHEN b = 0 THEN 'candidate-unscoreable' WHEN pair_id IN (SELECT pair_id FROM df) THEN 'not-preserved' WHEN b > 1.5 * a THEN 'expanded' WHEN pair_id IN (SELECT pair_id FROM sn ANTI JOIN so USING (pair_id, script)) THEN 'language' WHEN pair_id IN (SELECT pair_id FROM ov) THEN 'language-growth' ELSE '' END AS code FROM y",
+    "urls_extracted": f"WITH y AS (SELECT page_id, unnest(list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?:https?://|www\\.)\\S*'), lambda x: regexp_replace(x, '[.,;:!?)\\]}}\"''”’]+$', '')), lambda x: x <> '')) AS url FROM pages) SELECT page_id, url, count(*) AS n FROM y GROUP BY page_id, url",
+    "quotes_extracted": "WITH y AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '\"[^\"]*\"|“[^”]*”')) AS quote FROM pages) SELECT page_id, count(*) AS n, sum(length(quote))::BIGINT AS chars FROM y GROUP BY page_id",
+    "interval_union": "WITH e AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + trunc(value * 1e6)::BIGINT AS e FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value > 0), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM e), i AS (SELECT *, sum(CASE WHEN upto IS NULL OR s >= upto THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS island FROM m) SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS parts FROM i GROUP BY user_id, island",
+    "content_ids": f"WITH {_DOCS} SELECT path, {_framed(_q('snapshot'), 'path')} AS document_id, {_framed(_framed(_q('snapshot'), 'path'), _q('0'))} AS node_id FROM d",
+}
+ORACLE["band_occupancy"] = f"""WITH lim AS (WITH {_dist('calibrate')}, {_LIMITS} SELECT low, high FROM lm), dd AS (WITH {_dist('test')} SELECT class, distance FROM ds),
+y AS (SELECT class, CASE WHEN low <= high THEN CASE WHEN distance <= low THEN 'in-range' WHEN distance >= high THEN 'not-you' WHEN distance IS NOT NULL THEN 'drifting' END END AS band FROM dd, lim)
+SELECT band, count(*) FILTER (class = 'author') AS author, count(*) FILTER (class = 'distractor') AS distractor FROM y WHERE band IS NOT NULL GROUP BY band"""
