@@ -259,7 +259,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def said(x):
         return F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
     return found.select("doc_id", *counts[:3], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), counts[3])
 
 
