@@ -92,6 +92,6 @@ def medoids(ranked: DataFrame, chosen: DataFrame, n: int = 3) -> list[tuple]:
             np.fill_diagonal(d, 0)
             sums = np.where(np.isfinite(d).all(1), d.sum(1), np.inf)
             i = int(np.lexsort((g["id"].to_numpy(), sums))[0])
-            out.append((s, g["id"][i], float(sums[i])))
+            out.append((s, g["id"][i].item(), float(sums[i])))
             left[s] = g.drop(index=i).reset_index(drop=True)
     return out

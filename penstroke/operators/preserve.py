@@ -34,7 +34,11 @@ def items(x: Column) -> Column:
     """Array of (class, item) of the classes that one side alone decides."""
     negations = F.lit(_NEGATIONS)
     by_class = {"number": extract_all(x, NUMBER), "negation": F.filter(F.transform(lexical_tokens(x), lambda t: F.lower(t)), lambda t: F.array_contains(negations, t)), "url": urls(x), "quote": quotes(x)}
-    return F.concat(*[F.transform(v, lambda i, k=k: F.struct(F.lit(k).alias("class"), i.alias("item"))) for k, v in by_class.items()])
+
+    def marked(v: Column, name: str) -> Column:
+        return F.transform(v, lambda i: F.struct(F.lit(name).alias("class"), i.alias("item")))
+
+    return F.concat(*[marked(v, k) for k, v in by_class.items()])
 
 
 def differences(pairs: DataFrame) -> DataFrame:

@@ -335,7 +335,8 @@ def quotes_extracted(spark, sf):
 
 def interval_union(spark, sf):
     """Spans [ts, ts + value seconds) of a user's events, merged where they overlap; touching ones stay apart."""
-    e = read(spark, sf, "events").where("user_id is not null and ts is not null and value > 0").select("user_id", F.unix_micros("ts").alias("s"), (F.unix_micros("ts") + (F.col("value") * 1e6).cast("long")).alias("e"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = read(spark, sf, "events").where("user_id is not null and ts is not null and value > 0").select("user_id", micros.alias("s"), (micros + (F.col("value") * 1e6).cast("long")).alias("e"))
     w = Window.partitionBy("user_id").orderBy("s", "e")
     m = e.withColumn("upto", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("n", F.row_number().over(w))
     m = m.withColumn("island", F.sum(F.when(F.col("upto").isNull() | (F.col("s") >= F.col("upto")), 1).otherwise(0)).over(w))
