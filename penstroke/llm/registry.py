@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, idfiles, neardup, packing, secrets, toxicity, warc
+from . import chat, fingerprints, idfiles, neardup, packing, pieces, search, secrets, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,9 +11,11 @@ def queries() -> dict:
         "op2_warc": warc.op2_warc,
         "op3_near_duplicates": neardup.op3_near_duplicates,
         "op4_secrets": secrets.op4_secrets,
+        "op5_search": search.op5_search,
         "op6_packing": packing.op6_packing,
         "op7_idfiles": idfiles.op7_idfiles,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_pieces": pieces.op9_pieces,
         "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
