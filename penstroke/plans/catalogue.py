@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.scalars import LEXICAL, contraction, ends_terminal, lexical_tokens, possessive, probit_sql
 from ..functions.tables import materialize, read
-from ..operators import corpus, evaluate, exemplars, lint, preserve, style
+from ..operators import corpus, evaluate, exemplars, lint, preserve, rewrite, store, structure, style
 
 AUTHORS = [f"src{i}" for i in range(10)]
 RULES = lint.default_rules()
@@ -350,6 +350,78 @@ def content_ids(spark, sf):
     return h.select("path", content_id(F.lit("snapshot"), F.col("path")).alias("document_id"), content_id(content_id(F.lit("snapshot"), F.col("path")), F.lit("0")).alias("node_id"))
 
 
+def structure_leaves(spark, sf):
+    return structure.document_leaves(_docs(spark, sf)).select("doc_id", "ordinal", "role", "start", "length", "words", "terminal", "included", "exclusion")
+
+
+def publication_evidence(spark, sf):
+    return rewrite.evidence(structure.document_leaves(_docs(spark, sf))).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.min("paragraph_hash").alias("first_hash"))
+
+
+def replacement_shift(spark, sf):
+    e = corpus.lines(_docs(spark, sf)).select("doc_id", F.col("seg").cast("long").alias("start"), F.octet_length("line").cast("long").alias("length"), (F.octet_length("line") * 2 % 7).cast("long").alias("new_length"))
+    return rewrite.shifted(e).select("doc_id", "start", "new_start")
+
+
+def paragraph_dispositions(spark, sf):
+    d = evaluate.banded(_distances(spark, sf), thresholds(spark, sf))
+    flags = already_rewritten_flags(spark, sf)
+    text = corpus.lines(_docs(spark, sf)).select("doc_id", "seg", F.sha2(F.trim("line"), 256).alias("h"), F.contains("line", F.lit("`")).alias("excised"))
+    j = d.join(text, ["doc_id", "seg"]).join(flags, "h")
+    return j.withColumn("disposition", rewrite.disposition(False)).groupBy("class", "disposition").agg(F.count("*").alias("n"))
+
+
+def register_selection(spark, sf):
+    heads_ = read(spark, sf, "documents").select(F.col("lang").alias("register"))
+    parts = [("none", heads_.where("false"), None), ("one", heads_.where("register = 'en'"), None), ("many", heads_, None), ("named", heads_, "de"), ("unknown", heads_, "xx")]
+    out = [rewrite.select_register(h, w).withColumn("asked", F.lit(n)) for n, h, w in parts]
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return whole
+
+
+def head_pointers(spark, sf):
+    return store.heads(read(spark, sf, "orders"), "o_custkey", "o_orderkey", "o_orderdate")
+
+
+def sole_artifact(spark, sf):
+    return store.sole(read(spark, sf, "orders").select("o_custkey", F.col("o_orderpriority").alias("priority")), "o_custkey", "priority")
+
+
+def ordinal_gaps(spark, sf):
+    return store.gaps(read(spark, sf, "lineitem").where("l_quantity > 2").select("l_orderkey", (F.col("l_linenumber") - 1).alias("ordinal")), "l_orderkey")
+
+
+def orphan_rows(spark, sf):
+    return store.orphans(read(spark, sf, "customer").select("c_custkey"), read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+def invalid_ids(spark, sf):
+    h = corpus.hashed(_docs(spark, sf)).select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.upper("content_hash")).otherwise(F.col("content_hash")).alias("id"))
+    return store.bad_ids(h, "id").select("doc_id")
+
+
+def rehydrate_nodes(spark, sf):
+    docs = corpus.hashed(_docs(spark, sf))
+    expected = docs.where("doc_id % 3 <> 0").select("path", "content_hash")
+    files = docs.where("doc_id % 5 <> 0").select("path", F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary").alias("content"))
+    nodes = docs.select(F.col("doc_id").alias("node_id"), "path", F.lit(0).alias("start"), F.lit(1).alias("length"))
+    return store.rehydrated(nodes, expected, files).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def reachability_prune(spark, sf):
+    nation, customer, orders = (read(spark, sf, t) for t in ("nation", "customer", "orders"))
+
+    def edge(df, a, x, b, y):
+        return df.select(F.lit(a).alias("from_kind"), F.col(x).cast("long").alias("from_id"), F.lit(b).alias("to_kind"), F.col(y).cast("long").alias("to_id"))
+
+    edges = edge(nation, "region", "n_regionkey", "nation", "n_nationkey").unionByName(edge(customer, "nation", "c_nationkey", "customer", "c_custkey")).unionByName(edge(orders, "customer", "o_custkey", "order", "o_orderkey"))
+    seeds = read(spark, sf, "region").where("r_regionkey < 2").select(F.lit("region").alias("kind"), F.col("r_regionkey").cast("long").alias("id"))
+    objects = edges.select(F.col("to_kind").alias("kind"), F.col("to_id").alias("id")).distinct()
+    return store.pruned(objects, seeds, edges)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -357,6 +429,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         feature_vectors, sampling_variance, paragraph_floor_partition, profile_stats, profile_by_source, profile_stats_mad, standardized_values, reference_sizes_caps, rank_transform, distance_scores,
         feature_deltas, tier_plan, thresholds, band_occupancy, achieved_rates, auc_midrank, quality_auc, bootstrap_intervals, band_error_bounds, auc_lower_bound, release_verdict, self_midrank,
         exemplar_density, exemplar_eligible, exemplar_medoids, stratum_order, lint_findings, lint_counts, lint_severity_vector, lint_overlap_filtered, preserve_differences, audit_identifiers, script_counts,
+        structure_leaves, publication_evidence, replacement_shift, paragraph_dispositions, register_selection, head_pointers, sole_artifact, ordinal_gaps, orphan_rows, invalid_ids, rehydrate_nodes, reachability_prune,
         scripts_introduced, scripts_overgrown, expansion_guard, rejection_codes, accepted_attempts, urls_extracted, quotes_extracted, interval_union, content_ids,
     )
 }
@@ -524,3 +597,14 @@ ORACLE: dict[str, str] = {
 ORACLE["band_occupancy"] = f"""WITH lim AS (WITH {_dist('calibrate')}, {_LIMITS} SELECT low, high FROM lm), dd AS (WITH {_dist('test')} SELECT class, distance FROM ds),
 y AS (SELECT class, CASE WHEN low <= high THEN CASE WHEN distance <= low THEN 'in-range' WHEN distance >= high THEN 'not-you' WHEN distance IS NOT NULL THEN 'drifting' END END AS band FROM dd, lim)
 SELECT band, count(*) FILTER (class = 'author') AS author, count(*) FILTER (class = 'distractor') AS distractor FROM y WHERE band IS NOT NULL GROUP BY band"""
+ORACLE |= {
+    "replacement_shift": f"WITH {_DOCS}, q AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d), y AS (SELECT doc_id, i - 1 AS start, strlen(ls[i]) AS length, strlen(ls[i]) * 2 % 7 AS new_length FROM q, unnest(generate_series(1, len(ls))) AS g(i)) SELECT doc_id, start, start + coalesce(sum(new_length - length) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS new_start FROM y",
+    "register_selection": "SELECT * FROM (VALUES ('none', 'no-profile', NULL), ('one', 'sole-head', 'en'), ('many', 'ambiguous', NULL), ('named', 'explicit', 'de'), ('unknown', 'unknown-register', NULL)) AS t(asked, state, register)",
+    "head_pointers": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1",
+    "sole_artifact": "SELECT o_custkey, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN min(o_orderpriority) END AS priority, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN 'sole' ELSE 'ambiguous' END AS state FROM orders GROUP BY o_custkey",
+    "ordinal_gaps": "SELECT DISTINCT l_orderkey FROM (SELECT l_orderkey, l_linenumber - 1 AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS want FROM lineitem WHERE l_quantity > 2) WHERE o <> want",
+    "orphan_rows": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "invalid_ids": f"WITH {_DOCS} SELECT doc_id FROM d WHERE doc_id % 7 = 0 AND regexp_matches(hash, '[a-f]')",
+    "rehydrate_nodes": "SELECT CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'content-changed' ELSE 'ok' END AS outcome, count(*) AS n FROM documents GROUP BY 1",
+    "reachability_prune": "WITH RECURSIVE e AS (SELECT 'region' AS fk, n_regionkey::BIGINT AS fi, 'nation' AS tk, n_nationkey::BIGINT AS ti FROM nation UNION ALL SELECT 'nation', c_nationkey, 'customer', c_custkey FROM customer UNION ALL SELECT 'customer', o_custkey, 'order', o_orderkey FROM orders), r AS (SELECT 'region' AS kind, r_regionkey::BIGINT AS id FROM region WHERE r_regionkey < 2 UNION SELECT tk, ti FROM r JOIN e ON fk = kind AND fi = id) SELECT DISTINCT tk AS kind, ti AS id FROM e ANTI JOIN r ON tk = kind AND ti = id",
+}
