@@ -138,7 +138,7 @@ def feature_vectors(spark, sf):
 
 
 def sampling_variance(spark, sf):
-    return _vectors(spark, sf).select("doc_id", "seg", *[_r(f"sv_{f}").alias(f"sv_{f}") for f in C.FEATURES])
+    return _vectors(spark, sf).select("doc_id", "seg", *[_r(f"sv_{f}", 12).alias(f"sv_{f}") for f in C.FEATURES])
 
 
 def paragraph_floor_partition(spark, sf):
@@ -543,7 +543,7 @@ def _framed(*parts: str) -> str:
 
 
 _FLIST = ", ".join(f"round({f}, 9) AS {f}" for f in C.FEATURES)
-_SVLIST = ", ".join(f"round(sv_{f}, 9) AS sv_{f}" for f in C.FEATURES)
+_SVLIST = ", ".join(f"round(sv_{f}, 12) AS sv_{f}" for f in C.FEATURES)
 _APO = "lower(replace(t, '’', ''''))"
 _SUFFIX = "(" + " OR ".join(f"ends_with({_APO}, {_q(x)})" for x in C.CONTRACTION_SUFFIXES) + ")"
 _HOST = f"list_contains({_in(C.S_HOSTS)}, regexp_replace({_APO}, '''s$', ''))"
