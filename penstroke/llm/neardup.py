@@ -8,9 +8,10 @@ links reach. Steps:
 1. One pass over the texts makes each set's 128-bit digest, MINIMA hash minima, and of each minimum its low
    BITS bits, packed. Documents of equal sets form a class, which its smallest doc_id stands for.
 2. Sets of 8 and more shingles meet in BANDS bands of ROWS minima: a pair at 0.8 shares no band with a
-   probability of (1 - 0.8^6)^40 = 5e-6. Linked sets whose union is below 10 differ in one shingle, so small
+   probability of (1 - 0.8^8)^64 = 8e-6. Linked sets whose union is below 10 differ in one shingle, so small
    sets meet, exactly, under the keys of themselves and of themselves less one shingle.
-3. In each bucket every member is paired with the bucket's first one only. Pairs whose estimated similarity
+3. In each bucket every member is paired with FIRSTS members only, which hashes of bucket and doc_id pick, so
+   that a document's buckets offer it different ones. Pairs whose estimated similarity
    (bit counts, corrected for chance agreement) is below the threshold by over six standard errors go; the
    rest are confirmed on full sets, each document's most similar pair first, the others only if their ends
    are still in different components.
@@ -38,7 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, table, text_of
 
-BANDS, ROWS, MINIMA, BITS = 40, 6, 256, 2
+BANDS, ROWS, MINIMA, BITS = 64, 8, 512, 2
+#: First members of a bucket that every other member is paired with.
+FIRSTS = 3
 SMALL = 8
 _draw = np.random.default_rng(20240229)
 _A = (_draw.integers(0, 1 << 31, MINIMA, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -109,7 +112,7 @@ def packed(low: np.ndarray) -> np.ndarray:
 
 
 def keys_of(s: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, ranks): a bucket's first member is that of the least (rank, doc_id)."""
+    """(keys, ranks): a bucket's first members are of rank 0 if any is."""
     keys, ranks = [], []
     n = len(s)
     if n >= SMALL:
@@ -200,14 +203,17 @@ def _estimate(a: str, b: str) -> Column:
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row."""
     signed = materialize(signatures(docs, width), "signatures")
-    floor = percent / 100 - 0.2
+    floor = percent / 100 - 0.14
     classes = signed.where("n > 0 and doc_id is not null").groupBy("da", "db").agg(F.min(F.struct("doc_id", "n", "keys", "ranks", "planes")).alias("c"))
     classes = materialize(classes.select("da", "db", F.col("c.doc_id").alias("id"), "c.n", "c.keys", "c.ranks", "c.planes"), "classes")
     planes = classes.select("id", "planes")
 
     in_bucket = classes.select("id", "n", F.explode(F.arrays_zip("keys", "ranks")).alias("k")).select("id", "n", F.col("k.keys").alias("key"), F.col("k.ranks").alias("rank"))
-    first = in_bucket.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("first"), F.count("*").alias("size")).where("size > 1")
-    first = materialize(first.select("key", F.col("first.id").alias("first")), "first")
+    # the least id after flipping the bits that a hash of the bucket picks; flipping them again gives the id back
+    flip = [F.xxhash64("key", F.lit(i)) for i in range(FIRSTS)]
+    least = [F.min(F.when(F.col("rank") == r, F.col("id").bitwiseXOR(f))).alias(f"m{r}{i}") for i, f in enumerate(flip) for r in (0, 1)]
+    first = in_bucket.groupBy("key").agg(*least, F.count("*").alias("size")).where("size > 1")
+    first = materialize(first.select("key", F.array_distinct(F.array(*[F.coalesce(f"m0{i}", f"m1{i}").bitwiseXOR(f) for i, f in enumerate(flip)])).alias("firsts")), "first")
     members = materialize(in_bucket.join(first, "key"), "members")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -255,8 +261,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         return roots if rest.isEmpty() else joined(roots, rest, linked(rest, sets))
 
     lead = classes.select(F.col("id").alias("first"), F.col("n").alias("first_n"))
-    firsts = members.where("id <> first").select("first", "id", "n").distinct().join(lead, "first").where(sized("n", "first_n"))
-    pairs = materialize(near(firsts.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()), "pairs")
+    firsts = members.select("id", "n", F.explode("firsts").alias("first")).where("id <> first").distinct().join(lead, "first").where(sized("n", "first_n"))
+    pairs = materialize(near(firsts.select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()), "pairs")
     roots = confirm(pairs, None)
 
     # buckets of several components
@@ -266,8 +272,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     x = named.join(open_keys, "key")
     y = x.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "rank", "root")])
     crossing = x.join(y, "key").where(sized("n", "n2") & F.expr("id < id2 and root <> root2 and rank + rank2 < 2")).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossing = materialize(near(crossing.join(tested, ["a", "b"], "left_anti")), "crossing")
+    crossing = materialize(near(crossing.join(pairs.select("a", "b"), ["a", "b"], "left_anti")), "crossing")
     roots = confirm(crossing, roots)
 
     of_class = classes.select("da", "db", "id")

@@ -134,8 +134,9 @@ def test_estimate_is_near_the_similarity():
     a, b = r.integers(0, 1 << 63, 800).astype(np.uint64), r.integers(0, 1 << 63, 800).astype(np.uint64)
     x, y = np.unique(np.concatenate([a, b[:100]])), np.unique(np.concatenate([a, b[100:200]]))
     p, q = neardup.packed(neardup.minima(x)).view(np.uint64), neardup.packed(neardup.minima(y)).view(np.uint64)
-    differ = (p[:4] ^ q[:4]) | (p[4:] ^ q[4:])
-    agree = 1 - sum(int(v).bit_count() for v in differ) / 256
+    half = neardup.MINIMA // 64
+    differ = (p[:half] ^ q[:half]) | (p[half:] ^ q[half:])
+    agree = 1 - sum(int(v).bit_count() for v in differ) / neardup.MINIMA
     assert abs((agree - 0.25) / 0.75 - 0.8) < 0.12
 
 
