@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -106,18 +107,24 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Field(scale=(math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0, 0.0))
-    split = [t.split() for t in texts]
-    of_word = {w: features(w) for ws in split for w in set(ws)}
-    found: tuple[Counter, Counter] = (Counter(), Counter())
-    for ws, label in zip(split, toxic, strict=True):
-        found[label].update({f for w in set(ws) for f in of_word[w]})
+    split = [[sys.intern(w) for w in t.split()] for t in texts]
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    strong = {f: math.log((k + 0.5) / (n1 + 1)) - math.log((found[0][f] + 0.5) / (n0 + 1)) for f, k in found[1].items() if k >= 4}
-    strong = {f: v for f, v in strong.items() if v >= 2.5}
-    names = sorted(strong)
+    toxic_in = Counter(f for ws, label in zip(split, toxic, strict=True) if label for f in {f for w in set(ws) for f in features(w)})
+    often = {f for f, k in toxic_in.items() if k >= 4}
+    carried: dict[str, tuple[str, ...]] = {}  # only what the toxic documents' frequent features need is kept of a word
+    clean_in: Counter = Counter()
+    for ws, label in zip(split, toxic, strict=True):
+        own = set(ws)
+        for w in own.difference(carried):
+            carried[w] = tuple(f for f in features(w) if f in often)
+        if not label:
+            clean_in.update({f for w in own for f in carried[w]})
+    strong = {f: math.log((toxic_in[f] + 0.5) / (n1 + 1)) - math.log((clean_in[f] + 0.5) / (n0 + 1)) for f in often}
+    names = sorted(f for f, v in strong.items() if v >= 2.5)
     number = {f: i for i, f in enumerate(names)}
-    hit = {w: [number[f] for f in fs if f in number] for w, fs in of_word.items()}
+    hit = {w: [number[f] for f in fs if f in number] for w, fs in carried.items() if fs}
     hit = {w: v for w, v in hit.items() if v}
+    del toxic_in, clean_in, carried
     # windows around tagged words, and as many without
     tagged = [(d, t) for d, ws in enumerate(split) if toxic[d] for t, w in enumerate(ws) if w in hit]
     near = sorted({(d, t // WINDOW) for d, t in tagged})
@@ -157,9 +164,9 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
         bias += 0.4 * gb / math.sqrt(grown_b)
         moves += 0.1 * gm / np.sqrt(grown_m)
     out = Field({f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-3}, float(bias), np.exp(moves))
-    every = {x: out.word(x) for x in of_word}
-    flat = np.asarray([every[x] for ws in split for x in ws])
+    every = {x: out.word(x) for x in hit}
     per = np.asarray([len(ws) for ws in split])
+    flat = np.fromiter((every.get(x, out.bias) for ws in split for x in ws), float, int(per.sum()))
     out.scale = logistic(aggregates(marginals(flat, per, out.moves), per), y)
     return out
 
