@@ -4,7 +4,9 @@ Documents are cut into pieces of at most `capacity` tokens. How many pieces ther
 table of at most `capacity` counts, whatever the input's size; the driver plans over that table alone. Around
 the longest length left it lists the fillings that no other dominates, takes the one of least waste as often
 as the counts allow, and branches over the next best ones as long as the lower bound on sequences leaves
-something to gain; a best-fit solution is the first incumbent. The plan then deals ranks of pieces within
+something to gain; a best-fit solution is the first incumbent. A dive down a branch always ends in a solution,
+unless the bound shows that it gains nothing: where the budget of steps is spent, best fit packs what is left.
+The plan then deals ranks of pieces within
 their length to places in sequences. Ranks are made by length and one of `spread` shares, so that a length
 that a third of all pieces have is ranked by many tasks.
 
@@ -28,8 +30,9 @@ from .common import materialize, table, text_of
 from .tokens import encoder
 
 CAPACITY, SPREAD = 2048, 64
-#: Nodes that the search may visit, and fillings that a node may try.
-NODES, BRANCHES = 500, 3
+#: Branches that the search may dive down and fillings that a node may try; steps of all dives together. A dive takes about
+#: a step for each length that occurs.
+NODES, BRANCHES, STEPS = 500, 3, 2 * CAPACITY
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -120,31 +123,31 @@ def fillings(left: np.ndarray, largest: int, capacity: int, limit: int = BRANCHE
     return out
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
     """Steps (lengths of a sequence, times) that use all counts in as few sequences as the search finds."""
     counts = np.asarray(counts, np.int64)
-    size = np.arange(len(counts))
     least = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     most = sum(t for _, t in best)
     if most == least:
         return best
-    stack, visited = [(counts.copy(), 0, ())], 0
+    stack, dives, visited = [(counts.copy(), 0, ())], 0, 0
     # a chain of (step, times, chain before) keeps a branch's steps without copying them
-    while stack and visited < nodes and most > least:
+    while stack and dives < nodes and visited < steps and most > least:
         left, used, chain = stack.pop()
-        while True:
-            visited += 1
+        dives += 1
+        while used + lower_bound(left, capacity) < most:
             present = np.flatnonzero(left)
-            if not len(present):
+            if not len(present) or visited >= steps:
+                rest = best_fit(left, capacity)
+                used += sum(t for _, t in rest)
                 if used < most:
-                    most, best = used, []
+                    most, best = used, rest
                     while chain:
                         step, times, chain = chain
                         best.append((step, times))
                 break
-            if used + -(-int((left * size).sum()) // capacity) >= most or visited >= nodes:
-                break
+            visited += 1
             largest = int(present[-1])
             ways = fillings(left, largest, capacity)
             for other in ways[:0:-1]:

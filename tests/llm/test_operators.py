@@ -210,6 +210,19 @@ def test_plan_uses_all_and_beats_or_ties_best_fit():
         assert packing.lower_bound(counts, cap) <= total <= sum(t for _, t in packing.best_fit(counts, cap))
 
 
+def test_plan_beats_best_fit_with_over_a_thousand_lengths():
+    counts = np.zeros(2049, int)
+    counts[400:1600] = np.random.default_rng(7).integers(20, 200, 1200)
+    counts[680] = 50_000
+    least, fit = packing.lower_bound(counts, 2048), sum(t for _, t in packing.best_fit(counts, 2048))
+    for steps in (1000, packing.STEPS):  # a dive broken off before its end is finished by best fit
+        got, used = packing.plan(counts, 2048, steps=steps), np.zeros(2049, int)
+        for items, times in got:
+            assert sum(items) <= 2048
+            np.add.at(used, list(items), times)
+        assert (used == counts).all() and least <= sum(t for _, t in got) < fit
+
+
 # tokens and id files
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_word_encoder_is_the_library(rows, path):
