@@ -68,7 +68,7 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
 def windows(text: str, a: int, b: int) -> list[np.ndarray]:
     """Codes of a candidate's windows: 0 pads, 1 stands for other than ASCII, 2 and more for printable ASCII; + 100 inside the candidate."""
     out = []
-    for at in range(a, max(b - BODY, a) + 1, BODY // 2) if b - a > BODY else (a,):
+    for at in [*range(a, b - BODY, BODY // 2), max(b - BODY, a)]:  # the last one ends with the candidate
         codes = np.zeros(LEFT + BODY + RIGHT, np.int64)
         end = min(at + BODY, b)
         for place, piece, mark in ((LEFT - (at - max(0, at - LEFT)), text[max(0, at - LEFT) : at], 0), (LEFT, text[at:end], 100), (LEFT + BODY, text[end : end + RIGHT], 0)):

@@ -154,6 +154,18 @@ def test_secrets(spark):
     assert sorted(len(r["spans"]) for r in got) == [0, 0, 1, 4]
 
 
+def test_secret_at_the_end_of_a_long_candidate():
+    net, r, found = secrets.default_net(), random.Random(4), 0
+    for n in range(49, 121):
+        key = "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789") for _ in range(24))
+        text = "see " + ("/path/to/the/pages" * 8)[: n - 24] + key + " there"
+        seen = secrets.windows(text, 4, 4 + n)
+        bodies = ["".join(chr(c - 70) for c in w if c >= 100) for w in seen]
+        assert bodies[-1] == text[4 + n - 48 : 4 + n] and bodies[0] == text[4:52] and all(len(b) == 48 for b in bodies)
+        found += any(k == "model" for *_, k in secrets.scan([text], net)[0])
+    assert found >= 60
+
+
 # search
 def test_search_as_by_hand(spark, rows):
     docs = [(i if i is not None else None, t) for i, t in rows]
