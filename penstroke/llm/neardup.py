@@ -10,14 +10,19 @@ links reach. Steps:
 2. Sets of 8 and more shingles meet in BANDS bands of ROWS minima: a pair at 0.8 shares no band with a
    probability of (1 - 0.8^8)^64 = 8e-6. Linked sets whose union is below 10 differ in one shingle, so small
    sets meet, exactly, under the keys of themselves and of themselves less one shingle.
-3. In each bucket every member is paired with FIRSTS members only, which hashes of bucket and doc_id pick, so
-   that a document's buckets offer it different ones. Pairs whose estimated similarity
-   (bit counts, corrected for chance agreement) is below the threshold by over six standard errors go; the
-   rest are confirmed on full sets, each document's most similar pair first, the others only if their ends
-   are still in different components.
-4. Buckets that still hold several components are opened: pairs across components are estimated, and
-   confirmed in the same order. So no link between components is lost, and groups of thousands of near
-   copies cost a few pairs a member instead of all pairs.
+3. Each bucket has one hub. One order picks the hubs of all buckets: the class that shares most buckets of the
+   first CENTRAL bands with others comes first, so that a group of copies names the few that lie in its middle.
+   A class is paired with its buckets' hubs only, which makes a few pairs a class however large its group is.
+   Pairs whose estimated similarity (bit counts, corrected for chance agreement) is below the threshold by over
+   six standard errors go; the rest are confirmed on full sets, each class's most similar pair first, the
+   others only if their ends are still in different components.
+4. What is left are classes that met a hub but aren't in its component ("far" ones). Let D be a set's
+   difference from the hub's (what it adds and what it lacks). Two sets x, y are linked just if
+   |x ^ y| <= c (|x| + |y|), c = (1 - J) / (1 + J), and |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, so that a link
+   asks for an overlap of t = (|Dx| + |Dy| - c (|x| + |y|)) / 2. As a far x has |Dx| > c (|x| + |hub|), that
+   is over half of Dy, about. So classes that share a hub are joined on the rarest elements of D alone (a
+   prefix filter, whose length follows from t, with t checked by position): no link is lost, and copies that
+   differ from the hub in ways of their own are not paired with each other.
 
 Hot buckets, classes and components meet in joins of written tables, whose partitions adaptive execution
 splits. Nothing about documents is collected.
@@ -34,15 +39,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, table, text_of
 
 BANDS, ROWS, MINIMA, BITS = 64, 8, 512, 2
-#: First members of a bucket that every other member is paired with.
-FIRSTS = 3
+#: An estimate this far below the threshold rules a pair out: over six standard errors.
+MARGIN = 0.14
+#: Bands whose bucket sizes say how central a class is.
+CENTRAL = 8
 SMALL = 8
+#: Ranks of a key: a small set's own, a small set's less one shingle, a band's.
+WHOLE, LESS_ONE, BAND = 0, 1, 2
 _draw = np.random.default_rng(20240229)
 _A = (_draw.integers(0, 1 << 31, MINIMA, dtype=np.int64) * 2 + 1).astype(np.uint32)
 _B = _draw.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
@@ -112,7 +121,7 @@ def packed(low: np.ndarray) -> np.ndarray:
 
 
 def keys_of(s: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, ranks): a bucket's first members are of rank 0 if any is."""
+    """(keys, ranks), bands first."""
     keys, ranks = [], []
     n = len(s)
     if n >= SMALL:
@@ -121,15 +130,15 @@ def keys_of(s: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for j in range(ROWS):
             k = _mix(k * np.uint64(_BASE) + rows[:, j])
         keys.append(k)
-        ranks.append(np.zeros(BANDS, np.int32))
+        ranks.append(np.full(BANDS, BAND, np.int32))
     if 4 <= n <= 9:
         whole = s.sum(dtype=np.uint64)
         if n <= 8:
             keys.append(_mix(np.asarray([whole + np.uint64(n)])))
-            ranks.append(np.zeros(1, np.int32))
+            ranks.append(np.full(1, WHOLE, np.int32))
         if n >= 5:
             keys.append(_mix(whole - s + np.uint64(n - 1)))
-            ranks.append(np.ones(n, np.int32))
+            ranks.append(np.full(n, LESS_ONE, np.int32))
     return (np.concatenate(keys).view(np.int64), np.concatenate(ranks)) if keys else (np.empty(0, np.int64), np.empty(0, np.int32))
 
 
@@ -183,7 +192,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets, pa.int64())], names=["id", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(ids, "id", "left_semi")
-    return materialize(rows.mapInArrow(made, "id long, shingles array<long>"), "sets", "none")
+    return rows.mapInArrow(made, "id long, shingles array<long>")
 
 
 def _estimate(a: str, b: str) -> Column:
@@ -200,80 +209,140 @@ def _estimate(a: str, b: str) -> Column:
     return (agree / float(MINIMA) - chance) / (1 - chance)
 
 
+def _classes(signed: DataFrame) -> DataFrame:
+    """(da, db, id, n, keys, ranks, planes, order) of each distinct set; hubs are the least by order, id."""
+    named = signed.where("n > 0 and doc_id is not null")
+    some = named.where(F.col("n") >= SMALL).select("da", "db", F.explode(F.slice("keys", 1, CENTRAL)).alias("key"))
+    sizes = some.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    central = some.join(sizes, "key").groupBy("da", "db").agg((-F.sum("size")).alias("order"))
+    classes = named.groupBy("da", "db").agg(F.min(F.struct("doc_id", "n", "keys", "ranks", "planes")).alias("c"))
+    classes = classes.join(central, ["da", "db"], "left")
+    return classes.select("da", "db", F.col("c.doc_id").alias("id"), "c.n", "c.keys", "c.ranks", "c.planes", F.coalesce("order", F.lit(0)).alias("order"))
+
+
+def _stars(classes: DataFrame) -> DataFrame:
+    """(hub, id, band) of every class that meets a hub; band: in a band's bucket."""
+    zipped = F.explode(F.arrays_zip("keys", "ranks")).alias("k")
+    buckets = classes.select("id", "order", zipped).select(F.col("k.keys").alias("key"), F.col("k.ranks").alias("rank"), "order", "id")
+    # a small set's bucket without the set itself has no links
+    hubs = buckets.groupBy("key").agg(F.min(F.struct("rank", "order", "id")).alias("f"), F.count("*").alias("size"))
+    hubs = hubs.where(f"size > 1 and f.rank <> {LESS_ONE}").select("key", F.col("f.id").alias("hub"))
+    met = buckets.select("key", "id", (F.col("rank") == BAND).alias("band")).join(hubs, "key").where("id <> hub")
+    return met.groupBy("hub", "id").agg(F.max("band").alias("band"))
+
+
+def _differences(far: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(hub, element, id, n, root, far, d, at, own) of the rarest elements of each set's difference from its hub's.
+
+    at: the element's place by rarity; own: it is in the prefix that any link with a far set must meet."""
+    p = percent / 100
+    c = (1 - p) / (1 + p)
+    rows = far.withColumn("far", F.lit(True)).unionByName(near.withColumn("far", F.lit(False)))
+    both = rows.join(sets.select("id", F.col("shingles").alias("s")), "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("h")), "hub")
+    both = both.select("hub", "id", "root", "far", F.size("s").alias("n"), F.size("h").alias("m"), F.concat(F.array_except("s", "h"), F.array_except("h", "s")).alias("es"))
+    each = materialize(both.select("hub", "id", "root", "far", "n", "m", F.size("es").alias("d"), F.explode("es").alias("e")), "differences")
+    often = each.groupBy("hub", "e").agg(F.count("*").alias("often")).where("often > 1")
+    by_rarity = Window.partitionBy("hub", "id").orderBy(F.coalesce("often", F.lit(1)), "e")
+    placed = each.join(often, ["hub", "e"], "left").withColumn("at", F.row_number().over(by_rarity) - 1).where("often > 1")
+    least = F.greatest(F.lit(1), F.floor((F.col("d") + c * (F.col("m") - F.col("n"))) / 2 - 1e-9) + 1)
+    wide = F.greatest(F.lit(1), F.ceil(F.col("d") - c * (1 + 1 / p) * F.col("n") - 1e-9))
+    placed = placed.withColumn("own", F.col("at") <= F.col("d") - least)
+    kept = placed.where(F.col("own") | (F.col("far") & (F.col("at") <= F.col("d") - wide)))
+    return materialize(kept.select("hub", "e", "id", "n", "root", "far", "d", "at", "own"), "prefixes")
+
+
+def _overlapping(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of sets in different components whose differences from a hub's may overlap as much as a link asks for."""
+    p = percent / 100
+    c = (1 - p) / (1 + p)
+    x = placed.where("far")
+    y = placed.where("own").select("hub", "e", *[F.col(k).alias(f"{k}2") for k in ("id", "n", "root", "far", "d", "at")])
+    asked = (F.col("d") + F.col("d2") - c * (F.col("n") + F.col("n2"))) / 2 - 1e-9
+    fits = (F.least(F.col("d") - F.col("at"), F.col("d2") - F.col("at2")) >= asked) & _sized("n", "n2", percent) & (F.col("root") != F.col("root2"))
+    apart = x.where("own").join(y.where("far2"), ["hub", "e"]).where(fits & (F.col("id") < F.col("id2")))
+    mixed = x.join(y.where("not far2"), ["hub", "e"]).where(fits)
+    pairs = apart.select("id", "id2").unionByName(mixed.select("id", "id2"))
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def _sized(x: str, y: str, percent: int) -> Column:
+    return F.expr(f"100L * least({x}, {y}) >= {percent}L * greatest({x}, {y})")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    with_b = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    with_a = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    common = with_a.select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return common.where(f"100L * common >= {percent}L * (both - common)").select("a", "b")
+
+
+def _across(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The pairs, with ra and rb, whose ends are in different components so far."""
+    if roots is None:
+        return pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
+    named = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    return named.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
+
+
+def _joined(roots: DataFrame | None, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after the links, which are among the pairs."""
+    met = links.join(pairs.select("a", "b", "ra", "rb"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")) if roots is not None else links
+    grown = materialize(connected_components(met), "grown")
+    if roots is None:
+        return grown
+    kept = roots.join(grown.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    fresh = grown.join(roots, "node", "left_anti")
+    return materialize(kept.unionByName(fresh), "roots")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame | None:
+    """Components after the pairs: each b's most similar pair first, then all that still join two components."""
+    if pairs.isEmpty():
+        return roots
+    best = pairs.groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    best = materialize(_across(best, roots), "best")
+    roots = _joined(roots, best, _linked(best, sets, percent))
+    rest = materialize(_across(pairs.join(best, ["a", "b"], "left_anti"), roots), "rest")
+    return roots if rest.isEmpty() else _joined(roots, rest, _linked(rest, sets, percent))
+
+
+def _near(pairs: DataFrame, planes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, estimate) of the pairs with an estimate that doesn't rule a link out."""
+    other = planes.select(F.col("id").alias("a"), F.col("planes").alias("pa"))
+    both = pairs.join(planes.select(F.col("id").alias("b"), F.col("planes").alias("pb")), "b").join(other, "a")
+    return both.select("a", "b", _estimate("pa", "pb").alias("estimate")).where(F.col("estimate") >= percent / 100 - MARGIN)
+
+
+def _ids(rows: DataFrame) -> DataFrame:
+    """The ids that the rows' hub and id columns name, in a written table: small ones are broadcast, large ones aren't."""
+    return materialize(rows.select("id").unionByName(rows.select(F.col("hub").alias("id"))).distinct(), "ids")
+
+
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row."""
     signed = materialize(signatures(docs, width), "signatures")
-    floor = percent / 100 - 0.14
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("da", "db").agg(F.min(F.struct("doc_id", "n", "keys", "ranks", "planes")).alias("c"))
-    classes = materialize(classes.select("da", "db", F.col("c.doc_id").alias("id"), "c.n", "c.keys", "c.ranks", "c.planes"), "classes")
-    planes = classes.select("id", "planes")
-
-    in_bucket = classes.select("id", "n", F.explode(F.arrays_zip("keys", "ranks")).alias("k")).select("id", "n", F.col("k.keys").alias("key"), F.col("k.ranks").alias("rank"))
-    # the least id after flipping the bits that a hash of the bucket picks; flipping them again gives the id back
-    flip = [F.xxhash64("key", F.lit(i)) for i in range(FIRSTS)]
-    least = [F.min(F.when(F.col("rank") == r, F.col("id").bitwiseXOR(f))).alias(f"m{r}{i}") for i, f in enumerate(flip) for r in (0, 1)]
-    first = in_bucket.groupBy("key").agg(*least, F.count("*").alias("size")).where("size > 1")
-    first = materialize(first.select("key", F.array_distinct(F.array(*[F.coalesce(f"m0{i}", f"m1{i}").bitwiseXOR(f) for i, f in enumerate(flip)])).alias("firsts")), "first")
-    members = materialize(in_bucket.join(first, "key"), "members")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with an estimate that doesn't rule a link out."""
-        other = planes.select(F.col("id").alias("a"), F.col("planes").alias("pa"))
-        both = pairs.join(planes.select(F.col("id").alias("b"), F.col("planes").alias("pb")), "b").join(other, "a")
-        return both.select("a", "b", _estimate("pa", "pb").alias("estimate")).where(F.col("estimate") >= floor)
-
-    def sized(x: str, y: str) -> Column:
-        return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-
-    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough."""
-        with_b = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        with_a = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-        common = with_a.select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-        return common.where(f"100L * common >= {percent}L * (both - common)").select("a", "b")
-
-    def across(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """The pairs, with ra and rb, whose ends are in different components so far."""
-        if roots is None:
-            return pairs.withColumns({"ra": F.col("a"), "rb": F.col("b")})
-        named = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        return named.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
-
-    def joined(roots: DataFrame | None, pairs: DataFrame, links: DataFrame) -> DataFrame:
-        """The components after the links, which are among the pairs."""
-        met = links.join(pairs.select("a", "b", "ra", "rb"), ["a", "b"]) if roots is not None else links.withColumns({"ra": F.col("a"), "rb": F.col("b")})
-        grown = materialize(connected_components(met.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "grown")
-        if roots is None:
-            return grown
-        kept = roots.join(grown.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-        fresh = grown.join(roots, "node", "left_anti")
-        return materialize(kept.unionByName(fresh), "roots")
-
-    def confirm(pairs: DataFrame, roots: DataFrame | None) -> DataFrame | None:
-        """Components after the pairs: each b's most similar pair first, then all that still join two components."""
-        if pairs.isEmpty():
-            return roots
-        sets = full_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width)
-        best = pairs.groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        best = materialize(across(best, roots), "best")
-        roots = joined(roots, best, linked(best, sets))
-        rest = materialize(across(pairs.join(best, ["a", "b"], "left_anti"), roots), "rest")
-        return roots if rest.isEmpty() else joined(roots, rest, linked(rest, sets))
-
-    lead = classes.select(F.col("id").alias("first"), F.col("n").alias("first_n"))
-    firsts = members.select("id", "n", F.explode("firsts").alias("first")).where("id <> first").distinct().join(lead, "first").where(sized("n", "first_n"))
-    pairs = materialize(near(firsts.select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()), "pairs")
-    roots = confirm(pairs, None)
-
-    # buckets of several components
-    named = members if roots is None else members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    named = materialize(named.select("key", "id", "n", "rank", F.coalesce("root", "id").alias("root") if roots is not None else F.col("id").alias("root")), "named")
-    open_keys = materialize(named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key"), "open")
-    x = named.join(open_keys, "key")
-    y = x.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "rank", "root")])
-    crossing = x.join(y, "key").where(sized("n", "n2") & F.expr("id < id2 and root <> root2 and rank + rank2 < 2")).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    crossing = materialize(near(crossing.join(pairs.select("a", "b"), ["a", "b"], "left_anti")), "crossing")
-    roots = confirm(crossing, roots)
+    classes = materialize(_classes(signed), "classes")
+    planes, size = classes.select("id", "planes"), classes.select("id", "n")
+    stars = materialize(_stars(classes), "stars")
+    sets = materialize(full_sets(docs, _ids(stars), width), "sets", "none")
+
+    sides = stars.join(size, "id").join(size.select(F.col("id").alias("hub"), F.col("n").alias("m")), "hub").where(_sized("n", "m", percent))
+    pairs = materialize(_near(sides.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), planes, percent), "pairs")
+    roots = _confirmed(pairs, sets, None, percent)
+
+    # classes that aren't in their hub's component
+    met = stars.where("band").select("hub", "id")
+    if roots is not None:
+        met = met.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
+        met = met.select("hub", "id", F.coalesce("root", "id").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
+    else:
+        met = met.select("hub", "id", F.col("id").alias("root"), F.col("hub").alias("hub_root"))
+    met = materialize(met, "met")
+    far, near = met.where("root <> hub_root").select("hub", "id", "root"), met.where("root = hub_root").select("hub", "id", "root")
+    placed = _differences(far, near.join(far.select("hub").distinct(), "hub", "left_semi"), sets, percent)
+    crossing = materialize(_overlapping(placed, percent), "crossing")
+    roots = _confirmed(materialize(_near(crossing, planes, percent), "near"), sets, roots, percent)
 
     of_class = classes.select("da", "db", "id")
     if roots is not None:
