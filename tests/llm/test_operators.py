@@ -124,6 +124,41 @@ def test_near_duplicates_as_by_hand(spark, rows, width):
     assert all(x["kept"] == (x["doc_id"] is None or x["doc_id"] == x["component_id"]) for x in got)
 
 
+def test_far_copies_of_one_text_and_families_among_them(spark):
+    r, rows = random.Random(4), []
+    base = prose(1, 5, 160, 160)[0].split()
+    for i in range(60):  # copies with edits of their own, most of them too far from each other
+        w = list(base)
+        for k in r.sample(range(len(w)), 1 + i % 12):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+        if i % 5 == 0:  # and families: copies of far copies
+            for j in range(3):
+                v = list(w)
+                v[r.randrange(len(v))] = f"kin{i}x{j}"
+                rows.append((1000 + i * 10 + j, " ".join(v)))
+    rows += [(2000 + i, " ".join(base[: 160 - 3 * i])) for i in range(25)]  # and ever shorter ones
+    got = neardup.components(documents(spark, rows), 5).collect()
+    by_hand = components_by_hand(rows, 5)
+    assert sorted((str(x["doc_id"]), x["n_shingles"], str(x["component_id"])) for x in got) == by_hand
+    assert len({c for *_, c in by_hand}) > 10
+
+
+def test_recall_of_pairs_just_above_the_threshold(spark):
+    r, rows, linked = random.Random(8), [], 0
+    for i, text in enumerate(prose(300, 31, 120, 120)):
+        w = [f"{x}{i}" for x in text.split()]
+        v = list(w)
+        for k in r.sample(range(0, 118, 3), 6):
+            v[k] = f"new{i}x{k}"
+        a, b = ({" ".join(x[j : j + 2]) for j in range(119)} for x in (w, v))
+        linked += 0.8 <= len(a & b) / len(a | b) <= 0.85
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v if 100 * len(a & b) >= 80 * len(a | b) else [*w, f"last{i}"]))]
+    assert linked > 100
+    got = {x["doc_id"]: x["component_id"] for x in neardup.components(documents(spark, rows), 2).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(300)) == 300
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.components(documents(spark, []).limit(0)).count() == 0
     assert [x["kept"] for x in neardup.components(documents(spark, [(1, ""), (2, None)])).collect()] == [True, True]

@@ -29,7 +29,7 @@ def test_stages_take_effect_and_pass_the_rest(spark, tmp_path):
     clean = {i for i, _ in rows} - set(toxic)
     assert {x["doc_id"] for x in seen["toxicity"]} == clean
     kept_rows = [(x["doc_id"], x["text"]) for x in seen["toxicity"]]
-    roots = {d for d, _, c in components_by_hand(kept_rows, pipeline.WIDTH) if d == c}
+    roots = {d for d, _, c in components_by_hand(kept_rows, pipeline.WIDTH) if d == c} | {"None"}
     assert {str(x["doc_id"]) for x in seen["near_duplicates"]} == roots
     masked = {x["doc_id"]: x for x in seen["secrets"]}
     assert "<secret>" in masked[303]["text"] and masked[303]["n_chars"] == len(masked[303]["text"])
@@ -37,3 +37,13 @@ def test_stages_take_effect_and_pass_the_rest(spark, tmp_path):
     assert {x["doc_id"] for x in seen["packing"]} == set(masked)
     whole = pipeline.run(spark, str(tmp_path))
     assert sorted((x["doc_id"] or -1, x["piece"], x["length"], x["ids_crc32"]) for x in whole.collect()) == sorted((x["doc_id"] or -1, x["piece"], x["length"], x["ids_crc32"]) for x in seen["packing"])
+
+
+def test_near_duplicates_go_by_text_where_ids_repeat(spark, tmp_path):
+    a, b, c = prose(3, 9, 60, 60)
+    rows = [(7, a), (7, b), (7, b), (3, a + " more"), (None, c), (None, c + " more"), (9, ""), (None, None), (4, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [x["text"] for x in pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sum(t in (a, a + " more") for t in got) == 1 and got.count(b) == 1 and sum(t in (c, c + " more") for t in got) == 1
+    assert len(got) == 5
+    assert pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
