@@ -1,12 +1,14 @@
 """A training corpus from documents: toxic ones go, one of each near-duplicate group stays, secrets are masked, the rest is packed.
 
-A row without a doc_id passes every stage but is never a near duplicate; rows that repeat a doc_id become one
-at the near-duplicate stage. A null text is an empty one. Columns that documents doesn't have are dropped.
+Near duplicates are found among texts, not ids: rows that share a doc_id, or have none, but differ in text are documents of
+their own, so that a row goes only if another of its group stays. Of rows that share both, one stays. Empty texts are
+near duplicates of nothing. A null text is an empty one. Columns that documents doesn't have are dropped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from penstroke.llm.common import materialize, table
 from penstroke.llm.neardup import components
@@ -27,11 +29,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document with the least doc_id; where doc_ids repeat or are null, a hash of id and text takes their place."""
     docs = docs.select(*COLUMNS)
-    kept = components(docs, WIDTH, PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
-    # both steps go by doc_id: the second finds the rows where the first has dealt them
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    unclear = materialize(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id", F.lit(True).alias("unclear")), "unclear")
+    if not unclear.isEmpty():
+        named = docs.join(unclear, docs["doc_id"].eqNullSafe(unclear["doc_id"]), "left").drop(unclear["doc_id"])
+        node = F.when(F.col("unclear"), F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))).otherwise(F.col("doc_id"))
+        docs = materialize(named.withColumn("node", node).groupBy("node").agg(*[F.min(F.struct(*COLUMNS)).alias("r")]).select("node", "r.*"), "named")
+    else:
+        docs = docs.withColumn("node", F.col("doc_id"))
+    kept = components(docs.select(F.col("node").alias("doc_id"), "text"), WIDTH, PERCENT).where("kept").select(F.col("doc_id").alias("node"))
+    return docs.join(kept, "node", "left_semi").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
