@@ -79,8 +79,8 @@ def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
-    """Each text's distinct shingles as sorted 64-bit hashes; all words of the texts are hashed in one go."""
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, after lower-casing A-Z, and where each text's words end."""
     raws = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
     ends_of = np.cumsum(np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws)))
@@ -89,8 +89,12 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     start, end = edge[0::2], edge[1::2]
     up, down = _powers_of(len(data) + 1)
     total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-    word = _mix((total[end] - total[start]) * down[start])
-    upto = np.searchsorted(start, ends_of)
+    return _mix((total[end] - total[start]) * down[start]), np.searchsorted(start, ends_of)
+
+
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted 64-bit hashes; all words of the texts are hashed in one go."""
+    word, upto = hashed_words(texts)
     out, low = [], 0
     for high in upto.tolist():
         n, w = high - low, word[low:high]
@@ -152,7 +156,7 @@ def _digest(s: np.ndarray) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about so many bytes of text."""
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
@@ -168,7 +172,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        for batch in _slices(batches):
+        for batch in slices(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             lows = [minima(s) for s in sets]
             keys, ranks = zip(*map(keys_of, sets, lows), strict=True)
@@ -187,7 +191,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        for batch in _slices(batches):
+        for batch in slices(batches):
             sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).to_pylist(), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets, pa.int64())], names=["id", "shingles"])
 

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.OP1_SQL, "op2_warc": warc.OP2_SQL, "op3_near_duplicates": neardup.OP3_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op2_warc": warc.OP2_SQL, "op3_near_duplicates": neardup.OP3_SQL, "op5_search": search.OP5_SQL}
