@@ -1,26 +1,27 @@
 """Token-id files: an adaptive context-mixing range coder in independent blocks.
 
-A file holds the ids of whole documents, one after another, in blocks of BLOCK ids. A block starts from a
-clean state and has a checksum. For each id the last two ids (order 2) and the last one (order 1) each
-predict, from a table of what followed them before in the block, one id; how sure the predictors are picks a
-row of counts each, the two distributions over {order 2 is right, order 1 is, neither} are mixed with a
-weight that follows whichever did better, and the outcome is coded. An id that neither predicts is coded by
-order 0: its frequency in the file, which the header states. The coder keeps a range of 48 bits and puts out
-16 bits at a time; a file's blocks are coded side by side, one numpy lane each. All arithmetic is on integers
-or single IEEE operations, so that reading repeats writing's steps exactly.
-
-Layout: MAGIC, the header's size as u32, the header (zlib of JSON: documents' ids and lengths, id counts, and
-tokens, bytes and crc32 of each block), the blocks. Files are rows (shard, tokens, image) of a table, so that
-Spark's commit makes a shard appear whole or not at all; `export` writes them as plain files.
+An image holds the ids of whole documents, one after another, in blocks of BLOCK ids. A block starts from a clean
+state and has a checksum. For each id the last two ids (order 2) and the last one (order 1) each predict the id that
+followed them last time in the block, and tell whether their last two predictions held. From these states three models,
+order 2's, order 1's and one of both together, predict whether order 2 is right, order 1 is, or neither; their
+predictions are mixed, the joint model's weight growing with what it has seen, and the outcome is coded. The models adapt
+every CHUNK ids. An id that neither predicts is coded by order 0: its frequency in the image, which the header
+states. The coder keeps a range of 48 bits and puts out 16 bits at a time; an image's blocks are coded side by
+side, one numpy lane each. All arithmetic is on integers, so that reading repeats writing's steps exactly.
+
+Layout of an image: MAGIC, the header's size as u32, the header (zlib of JSON: shard, first id's place in the shard,
+documents' ids and lengths, id counts, and tokens, bytes and crc32 of each block), the blocks, END. Each image of about IMAGE ids is a
+file of its own in the shared folder (a longer document makes a longer one); Spark's commit makes a task's files appear whole or not at all.
 
 Defined results: a null text is empty (only the end id); rows without a doc_id come first; rows that share a
-doc_id stand in the order of their texts; an empty table makes no file. Extra columns are ignored.
+doc_id stand in the order of their texts; an empty table makes no image. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,12 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_of
-from .tokens import encoder
+from .common import shared_dir, table, text_of
+from .neardup import slices
+from .tokens import encoder, sound
 
-MAGIC, BLOCK, LANES, SLOTS = b"IDBLOCKS1\n", 4096, 2048, 4096
+MAGIC, END, BLOCK, CHUNK, LANES, SLOTS, IMAGE = b"IDBLOCKS2\n", "IDEND\n", 4096, 256, 2048, 4096, 4_000_000
 _U = np.uint64
 _LITERAL = 20
+#: A predictor's state: 0 nothing seen, else 1 + (last prediction held) + 2 * (the one before held); _NEXT by state * 2 + held.
+_NEXT = np.asarray([1, 2, 1, 2, 3, 4, 1, 2, 3, 4], np.int32)
+_STATES = 50
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -46,150 +51,196 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
     return f
 
 
-class _Model:
-    """The predictors and the mixer of n lanes."""
+class _Mixer:
+    """Adaptive counts of outcomes (order 2 right, order 1, neither) by lane and states, and their mixed frequencies of 2^16."""
 
     def __init__(self, n: int):
-        self.n = n
-        self.two, self.one = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)
-        self.base = np.arange(n, dtype=np.int64) * SLOTS
-        self.a, self.b = np.tile(np.asarray([0.4, 0.4, 1.2, 2.0], np.float32), (n * 8, 1)), np.tile(np.asarray([0.4, 0.4, 1.2, 2.0], np.float32), (n * 16, 1))
-        self.a_base, self.b_base = np.arange(n, dtype=np.int64) * 8, np.arange(n, dtype=np.int64) * 16
-        self.w = np.full(n, 0.5, np.float32)
-        self.last, self.before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-
-    def predict(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the first m lanes: the two predicted ids (-1: none), and the frequencies, of 2^16, of the first two outcomes."""
-        last = self.last[:m]
-        self.at1 = (last * np.uint32(0x9E3779B1) >> np.uint32(20)) + self.base[:m]
-        self.at2 = ((last * np.uint32(0x85EBCA6B) ^ self.before[:m] * np.uint32(0xC2B2AE35)) * np.uint32(0x9E3779B1) >> np.uint32(20)) + self.base[:m]
-        self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
-        self.c1, self.c2 = self.e1 & 7, self.e2 & 7
-        p1, p2 = (self.e1 >> 3) - 1, (self.e2 >> 3) - 1
-        self.row_a, self.row_b = self.a_base[:m] + self.c2, self.b_base[:m] + self.c1 * 2 + (p1 == p2)
-        self.pa, self.pb = self.a.take(self.row_a, axis=0), self.b.take(self.row_b, axis=0)
-        self.pa /= self.pa[:, 3:]
-        self.pb /= self.pb[:, 3:]
-        self.mixed = self.pb + (self.pa - self.pb) * self.w[:m, None]
-        f = (self.mixed[:, :2] * np.float32(65000.0)).astype(np.int64)
-        return p2, p1, np.minimum(f[:, 0], 65000) + 1, np.minimum(f[:, 1], 65000 - np.minimum(f[:, 0], 65000)) + 1
-
-    def learn(self, m: int, outcome: np.ndarray, ids: np.ndarray) -> None:
-        flat = np.arange(m) * 4 + outcome
-        share = self.pa.ravel().take(flat) / np.maximum(self.mixed.ravel().take(flat), np.float32(1e-4))
-        self.w[:m] = np.minimum(np.maximum(self.w[:m] * share, np.float32(0.02)), np.float32(0.98)) * np.float32(0.96) + np.float32(0.02)
-        for table_, row in ((self.a, self.row_a), (self.b, self.row_b)):
-            flat_table = table_.ravel()
-            flat_table[row * 4 + outcome] += np.float32(1)
-            flat_table[row * 4 + 3] += np.float32(1)
-        for store, at, e, c in ((self.two, self.at2, self.e2, self.c2), (self.one, self.at1, self.e1, self.c1)):
-            right = (e >> 3) - 1 == ids
-            fresh = ~right & (c <= 2)
-            store[at] = np.where(right, e + (c < 7), np.where(fresh, (ids + 1) << 3 | 1, e - 2))
-        self.before[:m] = self.last[:m]
-        self.last[:m] = ids
+        self.n, self.counts = n, np.zeros((n, _STATES, 3), np.int32)
+
+    def frequencies(self) -> tuple[np.ndarray, np.ndarray]:
+        joint = self.counts.reshape(self.n, 5, 5, 2, 3)
+        two, one = joint.sum((2, 3), dtype=np.int32) + 8, joint.sum(1, dtype=np.int32) + 8
+        two, one = (two << 12) // two.sum(-1, keepdims=True), (one << 12) // one.sum(-1, keepdims=True)
+        mixed = (joint << 3) + ((two[:, :, None, None] + one[:, None]) >> 4)
+        scale = mixed.sum(-1)
+        first, second = (mixed[..., 0] << 8) * 250 // scale + 16, (mixed[..., 1] << 8) * 250 // scale + 16
+        return first.reshape(-1).astype(np.int64), second.reshape(-1).astype(np.int64)
+
+    def learn(self, cells: np.ndarray) -> None:
+        """cells: (lane * states + state) * 3 + outcome of a chunk's ids."""
+        seen = np.bincount(cells, minlength=self.counts.size).reshape(self.counts.shape)
+        self.counts += (seen << 4).astype(np.int32) - (self.counts >> 4)
+
+
+def _slot_one(last: np.ndarray) -> np.ndarray:
+    return last * np.uint32(0x9E3779B1) >> np.uint32(20)
+
+
+def _slot_two(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return (last * np.uint32(0x85EBCA6B) ^ before * np.uint32(0xC2B2AE35)) * np.uint32(0x9E3779B1) >> np.uint32(20)
+
+
+def _predicted(slot: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(prediction or -1, state) at each id, from what stood in the same slot before in the block (rows)."""
+    rows, steps = slot.shape
+    order = np.argsort(slot.astype(np.uint16), axis=1, kind="stable")
+    order += (np.arange(rows) * steps)[:, None]
+    slots, own = slot.ravel()[order], ids.ravel()[order]
+    same = np.zeros(slot.shape, bool)
+    np.equal(slots[:, 1:], slots[:, :-1], out=same[:, 1:])
+    guess = np.full(slot.shape, -1, np.int32)
+    guess[:, 1:] = np.where(same[:, 1:], own[:, :-1], -1)
+    held = guess == own
+    state = same.astype(np.int32)
+    state[:, 1:] += held[:, :-1] & same[:, 1:]
+    state[:, 2:] += (held[:, :-2] & same[:, 2:] & same[:, 1:-1]) * np.int32(2)
+    both = np.empty(rows * steps, np.int32)
+    both[order.ravel()] = ((guess + 1) << 3 | state).ravel()
+    both = both.reshape(slot.shape)
+    return (both >> 3) - 1, both & 7
 
 
 def encode_blocks(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, low_of: np.ndarray, f_of: np.ndarray) -> list[bytes]:
-    """The bytes of each block, longest block first. low_of, f_of: order 0 by id."""
+    """The bytes of each block, longest block first; only the last may be shorter. low_of, f_of: order 0 by id."""
     n, steps = len(starts), int(lengths[0])
-    model = _Model(n)
+    rows = np.zeros((n, steps), np.int32)
+    for i, (a, m) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
+        rows[i, :m] = ids[a : a + m]
+    last, before = np.zeros((n, steps), np.uint32), np.zeros((n, steps), np.uint32)
+    last[:, 1:], before[:, 2:] = rows[:, :-1], rows[:, :-2]
+    p2, c2 = _predicted(_slot_two(last, before), rows)
+    p1, c1 = _predicted(_slot_one(last), rows)
+    outcome = np.where(p2 == rows, 0, np.where(p1 == rows, 1, 2))
+    cell = (np.arange(n)[:, None] * _STATES + c2 * 10 + c1 * 2 + (p1 == p2)).T.copy()
+    outcome, rows = outcome.T.copy(), rows.T.copy()
+    mixer = _Mixer(n)
     low, size = np.zeros(n, _U), np.full(n, 1 << 48, _U)
-    words, at = np.zeros((n, 64), np.uint32), np.zeros(n, np.int64)
+    words, width = np.zeros((n, steps), np.uint32).ravel(), steps
+    at = np.arange(n) * width
+    mask, floor = _U(0xFFFFFFFF), _U(1 << 32)
 
     def put(which: np.ndarray) -> None:
-        nonlocal words
-        if len(which):
-            if int(at[which].max()) + 4 > words.shape[1]:
-                words = np.concatenate([words, np.zeros_like(words)], axis=1)
-            words[which, at[which]] = low[which] >> _U(32)
-            at[which] += 1
-            low[which] = (low[which] & _U(0xFFFFFFFF)) << _U(16)
-            size[which] <<= _U(16)
-
-    alive = np.searchsorted(-lengths, -np.arange(steps), "left")
-    for t in range(steps):
-        m = int(alive[t])
-        sym = ids[starts[:m] + t]
-        p2, p1, f2, f1 = model.predict(m)
-        outcome = np.where(p2 == sym, 0, np.where(p1 == sym, 1, 2))
-        from_ = np.where(outcome == 0, 0, np.where(outcome == 1, f2, f2 + f1)).astype(_U)
-        freq = np.where(outcome == 0, f2, np.where(outcome == 1, f1, 65536 - f2 - f1)).astype(_U)
-        r = size[:m] >> _U(16)
-        low[:m] += r * from_
-        size[:m] = r * freq
-        put(np.flatnonzero(size[:m] < 1 << 32))
-        new = np.flatnonzero(outcome == 2)
-        if len(new):
-            r = size[new] >> _U(_LITERAL)
-            low[new] += r * low_of[sym[new]]
-            size[new] = r * f_of[sym[new]]
-            put(new[size[new] < 1 << 32])
-            put(new[size[new] < 1 << 32])
-        model.learn(m, outcome, sym)
+        x = low[which]
+        words[at[which]] = x >> _U(32)
+        at[which] += 1
+        low[which] = (x & mask) << _U(16)
+        size[which] <<= _U(16)
+
+    for t0 in range(0, steps, CHUNK):
+        t1 = min(t0 + CHUNK, steps)
+        used = int((at - np.arange(n) * width).max())
+        if used + 3 * CHUNK + 4 > width:
+            wide = np.zeros((n, 2 * width + 4 * CHUNK), np.uint32)
+            wide[:, :width] = words.reshape(n, width)
+            at = at + np.arange(n) * (wide.shape[1] - width)
+            words, width = wide.ravel(), wide.shape[1]
+        f2, f1 = mixer.frequencies()
+        out, first, second = outcome[t0:t1], f2[cell[t0:t1]], f1[cell[t0:t1]]
+        from_ = np.where(out == 0, 0, np.where(out == 1, first, first + second)).astype(_U)
+        freq = np.where(out == 0, first, np.where(out == 1, second, 65536 - first - second)).astype(_U)
+        own = rows[t0:t1]
+        low0, f0 = np.where(out == 2, low_of[own], _U(0)), np.where(out == 2, f_of[own], _U(1 << _LITERAL))
+        for t in range(t1 - t0):
+            m = n if t + t0 < lengths[-1] else n - 1
+            r = size[:m] >> _U(16)
+            add = r * from_[t, :m]
+            r *= freq[t, :m]
+            r >>= _U(_LITERAL)
+            add += r * low0[t, :m]
+            low[:m] += add
+            r *= f0[t, :m]
+            size[:m] = r
+            short = np.flatnonzero(r < floor)
+            while len(short):
+                put(short)
+                short = short[size[short] < floor]
+        cells = cell[t0:t1] * 3 + out
+        if lengths[-1] < t1:
+            cells = np.concatenate([cells[:, :-1].ravel(), cells[: max(int(lengths[-1]) - t0, 0), -1]])
+        mixer.learn(cells.ravel())
+    if n and width - int((at - np.arange(n) * width).max()) < 4:
+        wide = np.zeros((n, width + 8), np.uint32)
+        wide[:, :width] = words.reshape(n, width)
+        at = at + np.arange(n) * 8
+        words, width = wide.ravel(), width + 8
     for _ in range(3):
         put(np.arange(n))
     # words hold 17 bits: carries go to the words before
+    words, used = words.reshape(n, width), at - np.arange(n) * width
     carry = np.zeros(n, np.uint32)
-    for k in range(int(at.max()) - 1, -1, -1):
+    for k in range(int(used.max()) - 1, -1, -1):
         words[:, k] += carry
         carry = words[:, k] >> np.uint32(16)
-    small = words.astype(">u2")
-    return [small[i, : at[i]].tobytes() for i in range(n)]
+    small = words[:, : int(used.max())].astype(">u2")
+    return [small[i, : used[i]].tobytes() for i in range(n)]
 
 
 def decode_blocks(blocks: list[bytes], lengths: np.ndarray, cum: np.ndarray, ids_of: np.ndarray) -> list[np.ndarray]:
-    """The ids of each block, longest block first. cum: order 0's cumulated frequencies, of the ids in ids_of."""
+    """The ids of each block, longest block first; only the last may be shorter. cum: order 0's cumulated frequencies, of the ids in ids_of."""
     n, steps = len(blocks), int(lengths[0])
-    words = np.zeros((n, max(map(len, blocks)) // 2 + 8), np.uint16)
+    words = np.zeros((n, max(map(len, blocks)) // 2 + 8), _U)
     for i, b in enumerate(blocks):
         words[i, : len(b) // 2] = np.frombuffer(b, ">u2")
     words, width = words.ravel(), words.shape[1]
-    at = np.arange(n, dtype=np.int64) * width
+    at = np.arange(n) * width
     code, size = np.zeros(n, _U), np.full(n, 1 << 48, _U)
     for _ in range(3):
         code = code << _U(16) | words[at]
         at += 1
-    out = np.zeros((n, steps), np.int32)
-    model = _Model(n)
-    f_of = np.diff(cum).astype(_U)
-    low_of = cum[:-1].astype(_U)
+    out = np.zeros((steps, n), np.int32)
+    mixer, lanes = _Mixer(n), np.arange(n) * _STATES
+    two, one, base = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32), np.arange(n) * SLOTS
+    last, before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+    f_of, low_of, floor, whole = np.diff(cum).astype(_U), cum[:-1].astype(_U), _U(1 << 32), _U(1 << _LITERAL)
+    place = np.repeat(np.arange(len(f_of), dtype=np.int32), np.diff(cum))
 
     def take(which: np.ndarray) -> None:
-        if len(which):
-            code[which] = code[which] << _U(16) | words[at[which]]
-            at[which] += 1
-            size[which] <<= _U(16)
-
-    alive = np.searchsorted(-lengths, -np.arange(steps), "left")
-    for t in range(steps):
-        m = int(alive[t])
-        p2, p1, f2, f1 = model.predict(m)
-        r = size[:m] >> _U(16)
-        v = np.minimum(code[:m] // r, _U(65535)).astype(np.int64)
-        outcome = (v >= f2).astype(np.int64) + (v >= f2 + f1)
-        from_ = np.where(outcome == 0, 0, np.where(outcome == 1, f2, f2 + f1)).astype(_U)
-        freq = np.where(outcome == 0, f2, np.where(outcome == 1, f1, 65536 - f2 - f1)).astype(_U)
-        code[:m] -= r * from_
-        size[:m] = r * freq
-        take(np.flatnonzero(size[:m] < 1 << 32))
-        sym = np.where(outcome == 0, p2, p1)
-        new = np.flatnonzero(outcome == 2)
-        if len(new):
-            r = size[new] >> _U(_LITERAL)
-            v = np.minimum(code[new] // r, _U((1 << _LITERAL) - 1)).astype(np.int64)
-            k = np.searchsorted(cum, v, "right") - 1
-            code[new] -= r * low_of[k]
-            size[new] = r * f_of[k]
-            sym[new] = ids_of[k]
-            take(new[size[new] < 1 << 32])
-            take(new[size[new] < 1 << 32])
-        out[:m, t] = sym
-        model.learn(m, outcome, sym)
-    return [out[i, : lengths[i]] for i in range(n)]
-
-
-def write_image(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+        code[which] = code[which] << _U(16) | words[at[which]]
+        at[which] += 1
+        size[which] <<= _U(16)
+
+    for t0 in range(0, steps, CHUNK):
+        f2, f1 = mixer.frequencies()
+        seen = []
+        for t in range(t0, min(t0 + CHUNK, steps)):
+            m = n if t < lengths[-1] else n - 1
+            if not m:
+                break
+            at2, at1 = base[:m] + _slot_two(last[:m], before[:m]), base[:m] + _slot_one(last[:m])
+            e2, e1 = two[at2], one[at1]
+            c2, c1, p2, p1 = e2 & 7, e1 & 7, (e2 >> 3) - 1, (e1 >> 3) - 1
+            cell = lanes[:m] + (c2 * 10 + c1 * 2 + (p1 == p2))
+            first, second = f2[cell], f1[cell]
+            r = size[:m] >> _U(16)
+            v = np.minimum(code[:m] // r, _U(65535)).astype(np.int64)
+            both = first + second
+            later, neither = v >= first, v >= both
+            outcome = later.astype(np.int64) + neither
+            from_ = np.where(neither, both, first * later)
+            freq = np.where(neither, 65536 - both, np.where(later, second, first))
+            rest = code[:m] - r * from_.astype(_U)
+            r *= freq.astype(_U)
+            r >>= _U(_LITERAL)
+            k = place[np.minimum(rest // r, _U((1 << _LITERAL) - 1)).astype(np.int64)]
+            code[:m] = np.where(neither, rest - r * low_of[k], rest)
+            r *= np.where(neither, f_of[k], whole)
+            size[:m] = r
+            short = np.flatnonzero(r < floor)
+            while len(short):
+                take(short)
+                short = short[size[short] < floor]
+            sym = np.where(neither, ids_of[k], np.where(later, p1, p2))
+            out[t, :m] = sym
+            seen.append(cell * 3 + outcome)
+            two[at2] = (sym + 1) << 3 | _NEXT[c2 * 2 + (p2 == sym)]
+            one[at1] = (sym + 1) << 3 | _NEXT[c1 * 2 + (p1 == sym)]
+            before[:m] = last[:m]
+            last[:m] = sym
+        mixer.learn(np.concatenate(seen) if seen else np.empty(0, np.int64))
+    return [out[: lengths[i], i].copy() for i in range(n)]
+
+
+def write_image(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, shard: int = 0, first: int = 0) -> bytes:
     ids = ids.astype(np.int32)
     present, counts = np.unique(ids, return_counts=True)
     f = frequencies(counts)
@@ -201,19 +252,23 @@ def write_image(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray)
     for k in range(0, len(starts), LANES):
         blocks += encode_blocks(ids, starts[k : k + LANES], sizes[k : k + LANES], low_of, f_of)
     table_ = [[int(n), len(b), zlib.crc32(b)] for n, b in zip(sizes, blocks, strict=True)]
-    head = {"doc_ids": doc_ids, "lengths": lengths.tolist(), "ids": np.diff(present, prepend=0).tolist(), "counts": counts.tolist(), "blocks": table_}
+    head = {"shard": shard, "first": first, "tokens": len(ids), "doc_ids": doc_ids, "lengths": lengths.tolist(), "ids": np.diff(present, prepend=0).tolist(), "counts": counts.tolist(), "blocks": table_}
     packed = zlib.compress(json.dumps(head, separators=(",", ":")).encode(), 6)
     return b"".join([MAGIC, struct.pack("<I", len(packed)), packed, *blocks])
 
 
-def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(doc_ids, lengths, ids) of a file; a checksum that doesn't hold raises."""
+def read_header(image: bytes) -> tuple[dict, int]:
+    """(header, where the blocks start)."""
     if image[: len(MAGIC)] != MAGIC:
         raise ValueError("not an id file")
     at = len(MAGIC) + 4
     (size,) = struct.unpack("<I", image[len(MAGIC) : at])
-    head = json.loads(zlib.decompress(image[at : at + size]))
-    at += size
+    return json.loads(zlib.decompress(image[at : at + size])), at + size
+
+
+def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(doc_ids, lengths, ids) of a file; a checksum that doesn't hold raises."""
+    head, at = read_header(image)
     blocks = []
     for _, n, crc in head["blocks"]:
         blocks.append(image[at : at + n])
@@ -229,64 +284,76 @@ def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return head["doc_ids"], np.asarray(head["lengths"], np.int64), np.concatenate(parts)
 
 
-def write_files(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
-    """The table (shard, tokens, image) of the documents' ids in ascending doc_id order, in the shared folder."""
+def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 2, image: int = IMAGE) -> None:
+    """Write the documents' ids in ascending doc_id order to files in the folder, which driver and executors share."""
+    fast = sound(path)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, shard = encoder(path), TaskContext.get().partitionId()
-        doc_ids: list[int | None] = []
-        parts, lengths = [], []
-        for whole in batches:
-            for low in range(0, whole.num_rows, 512):
-                part = whole.slice(low, 512)
-                ids, per = by.encode(part.column(1).to_pylist())
-                parts.append(np.insert(ids.astype(np.uint16 if len(by.library.get_vocab()) < 65536 else np.uint32), np.cumsum(per), end_id))
-                lengths.append(per + 1)
-                doc_ids += part.column(0).to_pylist()
+        import pyarrow.compute  # noqa: F401
+
+        by, shard, first = encoder(path, fast), TaskContext.get().partitionId(), 0
+        doc_ids, parts, lengths, held = [], [], [], 0
+        small = np.uint16 if by.library.get_vocab_size() <= 65536 else np.uint32
+
+        def closed() -> pa.RecordBatch:
+            nonlocal doc_ids, parts, lengths, held, first
+            made_ = write_image(doc_ids, np.concatenate(lengths), np.concatenate(parts), shard, first)
+            doc_ids, parts, lengths, held, first = [], [], [], 0, first + held
+            return pa.RecordBatch.from_arrays([pa.array([made_], pa.binary())], names=["value"])
+
+        for part in slices(batches, 4 << 20):
+            ids, per = by.encode(part.column(1).to_pylist())
+            parts.append(np.insert(ids.astype(small), np.cumsum(per), end_id))
+            lengths.append(per + 1)
+            doc_ids += part.column(0).to_pylist()
+            held += len(parts[-1])
+            if held >= image:
+                yield closed()
         if doc_ids:
-            ids = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(ids)]), pa.array([write_image(doc_ids, np.concatenate(lengths), ids)], pa.binary())], names=["shard", "tokens", "image"])
+            yield closed()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(dealt.mapInArrow(made, "shard long, tokens long, image binary"), "idfiles", "none")
-
-
-def export(files: DataFrame, folder: str) -> None:
-    """Each shard as a file of its own, in a folder that the executors can write to."""
+    # the text writer puts a value's bytes out as they are, then the end mark
+    images = dealt.mapInArrow(made, "value binary").select(F.col("value").cast("string").alias("value"))
+    images.write.option("lineSep", END).option("maxRecordsPerFile", 1).text(folder)
 
-    def save(rows: Iterator) -> None:
-        import os
 
-        for r in rows:
-            name = f"{folder}/{r['shard']:06d}.ids"
-            with open(f"{name}.{TaskContext.get().taskAttemptId()}", "wb") as f:
-                f.write(r["image"])
-            os.replace(f.name, name)
-
-    files.foreachPartition(save)
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the folder's files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
 
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [read_header(x.as_py())[0] for x in batch.column(0) if len(x.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in found], pa.int64()) for k in ("shard", "tokens")], names=["shard", "tokens"])
 
-def read_files(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files."""
     before, total = {}, 0
-    for row in sorted(files.select("shard", "tokens").collect()):  # a row per file
-        before[row["shard"]] = total
-        total += row["tokens"]
+    for shard, tokens in sorted(files.mapInArrow(headers, "shard long, tokens long").groupBy("shard").agg(F.sum("tokens")).collect()):  # a row a shard
+        before[shard] = total
+        total += tokens
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc_ids, lengths, ids = read_image(batch.column(1)[i].as_py())
+            for content in batch.column(0):
+                image = content.as_py()
+                if not image:
+                    continue
+                if not image.endswith(END.encode()):
+                    raise ValueError("a file was cut off")
+                head, (doc_ids, lengths, ids) = read_header(image)[0], read_image(image)
                 data, ends = ids.astype("<u4"), np.cumsum(lengths)
                 crc = [zlib.crc32(data[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ends - lengths + before[batch.column(0)[i].as_py()]), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                start = ends - lengths + before[head["shard"]] + head["first"]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("shard", "image").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return read_files(write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    folder = f"{shared_dir(spark)}/penstroke/{uuid.uuid4().hex}/idfiles"
+    write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return read_files(spark, folder)

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, table, text_of
-from .tokens import encoder
+from .neardup import slices
+from .tokens import encoder, sound
 
 CAPACITY, SPREAD = 2048, 64
 #: Branches that the search may dive down and fillings that a node may try; steps of all dives together. A dive takes about
@@ -213,22 +214,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, spread: int = SPREAD) -> D
 def cut(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and the end id, in pieces of which the first may be shorter."""
 
+    fast = sound(path)
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, end = encoder(path), np.asarray([end_id], "<u4")
-        for whole in batches:
-            for low in range(0, whole.num_rows, 512):
-                batch = whole.slice(low, 512)
-                ids, per = by.encode(batch.column(1).to_pylist())
-                ids = ids.astype("<u4")
-                out: list[tuple[int, int, int, int, int]] = []
-                at = 0
-                for i, n in enumerate(per.tolist()):
-                    own = np.concatenate([ids[at : at + n], end])
-                    at += n
-                    cuts = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
-                    out += [(i, k, a, b - a, zlib.crc32(own[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-                rows, piece, start, length, crc = zip(*out, strict=True) if out else ([],) * 5
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        import pyarrow.compute  # noqa: F401
+
+        by, end = encoder(path, fast), np.asarray([end_id], "<u4")
+        for batch in slices(batches, 4 << 20):
+            ids, per = by.encode(batch.column(1).to_pylist())
+            ids = ids.astype("<u4")
+            out: list[tuple[int, int, int, int, int]] = []
+            at = 0
+            for i, n in enumerate(per.tolist()):
+                own = np.concatenate([ids[at : at + n], end])
+                at += n
+                cuts = [0, *range(len(own) % capacity or capacity, len(own) + 1, capacity)]
+                out += [(i, k, a, b - a, zlib.crc32(own[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            rows, piece, start, length, crc = zip(*out, strict=True) if out else ([],) * 5
+            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

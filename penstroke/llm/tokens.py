@@ -1,184 +1,291 @@
-"""Token ids of whole texts by a public tokenizer file, each distinct word encoded once.
-
-A byte-level BPE file's pre-tokenizer never joins what stands on both sides of a single space before a
-character that isn't white space, so a text may be cut there. Words are looked up in a bounded table; the
-new ones of a batch are encoded together by `tiktoken` from the same file's merges, which is several times
-as fast, as long as it gives what the `tokenizers` library gives: each process compares its first words by
-both and keeps to the library if any differs. Words with characters beyond Latin-1, and texts with other
-white space around spaces, always go through the library as they are.
+"""Token ids of whole texts by a public byte-level BPE file, each distinct piece of a text encoded once.
+
+The two kinds of files read here cut a text into pieces (runs of letters, numbers and other characters, with the
+space before them or not) and encode each piece on its own. Texts of Latin-1 characters are cut by numpy, all
+texts of a batch at once; pieces are looked up in a bounded table by a hash, and the bytes of every piece found are
+compared with the table's, so that a chance agreement of hashes changes nothing. New pieces are encoded together by `tiktoken` from
+the file's own merges, if `sound` holds; otherwise, and for all texts with other characters, control characters or
+the string of a special token, the `tokenizers` library encodes the whole text, with add_special_tokens=False and nothing else set.
+
+tiktoken merges any neighbours whose joint string is a token, the library only listed pairs. Both agree if every
+token, merged by listed pairs alone, comes out whole: until the first unlisted pair c, d would be merged to T, no
+merge crosses the edges of this stretch, so it went as T goes on its own, which passes T's listed pair first and so never
+leaves c and d side by side. `sound` checks this for the whole vocabulary, on the driver.
 """
 
 from __future__ import annotations
 
 import json
-import re
+from functools import lru_cache
 
 import numpy as np
 
-#: A place where cutting before a space could change the ids: white space after it, or before it at the end.
-RUNS = re.compile(r" \s|\s \Z")
-MARK = "\x00"
+SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+#: Characters that no piece of the fast way may hold: what the libraries might take for white space or not.
+_CONTROL = bytes([*range(9), *range(14, 32), *range(127, 160)])
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+
+
+def _classes() -> np.ndarray:
+    """The class of each Latin-1 character as in \\p{L}, \\p{N} and \\s."""
+    of = np.full(256, OTHER, np.uint8)
+    for c in range(256):
+        if chr(c) in "\t\n\v\f\r \x85\xa0":
+            of[c] = SPACE
+        elif chr(c).isalpha():
+            of[c] = LETTER
+        elif chr(c).isnumeric():
+            of[c] = NUMBER
+    return of
+
+
+_CLASS = _classes()
 
 
 def ragged(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """pool[s:s+n] for each start and length, one after another."""
-    total = int(lengths.sum())
     shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    return pool[shift + np.arange(total)]
+    return pool[shift + np.arange(len(shift))]
+
+
+def _parts(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]], bool, list[str]]:
+    """(bytes of each token: id, merges, whether pieces end in a mark, special strings). The mark is the byte 0."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    end = model["model"].get("end_of_word_suffix") or ""
+    letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(letters)]
+    to_byte = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(rest)}
+    special = {x["content"] for x in model["added_tokens"]}
+
+    def raw(token: str) -> bytes:
+        last = bool(end) and token.endswith(end)
+        return bytes(to_byte[c] for c in (token[: -len(end)] if last else token)) + b"\x00" * last
+
+    vocab = model["model"]["vocab"]
+    nil = {c for c, b in to_byte.items() if b == 0}
+    # where pieces end in a mark, tokens with a byte 0 of their own are left out: texts with one aren't encoded by this table
+    ranks = {raw(t): i for t, i in vocab.items() if t not in special and not (end and nil & set(t))}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
+    return ranks, [(raw(a), raw(b)) for a, b in pairs], bool(end), sorted(special)
+
+
+@lru_cache(maxsize=8)
+def sound(path: str) -> bool:
+    """Whether merging by ranks alone gives what the listed merges give, by the argument above, for all tokens."""
+    try:
+        ranks, merges, marked, _ = _parts(path)
+    except (KeyError, ValueError):
+        return False
+    ids = [ranks.get(a + b) for a, b in merges]
+    if None in ids or ids != sorted(ids) or len(set(ids)) != len(ids):
+        return False
+    order = {m: i for m, i in zip(merges, ids, strict=True)}
+    # a piece's last byte is one symbol with the mark, if there are marks
+    if marked and any(b"\x00" in t[:-1] for t in ranks):
+        return False
+    for token in ranks:
+        marks = marked and len(token) > 1 and token[-1] == 0
+        body = token[:-1] if marks else token
+        parts = [bytes([b]) for b in body]
+        if marks:
+            parts[-1] += b"\x00"
+        while len(parts) > 1:
+            at, best = -1, None
+            for i in range(len(parts) - 1):
+                r = order.get((parts[i], parts[i + 1]))
+                if r is not None and (best is None or r < best):
+                    at, best = i, r
+            if best is None:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) > 1:
+            return False
+    return True
 
 
 class WordEncoder:
-    """encode(texts) -> (flat uint32 ids, ids per text). words: the most words that the table holds."""
+    """encode(texts) -> (flat uint32 ids, ids per text). pieces: the most pieces that the table holds."""
 
-    def __init__(self, path: str, words: int = 300_000, compared: int = 300):
+    def __init__(self, path: str, fast: bool, pieces: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        self.ends = model["model"].get("end_of_word_suffix") or ""
-        self.words, self.fast = words, None
-        self.compared = compared
-        try:
-            self.fast = self._from_merges(model)
-        except (ImportError, KeyError, ValueError):
-            self.fast = None
+        ranks, _, self.marked, special = _parts(path)
+        self.special, self.pieces, self.core = special, pieces, None
+        if fast:
+            import tiktoken
+
+            self.core = tiktoken.Encoding("pieces", pat_str=r"[^\x00]*\x00", mergeable_ranks=self._single(ranks), special_tokens={})._core_bpe
         self._clear()
 
+    def _single(self, ranks: dict[bytes, int]) -> dict[bytes, int]:
+        if self.marked:
+            # the mark alone is a symbol of tiktoken's, never left over, as each byte with its mark is a token before all merges
+            return ranks | {b"\x00": ranks.get(b"\x00", max(ranks.values()) + 1)}
+        return ranks
+
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _from_merges(self, model: dict):
-        import tiktoken
-
-        vocab, end = model["model"]["vocab"], self.ends
-        letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(letters)]
-        to_byte = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(rest)}
-        special = {x["content"] for x in model["added_tokens"]}
-        ranks, size = {}, {}
-        for token, i in vocab.items():
-            if token in special:
-                continue
-            last = bool(end) and token.endswith(end)
-            raw = bytes(to_byte[c] for c in (token[: -len(end)] if last else token))
-            ranks[raw + b"\xff" * last] = i
-        # merges must be in order of ids, as ranks are both
-        ids = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["model"]["merges"]]
-        if ids != sorted(ids):
-            raise ValueError("ids aren't in the order of merges")
-        for raw, i in ranks.items():
-            size[i] = len(raw)
-        self.sizes = np.zeros(max(size) + 1, np.int64)
-        self.sizes[list(size)] = list(size.values())
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        if end:
-            import regex
-
-            self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-            # single bytes must have ranks; pieces come with 0xFF, never a byte of UTF-8, as their end
-            pattern = r"[^\x00]+"
-        return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def _by_library(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.library.encode_batch_fast(units, add_special_tokens=False)]
+        self.hashes, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.ids, self.id_at, self.id_n = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.bytes, self.byte_at, self.byte_n = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
 
-    def _by_merges(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not self.ends:
-            ids = np.asarray(self.fast.encode_ordinary("".join(units)), np.uint32)
-            ends = np.cumsum(self.sizes[ids])
-            wanted = np.cumsum(np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
-            upto = np.searchsorted(ends, wanted, "right")
-            return ids, np.diff(upto, prepend=0)
-        single = self.fast._core_bpe.encode_single_piece
-        flat, lengths = [], []
-        for u in units:
-            n = len(flat)
-            for p in self.pieces.findall(u.lower()):
-                flat += single(p.encode() + b"\xff")
-            lengths.append(len(flat) - n)
-        return np.asarray(flat, np.uint32), np.asarray(lengths, np.int64)
-
-    def _simple(self, word: str) -> bool:
-        """The fast way may take it: Latin-1 only, and (where spaces count) with its space before it."""
+    def cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of the pieces of Latin-1 codes; texts end at `ends`, each with a zero after it that belongs to no piece."""
+        kind = _CLASS[data]
+        kind[ends] = 9
+        edge = np.empty(len(data), bool)
+        edge[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+        if self.marked:
+            edge |= kind == NUMBER
+        start = np.flatnonzero(edge)
+        end = np.append(start[1:], len(data))
+        own = kind[start]
+        # contractions: an apostrophe that starts a run, and the letters that belong to it
+        tick = np.flatnonzero((own == OTHER) & (data[start] == 39) & (end - start == 1))
+        if not self.marked:
+            before = start[tick] - 1
+            tick = tick[(before < 0) | (data[before] != 32)]
+        tick = tick[tick + 1 < len(start)]
+        tick = tick[own[tick + 1] == LETTER]
+        if len(tick):
+            padded = np.append(data, np.zeros(2, data.dtype))
+            a, b = padded[end[tick]], padded[end[tick] + 1]
+            two = ((a == 114) & (b == 101)) | ((a == 118) & (b == 101)) | ((a == 108) & (b == 108))
+            one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+            take = np.where(one, 1, np.where(two & (end[tick] + 1 < end[tick + 1]), 2, 0))
+            tick, take = tick[take > 0], take[take > 0]
+            end[tick] += take
+            start[tick + 1] += take
+        if self.marked:
+            keep = (own != SPACE) & (own != 9) & (start < end)
+            return start[keep], end[keep]
+        # white space: before a run its last character is the run's if it is a space, else a piece; the rest is one piece
+        space = np.flatnonzero(own == SPACE)
+        follows = np.append(own, 9)[space + 1] != 9
+        last = end[space] - 1
+        joins = follows & (data[last] == 32)
+        start[space[joins] + 1] -= 1
+        rest_end = np.where(follows, last, end[space])
+        end[space] = rest_end
+        alone = last[follows & ~joins]
+        keep = (own != 9) & (start < end)
+        start, end = np.append(start[keep], alone), np.append(end[keep], alone + 1)
+        order = np.argsort(start, kind="stable")
+        return start[order], end[order]
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        raw = data.tobytes().decode("latin-1")
+        texts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        if self.marked:
+            ids = np.frombuffer(self.core.encode_to_tiktoken_buffer("\x00".join(texts) + "\x00", set()), np.uint32)
+            sizes = self._sizes[ids]
+            wanted = np.fromiter((len(t.encode()) + 1 for t in texts), np.int64, len(texts))
+        else:
+            each = [self.core.encode_single_piece(t.encode()) for t in texts]
+            ids = np.fromiter((i for x in each for i in x), np.uint32)
+            sizes, wanted = np.ones(len(ids), np.int64), np.fromiter(map(len, each), np.int64, len(each))
+        upto = np.searchsorted(np.cumsum(sizes), np.cumsum(wanted), "right")
+        n = np.diff(upto, prepend=0)
+        size = end - start
+        slot = len(self.id_at) + np.arange(len(texts))
+        self.id_at, self.id_n = np.append(self.id_at, len(self.ids) + upto - n), np.append(self.id_n, n)
+        self.byte_at, self.byte_n = np.append(self.byte_at, len(self.bytes) + np.cumsum(size) - size), np.append(self.byte_n, size)
+        self.ids, self.bytes = np.append(self.ids, ids), np.append(self.bytes, ragged(data, start, size))
+        hashes, slot = np.append(self.hashes, hashes), np.append(self.slot, slot)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.slot = hashes[order], slot[order]
+
+    @property
+    def _sizes(self) -> np.ndarray:
+        if not hasattr(self, "_sizes_of"):
+            self._sizes_of = np.zeros(1 << 17, np.int64)
+            for raw in self.core.token_byte_values():
+                self._sizes_of[self.core.encode_single_token(raw)] = len(raw)
+        return self._sizes_of
+
+    def _fast(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ids per text, texts of which a hash was another piece's)."""
+        data = np.frombuffer("\x00".join([*texts, ""]).encode("latin-1"), np.uint8)
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
+        start, end = self.cut(data, ends)
+        size = end - start
+        up, down = _powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+        h = (total[end] - total[start]) * down[start]
+        h ^= h >> np.uint64(31)
+        h = h * np.uint64(0xFF51AFD7ED558CCD) + size.astype(np.uint64)
+        if len(self.slot) > self.pieces:
+            self._clear()
+        kinds, first, which = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, kinds)
+        at_ = np.minimum(at, max(len(self.hashes) - 1, 0))
+        new = np.ones(len(kinds), bool) if not len(self.hashes) else self.hashes[at_] != kinds
+        if new.any():
+            self._learn(kinds[new], data, start[first[new]], end[first[new]])
+            at_ = np.searchsorted(self.hashes, kinds)
+        slot = self.slot[at_][which]
+        # every piece is compared with the one in the table
+        bad = np.flatnonzero(self.byte_n[slot] != size)
+        if not len(bad):
+            differ = ragged(self.bytes, self.byte_at[slot], size) != ragged(data, start, size)
+            bad = np.searchsorted(np.cumsum(size), np.flatnonzero(differ), "right")
+        n = self.id_n[slot]
+        ids, upto = ragged(self.ids, self.id_at[slot], n), np.concatenate([[0], np.cumsum(n)])
+        per = np.diff(upto[np.searchsorted(start, ends)], prepend=0)
+        return ids, per, np.unique(np.searchsorted(ends, start[bad]))
+
+    def _plain(self, text: str) -> bool:
+        """Latin-1 without control characters and strings of special tokens."""
         try:
-            word.encode("latin-1")
+            raw = text.encode("latin-1")
         except UnicodeEncodeError:
             return False
-        if self.ends:
-            return "\x00" not in word and not any("\x1c" <= c <= "\x1f" for c in word)
-        return bool(word) and word[0] != " " and not word[0].isspace()
-
-    def _add(self, words: list[str]) -> None:
-        unit = (lambda w: w) if self.ends else (lambda w: w[1:] if w[:1] == " " else " " + w)
-        simple = [w for w in words if self._simple(w)] if self.fast is not None else []
-        if simple and self.compared > 0:
-            some = [unit(w) for w in simple[: self.compared]]
-            self.compared -= len(some)
-            if any(not np.array_equal(a, b) for a, b in zip(self._by_library(some), self._by_merges(some), strict=True)):
-                self.fast, simple = None, []
-        taken = set(simple)
-        other = [w for w in words if w not in taken]
-        for group, how in ((simple, self._by_merges), (other, self._by_library)):
-            if not group:
-                continue
-            ids, lengths = how([unit(w) for w in group])
-            n, at = len(self.index), self.used
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            while n + len(group) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
-            self.pool[at : at + len(ids)] = ids
-            self.start[n : n + len(group)] = at + np.cumsum(lengths) - lengths
-            self.length[n : n + len(group)] = lengths
-            self.used += len(ids)
-            self.index.update(zip(group, range(n, n + len(group)), strict=True))
+        return len(raw.translate(None, _CONTROL)) == len(raw) and not any(x in text for x in self.special)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > self.words:
-            self._clear()
-        flat: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        whole: list[int] = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.ends and RUNS.search(text):
-                whole.append(i)
-                continue
-            parts = text.split(" ")
-            if not self.ends:
-                parts[0] = " " + parts[0]
-            counts[i] = len(parts)
-            flat += parts
-        new = list(set(flat).difference(self.index))
-        if new:
-            self._add(sorted(new))
-        codes = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        lengths = self.length[codes]
-        ids = ragged(self.pool, self.start[codes], lengths)
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        upto = np.cumsum(counts)
-        per = ends[upto] - ends[upto - counts]
-        if not whole:
-            return ids, per
-        own_ids, own = self._by_library([texts[i] for i in whole])
-        pool, start = np.concatenate([ids, own_ids]), np.cumsum(per) - per
-        start[whole] = len(ids) + np.cumsum(own) - own
-        per[whole] = own
-        return ragged(pool, start, per), per
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """One for each file in each process; its table lasts from task to task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+        whole, fast = [], []
+        for i, t in enumerate(texts):
+            (fast if self.core is not None and self._plain(t) else whole).append(i)
+        per, start = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        pool = np.empty(0, np.uint32)
+        if fast:
+            chosen = [texts[i].lower() for i in fast] if self.marked else [texts[i] for i in fast]
+            pool, n, bad = self._fast(chosen)
+            per[fast], start[fast] = n, np.cumsum(n) - n
+            whole += [fast[i] for i in bad.tolist()]
+        if whole:
+            ids, n = self._by_library([texts[i] for i in whole])
+            per[whole], start[whole] = n, len(pool) + np.cumsum(n) - n
+            pool = np.append(pool, ids)
+            return ragged(pool, start, per), per
+        return pool, per
+
+
+_powers_: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _powers_ or len(_powers_[0]) < n:
+        size = max(n, 1 << 20)
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
+        up[0] = down[0] = 1
+        _powers_[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    return _powers_[0], _powers_[1]
+
+
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
+
+
+def encoder(path: str, fast: bool) -> WordEncoder:
+    """One for each file in each process; its table lasts from task to task. fast: what `sound` says of the file."""
+    if (path, fast) not in _encoders:
+        _encoders[path, fast] = WordEncoder(path, fast)
+    return _encoders[path, fast]
