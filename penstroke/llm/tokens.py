@@ -16,6 +16,7 @@ leaves c and d side by side. `sound` checks this for the whole vocabulary, on th
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -104,6 +105,59 @@ def sound(path: str) -> bool:
     return True
 
 
+class PieceTable:
+    """Ids of pieces by a hash of their characters, every piece found being compared with the table's. learn(data, start, end)
+    gives the ids of pieces of the codes `data`, one after another, and how many each has; pieces: the most that the table holds."""
+
+    def __init__(self, learn: Callable, pieces: int = 1_000_000):
+        self.learn, self.pieces = learn, pieces
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.ids, self.id_at, self.id_n = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.codes, self.code_at, self.code_n = None, np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _add(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        ids, n = self.learn(data, start, end)
+        size = end - start
+        slot = len(self.id_at) + np.arange(len(start))
+        self.id_at, self.id_n = np.append(self.id_at, len(self.ids) + np.cumsum(n) - n), np.append(self.id_n, n)
+        codes = self.codes if self.codes is not None else np.empty(0, data.dtype)
+        self.code_at, self.code_n = np.append(self.code_at, len(codes) + np.cumsum(size) - size), np.append(self.code_n, size)
+        self.ids, self.codes = np.append(self.ids, ids), np.append(codes, ragged(data, start, size))
+        hashes, slot = np.append(self.hashes, hashes), np.append(self.slot, slot)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.slot = hashes[order], slot[order]
+
+    def find(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ids per text, texts of which a piece's hash was another piece's). The texts' pieces stand before `ends`."""
+        size = end - start
+        up, down = _powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+        h = (total[end] - total[start]) * down[start]
+        h ^= h >> np.uint64(31)
+        h = h * np.uint64(0xFF51AFD7ED558CCD) + size.astype(np.uint64)
+        if len(self.slot) > self.pieces:
+            self._clear()
+        kinds, first, which = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, kinds)
+        new = np.ones(len(kinds), bool) if not len(self.hashes) else self.hashes[np.minimum(at, len(self.hashes) - 1)] != kinds
+        if new.any():
+            self._add(kinds[new], data, start[first[new]], end[first[new]])
+            at = np.searchsorted(self.hashes, kinds)
+        slot = self.slot[at][which]
+        bad = np.flatnonzero(self.code_n[slot] != size)
+        if not len(bad) and len(slot):
+            differ = ragged(self.codes, self.code_at[slot], size) != ragged(data, start, size)
+            bad = np.searchsorted(np.cumsum(size), np.flatnonzero(differ), "right")
+        n = self.id_n[slot]
+        ids, upto = ragged(self.ids, self.id_at[slot], n), np.concatenate([[0], np.cumsum(n)])
+        per = np.diff(upto[np.searchsorted(start, ends)], prepend=0)
+        return ids, per, np.unique(np.searchsorted(ends, start[bad]))
+
+
 class WordEncoder:
     """encode(texts) -> (flat uint32 ids, ids per text). pieces: the most pieces that the table holds."""
 
@@ -112,12 +166,12 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         ranks, _, self.marked, special = _parts(path)
-        self.special, self.pieces, self.core = special, pieces, None
+        self.special, self.core = special, None
         if fast:
             import tiktoken
 
             self.core = tiktoken.Encoding("pieces", pat_str=r"[^\x00]*\x00", mergeable_ranks=self._single(ranks), special_tokens={})._core_bpe
-        self._clear()
+        self.table = PieceTable(self._learn, pieces)
 
     def _single(self, ranks: dict[bytes, int]) -> dict[bytes, int]:
         if self.marked:
@@ -125,11 +179,6 @@ class WordEncoder:
             return ranks | {b"\x00": ranks.get(b"\x00", max(ranks.values()) + 1)}
         return ranks
 
-    def _clear(self) -> None:
-        self.hashes, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.ids, self.id_at, self.id_n = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.bytes, self.byte_at, self.byte_n = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
-
     def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -180,27 +229,16 @@ class WordEncoder:
         order = np.argsort(start, kind="stable")
         return start[order], end[order]
 
-    def _learn(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes().decode("latin-1")
         texts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        if self.marked:
-            ids = np.frombuffer(self.core.encode_to_tiktoken_buffer("\x00".join(texts) + "\x00", set()), np.uint32)
-            sizes = self._sizes[ids]
-            wanted = np.fromiter((len(t.encode()) + 1 for t in texts), np.int64, len(texts))
-        else:
+        if not self.marked:
             each = [self.core.encode_single_piece(t.encode()) for t in texts]
-            ids = np.fromiter((i for x in each for i in x), np.uint32)
-            sizes, wanted = np.ones(len(ids), np.int64), np.fromiter(map(len, each), np.int64, len(each))
-        upto = np.searchsorted(np.cumsum(sizes), np.cumsum(wanted), "right")
-        n = np.diff(upto, prepend=0)
-        size = end - start
-        slot = len(self.id_at) + np.arange(len(texts))
-        self.id_at, self.id_n = np.append(self.id_at, len(self.ids) + upto - n), np.append(self.id_n, n)
-        self.byte_at, self.byte_n = np.append(self.byte_at, len(self.bytes) + np.cumsum(size) - size), np.append(self.byte_n, size)
-        self.ids, self.bytes = np.append(self.ids, ids), np.append(self.bytes, ragged(data, start, size))
-        hashes, slot = np.append(self.hashes, hashes), np.append(self.slot, slot)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.slot = hashes[order], slot[order]
+            n = np.fromiter(map(len, each), np.int64, len(each))
+            return np.fromiter((i for x in each for i in x), np.uint32, int(n.sum())), n
+        ids = np.frombuffer(self.core.encode_to_tiktoken_buffer("\x00".join(texts) + "\x00", set()), np.uint32)
+        wanted = np.fromiter((len(t.encode()) + 1 for t in texts), np.int64, len(texts))
+        return ids, np.diff(np.searchsorted(np.cumsum(self._sizes[ids]), np.cumsum(wanted), "right"), prepend=0)
 
     @property
     def _sizes(self) -> np.ndarray:
@@ -214,33 +252,7 @@ class WordEncoder:
         """(ids, ids per text, texts of which a hash was another piece's)."""
         data = np.frombuffer("\x00".join([*texts, ""]).encode("latin-1"), np.uint8)
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
-        start, end = self.cut(data, ends)
-        size = end - start
-        up, down = _powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        h = (total[end] - total[start]) * down[start]
-        h ^= h >> np.uint64(31)
-        h = h * np.uint64(0xFF51AFD7ED558CCD) + size.astype(np.uint64)
-        if len(self.slot) > self.pieces:
-            self._clear()
-        kinds, first, which = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, kinds)
-        at_ = np.minimum(at, max(len(self.hashes) - 1, 0))
-        new = np.ones(len(kinds), bool) if not len(self.hashes) else self.hashes[at_] != kinds
-        if new.any():
-            self._learn(kinds[new], data, start[first[new]], end[first[new]])
-            at_ = np.searchsorted(self.hashes, kinds)
-        slot = self.slot[at_][which]
-        # every piece is compared with the one in the table
-        bad = np.flatnonzero(self.byte_n[slot] != size)
-        if not len(bad):
-            differ = ragged(self.bytes, self.byte_at[slot], size) != ragged(data, start, size)
-            bad = np.searchsorted(np.cumsum(size), np.flatnonzero(differ), "right")
-        n = self.id_n[slot]
-        ids, upto = ragged(self.ids, self.id_at[slot], n), np.concatenate([[0], np.cumsum(n)])
-        per = np.diff(upto[np.searchsorted(start, ends)], prepend=0)
-        return ids, per, np.unique(np.searchsorted(ends, start[bad]))
+        return self.table.find(data, *self.cut(data, ends), ends)
 
     def _plain(self, text: str) -> bool:
         """Latin-1 without control characters and strings of special tokens."""

@@ -372,6 +372,22 @@ def test_marginals_as_by_enumeration():
 
 
 # pieces
+def test_pairs_of_pieces_fit_as_merging_says():
+    r, by = random.Random(6), pieces.opened(PIECES)
+    own = [x for x, k in by.rank.items() if by.own[k]]
+    pairs = [(r.choice(own), r.choice(own)) for _ in range(3000)] + [(x[:k], x[k:]) for x in r.sample(own, 500) for k in range(1, len(x)) if x[:k] in by.rank and x[k:] in by.rank]
+    pairs = [(a, b) for a, b in pairs if by.own[by.rank[a]] and by.own[by.rank[b]]]
+    got = by.fits(*(np.asarray([by.rank[x[i]] for x in pairs]) for i in (0, 1)))
+    assert got.tolist() == [by.merged(a + b) == [a, b] for a, b in pairs]
+
+
+def test_pieces_of_odd_texts_are_the_library():
+    r, by = random.Random(7), pieces.Pieces(PIECES, units=200)
+    texts = ["".join(r.choice("aaaabcé 日本\n\t'!1▁ξ🙂  ") for _ in range(r.randint(0, 60))) for _ in range(1500)] + ["a" * 1000, "", "日本語"]
+    for low in range(0, len(texts), 300):
+        assert [x.tolist() for x in by.encode(texts[low : low + 300])] == by.model.encode(texts[low : low + 300])
+
+
 def test_pieces_are_the_library(spark, rows):
     by = pieces.Pieces(PIECES)
     texts = [t or "" for _, t in rows] + ["  Hi  ꙮ there\n ", " ", "日本語 ñ\tx", "aaaaaaa aaaa"]
