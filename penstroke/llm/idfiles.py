@@ -41,6 +41,8 @@ _LITERAL = 20
 #: A predictor's state: 0 nothing seen, else 1 + (last prediction held) + 2 * (the one before held); _NEXT by state * 2 + held.
 _NEXT = np.asarray([1, 2, 1, 2, 3, 4, 1, 2, 3, 4], np.int32)
 _STATES = 50
+#: Multipliers and shift of the hashes that pick a slot.
+_ONE, _TWO, _BEFORE, _TOP = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(20)
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -57,14 +59,18 @@ class _Mixer:
     def __init__(self, n: int):
         self.n, self.counts = n, np.zeros((n, _STATES, 3), np.int32)
 
-    def frequencies(self) -> tuple[np.ndarray, np.ndarray]:
+    def frequencies(self) -> np.ndarray:
+        """Cumulated frequencies 0, order 2's, and order 1's, 2^16 of each lane and state, one after another."""
         joint = self.counts.reshape(self.n, 5, 5, 2, 3)
         two, one = joint.sum((2, 3), dtype=np.int32) + 8, joint.sum(1, dtype=np.int32) + 8
         two, one = (two << 12) // two.sum(-1, keepdims=True), (one << 12) // one.sum(-1, keepdims=True)
         mixed = (joint << 3) + ((two[:, :, None, None] + one[:, None]) >> 4)
         scale = mixed.sum(-1)
-        first, second = (mixed[..., 0] << 8) * 250 // scale + 16, (mixed[..., 1] << 8) * 250 // scale + 16
-        return first.reshape(-1).astype(np.int64), second.reshape(-1).astype(np.int64)
+        upto = np.empty((self.n * _STATES, 4), np.int64)
+        upto[:, 0], upto[:, 3] = 0, 1 << 16
+        upto[:, 1] = ((mixed[..., 0] << 8) * 250 // scale + 16).ravel()
+        upto[:, 2] = upto[:, 1] + ((mixed[..., 1] << 8) * 250 // scale + 16).ravel()
+        return upto.ravel()
 
     def learn(self, cells: np.ndarray) -> None:
         """cells: (lane * states + state) * 3 + outcome of a chunk's ids."""
@@ -73,11 +79,11 @@ class _Mixer:
 
 
 def _slot_one(last: np.ndarray) -> np.ndarray:
-    return last * np.uint32(0x9E3779B1) >> np.uint32(20)
+    return last * _ONE >> _TOP
 
 
 def _slot_two(last: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return (last * np.uint32(0x85EBCA6B) ^ before * np.uint32(0xC2B2AE35)) * np.uint32(0x9E3779B1) >> np.uint32(20)
+    return (last * _TWO ^ before * _BEFORE) * _ONE >> _TOP
 
 
 def _predicted(slot: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +116,10 @@ def encode_blocks(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, low_
     last[:, 1:], before[:, 2:] = rows[:, :-1], rows[:, :-2]
     p2, c2 = _predicted(_slot_two(last, before), rows)
     p1, c1 = _predicted(_slot_one(last), rows)
-    outcome = np.where(p2 == rows, 0, np.where(p1 == rows, 1, 2))
-    cell = (np.arange(n)[:, None] * _STATES + c2 * 10 + c1 * 2 + (p1 == p2)).T.copy()
+    outcome = np.where(p2 == rows, np.int8(0), np.where(p1 == rows, np.int8(1), np.int8(2)))
+    cell = (np.arange(n, dtype=np.int32)[:, None] * np.int32(_STATES) + c2 * np.int32(10) + c1 * np.int32(2) + (p1 == p2)).T.copy()
     outcome, rows = outcome.T.copy(), rows.T.copy()
+    del last, before, p1, p2, c1, c2
     mixer = _Mixer(n)
     low, size = np.zeros(n, _U), np.full(n, 1 << 48, _U)
     words, width = np.zeros((n, steps), np.uint32).ravel(), steps
@@ -134,10 +141,10 @@ def encode_blocks(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, low_
             wide[:, :width] = words.reshape(n, width)
             at = at + np.arange(n) * (wide.shape[1] - width)
             words, width = wide.ravel(), wide.shape[1]
-        f2, f1 = mixer.frequencies()
-        out, first, second = outcome[t0:t1], f2[cell[t0:t1]], f1[cell[t0:t1]]
-        from_ = np.where(out == 0, 0, np.where(out == 1, first, first + second)).astype(_U)
-        freq = np.where(out == 0, first, np.where(out == 1, second, 65536 - first - second)).astype(_U)
+        upto, out = mixer.frequencies().view(_U), outcome[t0:t1]
+        place = cell[t0:t1] * 4 + out
+        from_ = upto[place]
+        freq = upto[place + 1] - from_
         own = rows[t0:t1]
         low0, f0 = np.where(out == 2, low_of[own], _U(0)), np.where(out == 2, f_of[own], _U(1 << _LITERAL))
         for t in range(t1 - t0):
@@ -190,9 +197,9 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray, cum: np.ndarray, ids
     out = np.zeros((steps, n), np.int32)
     mixer, lanes = _Mixer(n), np.arange(n) * _STATES
     two, one, base = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32), np.arange(n) * SLOTS
-    last, before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+    last, mixed = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
     f_of, low_of, floor, whole = np.diff(cum).astype(_U), cum[:-1].astype(_U), _U(1 << 32), _U(1 << _LITERAL)
-    place = np.repeat(np.arange(len(f_of), dtype=np.int32), np.diff(cum))
+    place, more_of = np.repeat(np.arange(len(f_of), dtype=np.int32), np.diff(cum)), ids_of + 1
 
     def take(which: np.ndarray) -> None:
         code[which] = code[which] << _U(16) | words[at[which]]
@@ -200,28 +207,28 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray, cum: np.ndarray, ids
         size[which] <<= _U(16)
 
     for t0 in range(0, steps, CHUNK):
-        f2, f1 = mixer.frequencies()
-        seen = []
+        upto = mixer.frequencies()
+        upto_u, seen = upto.view(_U), []
         for t in range(t0, min(t0 + CHUNK, steps)):
             m = n if t < lengths[-1] else n - 1
             if not m:
                 break
-            at2, at1 = base[:m] + _slot_two(last[:m], before[:m]), base[:m] + _slot_one(last[:m])
+            own = last[:m]
+            at2, at1 = base[:m] + ((own * _TWO ^ mixed[:m]) * _ONE >> _TOP), base[:m] + (own * _ONE >> _TOP)
             e2, e1 = two[at2], one[at1]
-            c2, c1, p2, p1 = e2 & 7, e1 & 7, (e2 >> 3) - 1, (e1 >> 3) - 1
-            cell = lanes[:m] + (c2 * 10 + c1 * 2 + (p1 == p2))
-            first, second = f2[cell], f1[cell]
+            c2, c1 = e2 & 7, e1 & 7
+            cell = (c2 * 10 + c1 * 2 + ((e1 ^ e2) < 8) + lanes[:m]) * 4
             r = size[:m] >> _U(16)
-            v = np.minimum(code[:m] // r, _U(65535)).astype(np.int64)
-            both = first + second
-            later, neither = v >= first, v >= both
-            outcome = later.astype(np.int64) + neither
-            from_ = np.where(neither, both, first * later)
-            freq = np.where(neither, 65536 - both, np.where(later, second, first))
-            rest = code[:m] - r * from_.astype(_U)
-            r *= freq.astype(_U)
+            # what was coded lies inside the range, so that no quotient is too large
+            v = (code[:m] // r).view(np.int64)
+            neither = v >= upto[cell + 2]
+            cell += v >= upto[cell + 1]
+            cell += neither
+            from_ = upto_u[cell]
+            rest = code[:m] - r * from_
+            r *= upto_u[cell + 1] - from_
             r >>= _U(_LITERAL)
-            k = place[np.minimum(rest // r, _U((1 << _LITERAL) - 1)).astype(np.int64)]
+            k = place[(rest // r).view(np.int64)]
             code[:m] = np.where(neither, rest - r * low_of[k], rest)
             r *= np.where(neither, f_of[k], whole)
             size[:m] = r
@@ -229,14 +236,19 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray, cum: np.ndarray, ids
             while len(short):
                 take(short)
                 short = short[size[short] < floor]
-            sym = np.where(neither, ids_of[k], np.where(later, p1, p2))
+            # ids plus 1, as the slots have them
+            sym = np.where(neither, more_of[k], np.where(cell & 3, e1, e2) >> 3)
+            seen.append(cell)
+            high = sym << 3
+            two[at2] = high | _NEXT[c2 * 2 + ((e2 ^ high) < 8)]
+            one[at1] = high | _NEXT[c1 * 2 + ((e1 ^ high) < 8)]
+            mixed[:m] = own * _BEFORE
+            sym -= 1
             out[t, :m] = sym
-            seen.append(cell * 3 + outcome)
-            two[at2] = (sym + 1) << 3 | _NEXT[c2 * 2 + (p2 == sym)]
-            one[at1] = (sym + 1) << 3 | _NEXT[c1 * 2 + (p1 == sym)]
-            before[:m] = last[:m]
             last[:m] = sym
-        mixer.learn(np.concatenate(seen) if seen else np.empty(0, np.int64))
+        if seen:
+            cells = np.concatenate(seen)
+            mixer.learn((cells >> 2) * 3 + (cells & 3))
     return [out[: lengths[i], i].copy() for i in range(n)]
 
 
