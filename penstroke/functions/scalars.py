@@ -11,9 +11,18 @@ from . import constants as C
 
 #: A lexical token, in a form that engines without look-around take too; digits alone are numbers and are filtered out.
 LEXICAL = "[0-9]*[\\p{L}\\p{M}][\\p{L}\\p{M}\\p{Nd}]*(?:[-'’‑][\\p{L}\\p{M}\\p{Nd}]+)*['’]?|[0-9]+"
-NUMBER = "[0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?"
-URL = "(?:https?://|www\\.)\\S*"
-QUOTE = '"[^"]*"|“[^”]*”'
+_GROUPED = "[0-9]{1,3}+(?:,[0-9]{3})++"
+#: A number: groups of three or plain digits, one decimal part unless it is the second of its kind in a row; where the rest
+#: is malformed, the leading digits alone.
+NUMBER = (
+    f"(?<![0-9]\\.)(?:{_GROUPED}|[0-9]++)\\.[0-9]++(?![0-9,])(?!\\.[0-9])|(?<![0-9]\\.){_GROUPED}(?![0-9,])(?!\\.[0-9])|(?<=[0-9]\\.){_GROUPED}(?![0-9,])|[0-9]++"
+)
+#: Words take their digits, so that a number is only what stands outside of words.
+WORD_OR_NUMBER = f"{LEXICAL.rsplit('|', 1)[0]}|{NUMBER}"
+SPACES = "\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+URL = f"(?:https?://|www\\.)[^{SPACES}]*"
+#: A quote, or the rest of the text from an opening mark that is never closed.
+QUOTE = '"[^"]*"|“[^”]*”|["“](?s:.*)'
 
 
 def extract_all(x: Column, pattern: str) -> Column:
@@ -24,6 +33,10 @@ def lexical_tokens(text: Column) -> Column:
     return F.filter(extract_all(text, LEXICAL), lambda t: ~t.rlike("^[0-9]+$"))
 
 
+def numbers(text: Column) -> Column:
+    return F.filter(extract_all(text, WORD_OR_NUMBER), lambda t: t.rlike("^[0-9][0-9.,]*$"))
+
+
 def count_in(tokens: Column, words) -> Column:
     chosen = F.lit([w for w in words])
     return F.size(F.filter(tokens, lambda t: F.array_contains(chosen, F.lower(t))))

@@ -28,7 +28,7 @@ class Rule:
             raise ValueError(f"rule {self.id}: a value outside its vocabulary")
         if self.category == "source-contamination" and self.provenance == "unvalidated":
             raise ValueError(f"rule {self.id}: an unvalidated rule can't claim contamination")
-        if any(re.search(self.pattern, probe) and re.search(self.pattern, probe).end() == re.search(self.pattern, probe).start() for probe in ("", "a", "a b", "\n")):
+        if re._parser.parse(self.pattern).getwidth()[0] == 0:
             raise ValueError(f"rule {self.id}: it matches the empty text")
 
     def in_scope(self, register: str | None, author: str | None) -> bool:

@@ -6,14 +6,13 @@ full outer join, dealt out by pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.scalars import NUMBER, QUOTE, URL, extract_all, lexical_tokens
+from ..functions.scalars import QUOTE, URL, extract_all, lexical_tokens, numbers
 
 CLASSES = ("number", "entity", "negation", "url", "quote")
-SCRIPTS = ("Latin", "Greek", "Cyrillic", "Han", "Hiragana", "Katakana", "Arabic", "Hebrew")
 _NEGATIONS = [*C.NEGATIONS, *C.NEGATIVE_CONTRACTIONS, *[w.replace("'", "’") for w in C.NEGATIVE_CONTRACTIONS]]
 
 
@@ -22,7 +21,9 @@ def urls(x: Column) -> Column:
 
 
 def quotes(x: Column) -> Column:
-    return extract_all(x, QUOTE)
+    """Quotes up to the first mark that is opened and never closed."""
+    closed = lambda q: (q.startswith('"') & q.endswith('"') & (F.length(q) > 1)) | (q.startswith("“") & q.endswith("”"))
+    return F.filter(extract_all(x, QUOTE), closed)
 
 
 def entities(x: Column) -> Column:
@@ -33,7 +34,7 @@ def entities(x: Column) -> Column:
 def items(x: Column) -> Column:
     """Array of (class, item) of the classes that one side alone decides."""
     negations = F.lit(_NEGATIONS)
-    by_class = {"number": extract_all(x, NUMBER), "negation": F.filter(F.transform(lexical_tokens(x), lambda t: F.lower(t)), lambda t: F.array_contains(negations, t)), "url": urls(x), "quote": quotes(x)}
+    by_class = {"number": numbers(x), "negation": F.filter(F.transform(lexical_tokens(x), lambda t: F.lower(t)), lambda t: F.array_contains(negations, t)), "url": urls(x), "quote": quotes(x)}
 
     def marked(v: Column, name: str) -> Column:
         return F.transform(v, lambda i: F.struct(F.lit(name).alias("class"), i.alias("item")))
@@ -63,9 +64,25 @@ def audit_id(class_: Column, direction: Column, item: Column) -> Column:
     return F.concat_ws(":", F.lit("preserve-v1"), class_, direction, digest)
 
 
+def scripts(spark: SparkSession) -> list[str]:
+    """Names of all Unicode scripts that the JVM knows but the shared ones."""
+    names = [s.name() for s in spark.sparkContext._jvm.java.lang.Character.UnicodeScript.values()]
+    return ["_".join(part.capitalize() for part in n.split("_")) for n in names if n not in ("COMMON", "INHERITED", "UNKNOWN")]
+
+
 def script_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, script, letters) for scripts that the text has letters of."""
-    each = F.array(*[F.struct(F.lit(s).alias("script"), F.regexp_count(text, F.lit(f"\\p{{Is{s}}}")).alias("letters")) for s in SCRIPTS])
+    """(key, script, letters) for scripts that the text has letters of; letters that scripts share count for none.
+
+    Scripts are looked for among the text's distinct letters first, so that a text is counted for its own scripts alone.
+    """
+    letters = F.array_join(F.array_distinct(extract_all(F.col(text), "\\p{L}")), "")
+    df = df.select(key, text, letters.alias("_letters"))
+
+    def count(s: str) -> Column:
+        pattern = f"[\\p{{L}}&&\\p{{Is{s}}}]"
+        return F.when(F.col("_letters").rlike(pattern), F.regexp_count(text, F.lit(pattern))).otherwise(0)
+
+    each = F.array(*[F.struct(F.lit(s).alias("script"), count(s).alias("letters")) for s in scripts(df.sparkSession)])
     return df.select(key, F.explode(each).alias("x")).select(key, "x.script", "x.letters").where("letters > 0")
 
 

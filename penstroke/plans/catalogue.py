@@ -101,7 +101,7 @@ def overlap_screen(spark, sf):
 
 
 def _passages(spark, sf):
-    return read(spark, sf, "benchmark").select(F.explode(F.split("text", "\n")).alias("text")).where("length(trim(text)) >= 20")
+    return read(spark, sf, "benchmark").select(F.explode(F.split("text", "\n")).alias("text")).where("length(trim(text)) > 0")
 
 
 def tool_output_screen(spark, sf):
@@ -492,7 +492,7 @@ _LIMITS = f"""x AS (SELECT class, distance, count(*) OVER (PARTITION BY class) A
 lm0 AS (SELECT min(CASE WHEN class = 'author' AND above / size::DOUBLE <= {C.AUTHOR_TARGET} THEN distance END) AS low, max(CASE WHEN class = 'distractor' AND upto / size::DOUBLE <= {C.DISTRACTOR_TARGET} THEN distance END) AS high,
   coalesce(max(CASE WHEN class = 'author' THEN size END), 0) AS authors, coalesce(max(CASE WHEN class = 'distractor' THEN size END), 0) AS distractors FROM x),
 lm AS (SELECT CASE WHEN authors >= 20 AND distractors >= 10 THEN low END AS low, CASE WHEN authors >= 20 AND distractors >= 10 THEN high END AS high, authors, distractors FROM lm0)"""
-_PASSAGES = "ps AS (SELECT DISTINCT sha256(trim(l)) AS h FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM benchmark) WHERE length(trim(l)) >= 20)"
+_PASSAGES = "ps AS (SELECT DISTINCT sha256(trim(l)) AS h FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM benchmark) WHERE length(trim(l)) > 0)"
 _DLINES = "dl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)"
 _PAIRS = """c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT o.conv_id || ':' || n.turn AS pair_id, o.text AS current, n.text AS candidate FROM c o JOIN c n ON o.conv_id = n.conv_id AND n.turn = o.turn + 1 WHERE o.role = 'user' AND n.role = 'assistant')"""
@@ -502,24 +502,36 @@ _DENS = f"""{_CAND}, sq AS (SELECT *, {probit_sql('u')} AS q FROM sr), nn AS (SE
   nr AS (SELECT a, dist, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS rn FROM pr), den AS (SELECT a AS id, round(avg(dist), 6) AS density FROM nr, kk WHERE rn <= k GROUP BY a HAVING count(*) >= max(k))"""
 
 
-def _script(x: str, s: str) -> str:
-    return f"len(regexp_extract_all({x}, '\\p{{{s}}}'))"
+#: Scripts that the SQL looks for, letter by letter; the queries know all.
+_SQL_SCRIPTS = ("Latin", "Greek", "Cyrillic", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Devanagari", "Thai", "Armenian", "Georgian")
 
 
 def _scripts(name: str, source: str, key: str, text: str) -> str:
-    return f"{name} AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT {key}, '{s}' AS script, {_script(text, s)} AS letters FROM {source}" for s in preserve.SCRIPTS) + ") WHERE letters > 0)"
+    of = "CASE " + " ".join(f"WHEN regexp_matches(c, '\\p{{{s}}}') THEN '{s}'" for s in _SQL_SCRIPTS) + " END"
+    letters = f"SELECT {key}, c, count(*) AS k FROM (SELECT {key}, unnest(string_split({text}, '')) AS c FROM {source}) WHERE regexp_matches(c, '\\p{{L}}') GROUP BY ALL"
+    return f"{name} AS (SELECT {key}, script, sum(k)::BIGINT AS letters FROM (SELECT {key}, k, {of} AS script FROM ({letters})) WHERE script IS NOT NULL GROUP BY {key}, script)"
+
+
+def _sql_quotes(x: str) -> str:
+    # an opening mark that is never closed takes the rest of the text with it
+    every = f"regexp_extract_all({x}, '\"[^\"]*\"|“[^”]*”|[\"“](?s:.)*')"
+    return f"list_filter({every}, lambda q: (left(q, 1) = '\"' AND right(q, 1) = '\"' AND length(q) > 1) OR (left(q, 1) = '“' AND right(q, 1) = '”'))"
 
 
 def _items(name: str) -> str:
     neg = _in(preserve._NEGATIONS)
-    from ..functions.scalars import NUMBER, QUOTE, URL
-
+    # runs of digits with single separators, and a comma after them, are whole numbers or fall to digits
+    words = LEXICAL.rsplit("|", 1)[0]
+    chunks = f"list_filter(regexp_extract_all({name}, {_q(words + '|[0-9](?:[0-9]|[.,][0-9])*,?')}), lambda x: regexp_matches(x, '^[0-9][0-9.,]*$'))"
+    good = "regexp_matches(x, '^([0-9]{1,3}(,[0-9]{3})+|[0-9]+[.][0-9]+|[0-9]{1,3}(,[0-9]{3})+[.][0-9]+)$')"
+    number = f"flatten(list_transform({chunks}, lambda x: CASE WHEN {good} THEN [x] ELSE regexp_extract_all(x, '[0-9]+') END))"
+    url = "(?:https?://|www[.])[^ \\t-\\r\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]*"
     strip = "'[.,;:!?)\\]}\"''”’]+$'"
     parts = {
-        "number": f"regexp_extract_all({name}, {_q(NUMBER)})",
+        "number": number,
         "negation": f"list_filter(list_transform({_lex(name)}, lambda x: lower(x)), lambda x: list_contains({neg}, x))",
-        "url": f"list_filter(list_transform(regexp_extract_all({name}, {_q(URL)}), lambda x: regexp_replace(x, {strip}, '')), lambda x: x <> '')",
-        "quote": f"regexp_extract_all({name}, {_q(QUOTE)})",
+        "url": f"list_filter(list_transform(regexp_extract_all({name}, {_q(url)}), lambda x: regexp_replace(x, {strip}, '')), lambda x: x <> '')",
+        "quote": _sql_quotes(name),
     }
     return " UNION ALL ".join([f"SELECT pair_id, '{k}' AS class, unnest({v}) AS item FROM wp" for k, v in parts.items()] + [f"SELECT pair_id, 'entity', unnest(list_filter(list_transform({_lex(name)}, lambda x: lower(x)), lambda x: list_contains(watched, x))) FROM wp"])
 
@@ -589,8 +601,8 @@ ORACLE: dict[str, str] = {
     "scripts_overgrown": f"WITH {_PAIRS}, {_SCR}, {_OVER} SELECT pair_id, script, old_letters, new_letters FROM ov",
     "expansion_guard": f"WITH {_PAIRS} SELECT pair_id, len({_lex('current')}) AS n_current, len({_lex('candidate')}) AS n_candidate, len({_lex('candidate')}) > 1.5 * len({_lex('current')}) AS expanded FROM p",
     "rejection_codes": f"WITH {_DIFF}, {_SCR}, {_OVER}, y AS (SELECT pair_id, len({_lex('current')}) AS a, len({_lex('candidate')}) AS b FROM p) SELECT pair_id, CASE WHEN a = 0 THEN 'unscoreable' WHEN b = 0 THEN 'candidate-unscoreable' WHEN pair_id IN (SELECT pair_id FROM df) THEN 'not-preserved' WHEN b > 1.5 * a THEN 'expanded' WHEN pair_id IN (SELECT pair_id FROM sn ANTI JOIN so USING (pair_id, script)) THEN 'language' WHEN pair_id IN (SELECT pair_id FROM ov) THEN 'language-growth' ELSE '' END AS code FROM y",
-    "urls_extracted": f"WITH y AS (SELECT page_id, unnest(list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?:https?://|www\\.)\\S*'), lambda x: regexp_replace(x, '[.,;:!?)\\]}}\"''”’]+$', '')), lambda x: x <> '')) AS url FROM pages) SELECT page_id, url, count(*) AS n FROM y GROUP BY page_id, url",
-    "quotes_extracted": "WITH y AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '\"[^\"]*\"|“[^”]*”')) AS quote FROM pages) SELECT page_id, count(*) AS n, sum(length(quote))::BIGINT AS chars FROM y GROUP BY page_id",
+    "urls_extracted": f"WITH y AS (SELECT page_id, unnest(list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?:https?://|www[.])[^ \\t-\\r\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]*'), lambda x: regexp_replace(x, '[.,;:!?)\\]}}\"''”’]+$', '')), lambda x: x <> '')) AS url FROM pages) SELECT page_id, url, count(*) AS n FROM y GROUP BY page_id, url",
+    "quotes_extracted": f"WITH y AS (SELECT page_id, unnest({_sql_quotes("coalesce(html, '')")}) AS quote FROM pages) SELECT page_id, count(*) AS n, sum(length(quote))::BIGINT AS chars FROM y GROUP BY page_id",
     "interval_union": "WITH e AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + trunc(value * 1e6)::BIGINT AS e FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value > 0), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM e), i AS (SELECT *, sum(CASE WHEN upto IS NULL OR s >= upto THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS island FROM m) SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS parts FROM i GROUP BY user_id, island",
     "content_ids": f"WITH {_DOCS} SELECT path, {_framed(_q('snapshot'), 'path')} AS document_id, {_framed(_framed(_q('snapshot'), 'path'), _q('0'))} AS node_id FROM d",
 }

@@ -271,3 +271,30 @@ def test_streaming_scores_equal_batch_scores(spark, tmp_path):
     live = {x["doc_id"]: x["distance"] for x in spark.table("scores").collect()}
     assert set(live) == set(batch) and all(live[k] == pytest.approx(batch[k]) if batch[k] is not None else live[k] is None for k in batch)
     assert math.isfinite(pd.Series(list(batch.values())).dropna().mean())
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("3..14", ["3", "14"]), ("1,,000", ["1", "000"]), (".5", ["5"]), ("12,34", ["12", "34"]), ("1.2.3", ["1", "2", "3"]), ("1,234.", ["1,234"]), ("1234,567", ["1234", "567"]),
+        ("1,2345", ["1", "2345"]), ("1,000.00", ["1,000.00"]), ("1,234,567.89", ["1,234,567.89"]), ("12.5", ["12.5"]), ("3rd abc123 v1", []), ("a 7 b", ["7"]), ("1,234,56", ["1", "234", "56"]),
+    ],
+)
+def test_numbers_by_their_grammar(spark, text, want):
+    from penstroke.functions.scalars import numbers
+
+    assert spark.range(1).select(numbers(F.lit(text))).first()[0] == want
+
+
+def test_quotes_addresses_and_scripts(spark):
+    row = spark.range(1).select(preserve.quotes(F.lit('a "b" “c” “d "e"')).alias("q"), preserve.urls(F.lit("see https://a.b/c\u00a0next, www.x.y).")).alias("u")).first()
+    assert row["q"] == ['"b"', "“c”"] and row["u"] == ["https://a.b/c", "www.x.y"]
+    df = spark.createDataFrame([(1, "abc где ابت คน 漢字 1!"), (2, ""), (3, None)], "k long, t string")
+    got = {(r["script"], r["letters"]) for r in preserve.script_counts(df, "k", "t").collect()}
+    assert got == {("Latin", 3), ("Cyrillic", 3), ("Arabic", 3), ("Thai", 2), ("Han", 2)}
+
+
+@pytest.mark.parametrize("pattern", ["(?=x)", "(?<=q)", "a*", "\\b", "x|"])
+def test_rules_that_match_nothing_are_refused(pattern):
+    with pytest.raises(ValueError):
+        lint.Rule("r", "warn", pattern)
