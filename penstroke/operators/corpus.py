@@ -42,7 +42,9 @@ def first_wins(corpus: DataFrame) -> DataFrame:
 def admitted(corpus: DataFrame, min_lexical: int = 1) -> DataFrame:
     """Adds tokens counts, admission and split. A short first copy still claims its hash."""
     marked = first_wins(hashed(corpus)).withColumn("lexical_tokens", F.size(lexical_tokens(F.col("text"))))
-    verdict = F.when(F.col("duplicate_of").isNotNull(), "rejected-duplicate").when(F.col("lexical_tokens") < min_lexical, "rejected-too-short").otherwise("eligible")
+    # whether there is a token at all shows without tokenising
+    short = ~F.col("text").rlike("[\\p{L}\\p{M}]") if min_lexical == 1 else F.col("lexical_tokens") < min_lexical
+    verdict = F.when(F.col("duplicate_of").isNotNull(), "rejected-duplicate").when(short, "rejected-too-short").otherwise("eligible")
     marked = marked.withColumn("admission", verdict)
     return marked.withColumn("split", F.when(F.col("admission") == "eligible", split_of(F.col("content_hash"))).otherwise(""))
 

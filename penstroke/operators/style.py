@@ -19,7 +19,8 @@ KEYS = ["doc_id", "seg"]
 def vectors(segments: DataFrame, text: str = "line", floor: int = 0) -> DataFrame:
     """Adds lexical count, the six values and their sampling variances (null where undefined) to each segment."""
     t = lexical_tokens(F.col(text))
-    with_tokens = segments.withColumn("_t", t)
+    # as a generator's output tokens are made once, whatever is pushed below the columns that use them
+    with_tokens = segments.withColumn("_t", F.explode(F.array(t)))
     n = F.size("_t")
     lengths = F.transform("_t", lambda x: F.char_length(x))
     raw = with_tokens.select(
