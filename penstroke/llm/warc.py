@@ -4,7 +4,9 @@ Writing: a page whose payload (its html in UTF-8) equals that of others and has
 response only if its page_id is the group's largest; the others are revisits of that. Only digests and ids of
 equal payloads are grouped. A response's block is an HTTP message with its payload in chunks; a block of over
 `segment` bytes goes on in continuation records. Spark's text writer puts records, which end in two line
-breaks, into gzip files of at most `per_file` records, so that a file is committed or not there at all.
+breaks, into gzip files of at most `per_file` records, so that a file is committed or not there at all. Records are at most
+a segment long, so files are bounded in bytes too. Each row has a number of its own in its record's name, and a
+revisit names the record of the response that it refers to.
 
 Reading: records are cut by Content-Length. Those of one segment are decoded at once; others are grouped by
 their origin's identifier, ordered by segment number, and their length is held against the stated total. Then
@@ -24,13 +26,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, table
 
-LEAST, SEGMENT, CHUNK, PER_FILE = 1000, 32768, 4096, 4000
+LEAST, SEGMENT, CHUNK, PER_FILE, BATCH = 1000, 32768, 4096, 4000, 1 << 23
 FOUND = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
 PARTS = "origin string, number int, total long, fields map<string,string>, block binary"
 
@@ -57,8 +58,8 @@ def _line(value: str) -> str:
     return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def records(name: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment: int = SEGMENT, chunk: int = CHUNK) -> list[bytes]:
-    """A page's records, without the two line breaks after each."""
+def records(name: str, page_id: int | None, url: str | None, payload: bytes, refers_to: str | None, segment: int = SEGMENT, chunk: int = CHUNK) -> list[bytes]:
+    """A page's records, without the two line breaks after each. refers_to is the name of the response, which starts with its page_id."""
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{f'Content-Length: {len(payload)}' if revisit else 'Transfer-Encoding: chunked'}\r\n\r\n".encode()
@@ -89,26 +90,41 @@ def records(name: str, page_id: int | None, url: str | None, payload: bytes, ref
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT, per_file: int = PER_FILE) -> None:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    digested = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
-    equal = digested.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("rows")).where("rows > 1").select("digest", "kept")
+    # rows are numbered once and written, so that a response is called the same wherever it is named
+    digested = materialize(rows.select("*", F.when(F.octet_length("payload") >= least, F.sha1("payload")).alias("digest"), F.monotonically_increasing_id().alias("number")), "numbered")
+    equal = digested.where("digest is not null").groupBy("digest").agg(F.max(F.struct("page_id", "number")).alias("kept"), F.count("*").alias("rows")).where("rows > 1").select("digest", "kept")
     equal = materialize(equal, "equal")
-    dealt = digested.join(equal, "digest", "left").select("page_id", "url", "payload", F.expr("case when kept is distinct from page_id then kept end").alias("refers_to"))
+    other = F.col("kept.page_id").isNotNull() & ~F.col("kept.page_id").eqNullSafe(F.col("page_id"))
+    kept = F.when(other, F.concat_ws(":", "kept.page_id", "kept.number"))
+    dealt = digested.join(equal, "digest", "left").select("page_id", "number", "url", "payload", kept.alias("refers_to"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                out = []
-                for r in whole.slice(low, 256).to_pylist():
-                    # the record of a page that others refer to must be found by its page_id alone
-                    out += records(f"{r['page_id']}:{part}:{n}", r["page_id"], r["url"], r["payload"], r["refers_to"], segment)
-                    n += 1
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            out, size = [], 0
+            for k in range(whole.num_rows):
+                page_id, number, url, payload, refers_to = (column[k].as_py() for column in whole.columns)
+                out += records(f"{page_id}:{number}", page_id, url, payload, refers_to, segment)
+                size += len(payload)
+                if size > BATCH or k == whole.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                    out, size = [], 0
 
     written = dealt.mapInArrow(made, "value binary").select(F.col("value").cast("string").alias("value"))
     written.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
+def unzipped(data: bytes) -> bytes:
+    """The content of an archive, of as many gzip members as it has."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        if not member.eof:
+            raise ValueError("a gzip member is cut short")
+        data = member.unused_data
+    return b"".join([*out, data])
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of each record of an archive."""
     at = 0
@@ -135,7 +151,7 @@ def decoded(fields: dict[str, str], block: bytes) -> tuple:
     url = url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
     own = (None if page_id is None else int(page_id), url, fields["WARC-Type"])
     if fields["WARC-Type"] == "revisit":
-        return (*own, int(fields["WARC-Refers-To"][len("<urn:page:") : -1]), None, int(http["content-length"]), digest)
+        return (*own, int(fields["WARC-Refers-To"][len("<urn:page:") : -1].split(":")[0]), None, int(http["content-length"]), digest)
     payload = dechunk(body) if http.get("transfer-encoding") == "chunked" else body
     if hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"payload of page {page_id} and its digest differ")
@@ -155,8 +171,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
+                data = unzipped(content.as_py())
                 rows = []
                 for fields, block in parse(data):
                     number = int(fields.get("WARC-Segment-Number", 0))
