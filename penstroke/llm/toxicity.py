@@ -10,7 +10,7 @@ the offending spans. Whole texts are scored; nothing but the text enters a score
 
 Defined results: a null or empty text has no words and gets the score of a document without any marginals;
 without labels of both kinds every score is the share of toxic labels (0 without any); rows that share a
-doc_id are scored each on its own; a null doc_id is held out of nothing. Extra columns are ignored.
+doc_id are scored each on its own, and the least of their texts is learnt from; a null doc_id is held out of nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from .common import table, text_of
 
 #: The most labelled documents that are learnt from, the first by a hash of doc_id.
 SAMPLE = 6000
+#: Words of a training window, and the most windows of them, half around tagged words and half from anywhere.
 WINDOW, WINDOWS = 64, 12000
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _ENDS = re.compile(r"^\W+|\W+$")
@@ -56,8 +57,8 @@ class Field:
         return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
 
 
-def marginals(weight: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Each word's probability of the toxic state. Words stand one after another; chains run side by side, longest first."""
+def passes(weight: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Odds of the toxic state at each word: by all up to it, by the word alone, by all after it. Words stand one after another; chains run side by side, longest first."""
     odds = np.exp(np.clip(weight, -30, 30))
     order = np.argsort(-lengths, kind="stable")
     size, start = lengths[order], (np.cumsum(lengths) - lengths)[order]
@@ -73,10 +74,33 @@ def marginals(weight: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.
         at = start[: alive[t + 1]] + t
         r = odds[at + 1] * back[at + 1]
         back[at] = np.clip((m10 + r * m11) / (m00 + r * m01), 1e-12, 1e12)
+    return ahead, odds, back
+
+
+def marginals(weight: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Each word's probability of the toxic state."""
+    ahead, _, back = passes(weight, lengths, moves)
     both = np.minimum(ahead, 1e100) * back
     return both / (1 + both)
 
 
+def expected(weight: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' marginals, and the expected number of moves from state to state, from the marginals of neighbouring pairs."""
+    ahead, odds, back = passes(weight, lengths, moves)
+    both = ahead * back
+    later = following(lengths)
+    a, b = ahead[later - 1], odds[later] * back[later]
+    pair = np.stack([np.full(len(a), moves[0, 0]), moves[0, 1] * b, moves[1, 0] * a, moves[1, 1] * a * b])
+    return both / (1 + both), (pair / pair.sum(0)).sum(1).reshape(2, 2)
+
+
+def following(lengths: np.ndarray) -> np.ndarray:
+    """The words that follow another of their chain."""
+    follows = np.ones(int(lengths.sum()), bool)
+    follows[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
+    return np.flatnonzero(follows)
+
+
 def aggregates(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A row per document: log(1 + sum), largest, log(1 + number over 1/2)."""
     out = np.zeros((len(lengths), 3))
@@ -143,19 +167,15 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
     pairs = [(i, f) for i, w in enumerate(words) for f in hit.get(w, ())]
     row, col = (np.asarray(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
     w, bias, moves = np.zeros(len(names)), -4.0, np.zeros((2, 2))
-    follows = np.ones(len(tag), bool)
-    follows[np.cumsum(size) - size] = False
-    later = np.flatnonzero(follows)
+    later = following(size)
     seen = np.asarray([[np.sum((tag[later - 1] == a) & (tag[later] == b)) for b in (0, 1)] for a in (0, 1)], float)
     grown_w, grown_b, grown_m = np.full(len(names), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(40):
         e = bias + np.bincount(row, w[col], len(tag))
-        p = marginals(e, size, np.exp(moves))
+        p, moved = expected(e, size, np.exp(moves))
         off = tag - p
         gw, gb = np.bincount(col, off[row], len(names)) - 0.05 * w, off.sum()
-        # expected moves, taking neighbours' marginals as independent given the fitted ones
-        q = np.column_stack([1 - p, p])
-        gm = seen - q[later - 1].T @ q[later] - 0.5 * moves
+        gm = seen - moved - 0.5 * moves
         gm[0, 0] = 0.0
         grown_w += gw * gw
         grown_b += gb * gb
@@ -202,7 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     rows = rows.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(rows), "doc_id")  # `sample` rows at most
-    got = sorted(taken.select("doc_id", "toxic", "text").limit(2 * sample).collect())
+    got = sorted(taken.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())  # `sample` rows at most
     return fit([r["text"] for r in got], [r["toxic"] for r in got])
 
 
