@@ -90,8 +90,9 @@ def expected(weight: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tupl
     both = ahead * back
     later = following(lengths)
     a, b = ahead[later - 1], odds[later] * back[later]
-    pair = np.stack([np.full(len(a), moves[0, 0]), moves[0, 1] * b, moves[1, 0] * a, moves[1, 1] * a * b])
-    return both / (1 + both), (pair / pair.sum(0)).sum(1).reshape(2, 2)
+    share = 1 / (moves[0, 0] + moves[0, 1] * b + a * (moves[1, 0] + moves[1, 1] * b))
+    pairs = np.asarray([[share.sum(), b @ share], [a @ share, (a * b) @ share]])
+    return both / (1 + both), moves * pairs
 
 
 def following(lengths: np.ndarray) -> np.ndarray:
