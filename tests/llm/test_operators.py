@@ -245,6 +245,52 @@ def test_search_lists_the_least_ids_of_many_equal_copies(spark):
     assert search.search(documents(spark, docs), documents(spark, []).limit(0)).count() == 0
 
 
+def test_search_rows_leaving_shards_grow_with_rounds_not_with_shards(spark, monkeypatch):
+    docs, made, write = list(enumerate(prose(400, seed=5))), [], search.materialize
+
+    def counted(df, name, *more):
+        out = write(df, name, *more)
+        if name == "answers":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "materialize", counted)
+    one = search.search(documents(spark, docs), documents(spark, docs[::50]), k=5, postings=10**9).collect()
+    assert sum(made) == 8 * 5
+    made.clear()
+    many = search.search(documents(spark, docs), documents(spark, docs[::50]), k=5, postings=400).collect()
+    assert sorted(many) == sorted(one) and sum(made) < 8 * 5 * 12  # of some 50 shards
+
+
+def test_search_bounds_leave_out_no_row(monkeypatch):
+    r = np.random.default_rng(7)
+    n, k, idf = 900, 6, np.log(np.arange(2, 402))[::-1] / 3
+    lengths = np.sort(r.integers(1, 90, n))
+    bags = [Counter((r.zipf(1.3, m) % 400).tolist()) for m in lengths]
+    bags[300:320] = [bags[300]] * 20
+    doc, term, tf = (np.array(x) for x in zip(*((d, t, c) for d, b in enumerate(bags) for t, c in b.items())))
+    index = search.build(doc, term, tf) | {"doc_ids": r.permutation(n), "has_id": r.random(n) > 0.02, "lengths": np.bincount(doc, tf, n)}
+    asked = [sorted(bags[d]) for d in (0, 5, 300, 310, 600, 899)] + [[399]]
+    cuts, code = np.cumsum([0, *map(len, asked)]), np.concatenate(asked)
+    weight = np.zeros((400, n))
+    weight[term, doc] = idf[term] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * index["lengths"][doc] / 40))
+    for dense in (0, 20 * n, 4_000_000):
+        monkeypatch.setattr(search, "DENSE", dense)
+        opened = search.opened(index, 40)
+        for skip in (0, 1, 3, 40):  # the floor: none, or the row that many places from the top
+            want, floor = [], []
+            for q, terms in enumerate(asked):
+                s = np.round(weight[terms].sum(axis=0), 9)
+                best = sorted((-x, bool(h), int(i)) for x, h, i in zip(s, index["has_id"], index["doc_ids"]) if x > 0)
+                cut = skip if 0 < skip < len(best) else None
+                floor.append((-best[cut][0], *best[cut][1:]) if cut else (0.0, True, 0))
+                want += [(q, *row) for row in best[:cut][:k]]
+            least, has, ids = (np.array(x) for x in zip(*floor))
+            query, d, s = search.best_rows(opened, np.arange(len(asked)), cuts, np.arange(400), idf, code, least, has, ids, k)
+            got = [(q, -round(x, 6), bool(index["has_id"][i]), int(index["doc_ids"][i])) for q, i, x in zip(query.tolist(), d.tolist(), s.tolist())]
+            assert got == [(q, round(x, 6), h, i) for q, x, h, i in want]
+
+
 # packing
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
