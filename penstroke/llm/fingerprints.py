@@ -2,9 +2,14 @@
 
 A text's terms are its lower-cased words between white space, weighted by their counts. For each of K
 samples a term draws r and c from Gamma(2, 1) and b from [0, 1), all functions of (term, k) alone. With
-t = floor(ln w / r + b) the sample is the (term, t) of the smallest ln c - r * (t - b + 1). Two texts share
+t = floor(ln w / r + b) the sample is the (term, t) of the smallest a = c * exp(-r * (t - b + 1)). Two texts share
 a sample with a probability of sum(min w) / sum(max w), the generalised Jaccard similarity of their counts.
 
+The draws are made from uniform u, v and y so that a weight of 1, which most terms have, needs no logarithm. A Gamma(2, 1)
+cut at a uniform place gives two independent exponentials: r * b = E = -ln u and r * (1 - b) = D make r = D + E; and
+c * exp(-D) = x = -ln v and c - x = -ln y make c = x - ln y and D = ln c - ln x. At w = 1, t is 0 and a is x: samples are
+ordered by 1 - exp(-a), which is then 1 - v, bits of the hash. Other weights have t = floor((ln w + E) / r), ln a = ln c + E - r * (t + 1).
+
 Defined results: a null text is the empty text; a text without terms has the fingerprint "" (likeness 1 to
 another such text, 0 to any other); rows that share a doc_id are fingerprinted each on its own, and the
 "next" text and fingerprint of their neighbour is the least of those that the next doc_id has; rows without
@@ -22,28 +27,38 @@ from .common import materialize, table, text_of
 SAMPLES = 32
 #: Stands for a missing doc_id; no doc_id may have this value.
 NO_ID = -(1 << 63)
-def _draws(samples: int) -> list[Column]:
-    """For each sample r and c of Gamma(2, 1), as sums of two exponentials, and b, from the term's hashes."""
+#: Bits of a code that order samples.
+PLACE = 46
+
+
+def _draws(samples: int, weights: list[str]) -> list[Column]:
+    """For each sample 1 - v as a long below 2^46 and, for terms of a weight above 1, ln c, E and ln x, from the term's hashes."""
+    heavy = F.greatest(F.lit(0.0), *[F.col(f"ln_{w}") for w in weights]) > 0
+    uniform = lambda x: (x.bitwiseAND(0xFFFFFFFF) + 0.5) / float(1 << 32)
     out = []
     for k in range(samples):
-        h, g = F.col(f"h{k}"), F.col(f"g{k}")
-        part = lambda x, low, n: (F.shiftrightunsigned(x, low).bitwiseAND((1 << n) - 1) + 0.5) / float(1 << n)
-        r, b = -F.log(part(h, 0, 21) * part(h, 21, 21)), part(h, 42, 22)
-        ln_c = F.log(-F.log(part(g, 0, 32) * part(g, 32, 32)))
-        out += [r.alias(f"r{k}"), b.alias(f"b{k}"), ln_c.alias(f"c{k}")]
+        z, h = F.col(f"z{k}"), F.xxhash64("term", F.lit(~k))
+        x = -F.log1p((z + 0.5) / -float(1 << PLACE))
+        ln_c, e = F.log(x - F.log(uniform(h))), -F.log(uniform(F.shiftrightunsigned(h, 32)))
+        out += [z, F.when(heavy, ln_c).alias(f"c{k}"), F.when(heavy, e).alias(f"e{k}"), F.when(heavy, F.log(x)).alias(f"x{k}")]
     return out
 
 
 def _codes(samples: int, weights: list[str]) -> list[Column]:
-    """For each weight and sample the long whose upper bits order ln a and whose lower 16 bits name (term, t)."""
+    """For each weight and sample the long whose upper bits order 1 - exp(-a) and whose lower 16 bits name (term, t)."""
     out = []
     for k in range(samples):
-        r, b, ln_c = F.col(f"r{k}"), F.col(f"b{k}"), F.col(f"c{k}")
+        z, ln_c, e = F.col(f"z{k}"), F.col(f"c{k}"), F.col(f"e{k}")
+        r = ln_c - F.col(f"x{k}") + e
+        name = F.shiftrightunsigned(F.col("term"), k % 48)
+        light = F.shiftleft(z, 16).bitwiseOR(name.bitwiseAND(65535))
         for w in weights:
-            t = F.floor(F.col(f"ln_{w}") / r + b)
-            order = ((ln_c - r * (t - b + 1) + 256.0) * float(1 << 30)).cast("long")
-            name = F.shiftrightunsigned(F.col("term"), k % 48).bitwiseXOR(t).bitwiseAND(65535)
-            out.append(F.shiftleft(order, 16).bitwiseOR(name).alias(f"{w}_{k}"))
+            ln_w = F.col(f"ln_{w}")
+            t = F.floor((ln_w + e) / r)
+            order = (-F.expm1(-F.exp(ln_c + e - r * (t + 1))) * float(1 << PLACE)).cast("long")
+            # at t = 0 the sample is that of weight 1, to the last bit
+            code = F.when(t == 0, light).otherwise(F.shiftleft(order, 16).bitwiseOR(name.bitwiseXOR(t).bitwiseAND(65535)))
+            out.append(F.when(ln_w == 0, light).when(ln_w > 0, code).alias(f"{w}_{k}"))
     return out
 
 
@@ -73,9 +88,9 @@ def fingerprint(df: DataFrame, keys: list[str], texts: dict[str, str], samples:
     counted = counted.groupBy(*keys, "term").agg(*[F.sum(F.when(F.col("_which") == i, 1).otherwise(0)).alias(n) for i, n in enumerate(names)])
     # a null logarithm makes a null sample, which a minimum leaves out
     logs = [F.when(F.col("term").isNotNull() & (F.col(n) > 0), F.log(F.col(n))).alias(f"ln_{n}") for n in names]
-    logs_and_hashes = counted.select(*keys, "term", *logs, *[F.xxhash64("term", F.lit(k)).alias(f"h{k}") for k in range(samples)], *[F.xxhash64("term", F.lit(~k)).alias(f"g{k}") for k in range(samples)])
-    hashed = logs_and_hashes.select(*keys, "term", *[f"ln_{n}" for n in names], *_draws(samples))
-    coded = hashed.select(*keys, *_codes(samples, names))
+    placed = counted.select(*keys, "term", *logs, *[F.shiftrightunsigned(F.xxhash64("term", F.lit(k)), 64 - PLACE).alias(f"z{k}") for k in range(samples)])
+    drawn = placed.select(*keys, "term", *[f"ln_{n}" for n in names], *_draws(samples, names))
+    coded = drawn.select(*keys, *_codes(samples, names))
     least = coded.groupBy(*keys).agg(*[F.min(f"{n}_{k}").alias(f"{n}_{k}") for k in range(samples) for n in names])
     return least.select(*keys, *[_fingerprint(n, samples).alias(n) for n in names])
 

@@ -1,6 +1,7 @@
 """Brute-force versions, exact round trips and held-out accuracy, with nulls, empty texts, repeats, empty tables and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+
 from penstroke.llm import chat, fingerprints, idfiles, neardup, packing, pieces, search, secrets, tokens, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keys string, spans string, length int, id long"
@@ -468,6 +471,39 @@ def test_pieces_are_the_library(spark, rows):
 
 
 # fingerprints
+def test_fingerprints_by_hand(spark):
+    # every draw from the terms' hashes in Python; a term of weight 1 is ordered by the bits of its hash alone
+    texts = {1: "a b c d e f g", 2: "a a a b b c c c c c c c h", 3: "h " * 50 + "a b", 4: "", 5: "i " * 2000}
+    df = spark.createDataFrame(list(texts.items()), "key long, text string")
+    got = {r["key"]: r["f"] for r in fingerprints.fingerprint(df, ["key"], {"f": "text"}).collect()}
+    words = sorted({w for t in texts.values() for w in t.split()})
+    ks = range(fingerprints.SAMPLES)
+    hashes = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("term"))
+    hashes = {r["w"]: r for r in hashes.select("*", *[F.xxhash64("term", F.lit(k)).alias(f"h{k}") for k in ks], *[F.xxhash64("term", F.lit(~k)).alias(f"g{k}") for k in ks]).collect()}
+
+    def code(r, k: int, n: int) -> tuple[float, int]:
+        z, g = (r[f"h{k}"] & (1 << 64) - 1) >> 18, r[f"g{k}"] & (1 << 64) - 1
+        x, e = -math.log1p(-(z + 0.5) / 2**46), -math.log(((g >> 32) + 0.5) / 2**32)
+        c = x - math.log(((g & 0xFFFFFFFF) + 0.5) / 2**32)
+        rate = math.log(c) - math.log(x) + e
+        t = math.floor(math.log(n) / rate + e / rate)
+        name = ((r["term"] & (1 << 64) - 1) >> k % 48 ^ t) & 65535
+        return (c * math.exp(-rate * (t - e / rate + 1)) if n > 1 else x), name
+
+    for key, t in texts.items():
+        counts = Counter(t.split())
+        assert got[key] == "".join(f"{min(code(hashes[w], k, n) for w, n in counts.items())[1]:04x}" for k in ks if counts)
+
+
+def test_fingerprints_of_weights_are_unbiased(spark):
+    rows = [(i, f"p{i} p{i} p{i} q{i} r{i}", f"p{i} q{i} q{i} s{i}", f"p{i} " * 9 + f"q{i} " * 40) for i in range(300)]
+    df = spark.createDataFrame(rows, "key long, a string, b string, c string")
+    prints = fingerprints.fingerprint(df, ["key"], {"x": "a", "y": "b", "z": "c"})
+    got = prints.agg(*[F.avg(fingerprints.likeness(*p)).alias(p) for p in ("xy", "xz", "yz")]).first()
+    for pair, j in {"xy": 2 / 7, "xz": 4 / 50, "yz": 3 / 50}.items():
+        assert abs(got[pair] - j) <= 4 * (j * (1 - j) / (300 * fingerprints.SAMPLES)) ** 0.5
+
+
 def test_fingerprints(spark, rows):
     got = fingerprints.fingerprinted(documents(spark, rows)).collect()
     assert len(got) == len(rows)
