@@ -38,6 +38,8 @@ from .tokens import encoder, sound
 MAGIC, END, BLOCK, CHUNK, LANES, SLOTS, IMAGE = b"IDBLOCKS2\n", "IDEND\n", 4096, 256, 2048, 4096, 4_000_000
 _U = np.uint64
 _LITERAL = 20
+#: Lanes whose predictions are found at once.
+ROWS = 16
 #: A predictor's state: 0 nothing seen, else 1 + (last prediction held) + 2 * (the one before held); _NEXT by state * 2 + held.
 _NEXT = np.asarray([1, 2, 1, 2, 3, 4, 1, 2, 3, 4], np.int32)
 _STATES = 50
@@ -112,14 +114,21 @@ def encode_blocks(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, low_
     rows = np.zeros((n, steps), np.int32)
     for i, (a, m) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
         rows[i, :m] = ids[a : a + m]
-    last, before = np.zeros((n, steps), np.uint32), np.zeros((n, steps), np.uint32)
-    last[:, 1:], before[:, 2:] = rows[:, :-1], rows[:, :-2]
-    p2, c2 = _predicted(_slot_two(last, before), rows)
-    p1, c1 = _predicted(_slot_one(last), rows)
-    outcome = np.where(p2 == rows, np.int8(0), np.where(p1 == rows, np.int8(1), np.int8(2)))
-    cell = (np.arange(n, dtype=np.int32)[:, None] * np.int32(_STATES) + c2 * np.int32(10) + c1 * np.int32(2) + (p1 == p2)).T.copy()
-    outcome, rows = outcome.T.copy(), rows.T.copy()
-    del last, before, p1, p2, c1, c2
+    outcome, cell = np.empty((steps, n), np.int8), np.empty((steps, n), np.int32)
+    # few rows at a time, which the processor's cache holds
+    for i in range(0, n, ROWS):
+        own = rows[i : i + ROWS]
+        last, before = np.zeros(own.shape, np.uint32), np.zeros(own.shape, np.uint32)
+        last[:, 1:], before[:, 2:] = own[:, :-1], own[:, :-2]
+        p2, c2 = _predicted(_slot_two(last, before), own)
+        p1, c1 = _predicted(_slot_one(last), own)
+        outcome[:, i : i + ROWS] = np.where(p2 == own, np.int8(0), np.where(p1 == own, np.int8(1), np.int8(2))).T
+        c2 *= np.int32(10)
+        c2 += c1 * np.int32(2)
+        c2 += p1 == p2
+        c2 += (np.arange(i, i + len(own), dtype=np.int32) * np.int32(_STATES))[:, None]
+        cell[:, i : i + ROWS] = c2.T
+    rows = rows.T.copy()
     mixer = _Mixer(n)
     low, size = np.zeros(n, _U), np.full(n, 1 << 48, _U)
     words, width = np.zeros((n, steps), np.uint32).ravel(), steps
@@ -182,8 +191,8 @@ def encode_blocks(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, low_
     return [small[i, : used[i]].tobytes() for i in range(n)]
 
 
-def decode_blocks(blocks: list[bytes], lengths: np.ndarray, cum: np.ndarray, ids_of: np.ndarray) -> list[np.ndarray]:
-    """The ids of each block, longest block first; only the last may be shorter. cum: order 0's cumulated frequencies, of the ids in ids_of."""
+def decode_blocks(blocks: list[bytes], lengths: np.ndarray, orders: list[tuple[np.ndarray, np.ndarray]], order_of: np.ndarray) -> list[np.ndarray]:
+    """The ids of each block, longest block first. orders: order 0's cumulated frequencies and their ids, of each image; order_of: each block's image."""
     n, steps = len(blocks), int(lengths[0])
     words = np.zeros((n, max(map(len, blocks)) // 2 + 8), _U)
     for i, b in enumerate(blocks):
@@ -198,8 +207,11 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray, cum: np.ndarray, ids
     mixer, lanes = _Mixer(n), np.arange(n) * _STATES
     two, one, base = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32), np.arange(n) * SLOTS
     last, mixed = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-    f_of, low_of, floor, whole = np.diff(cum).astype(_U), cum[:-1].astype(_U), _U(1 << 32), _U(1 << _LITERAL)
-    place, more_of = np.repeat(np.arange(len(f_of), dtype=np.int32), np.diff(cum)), ids_of + 1
+    floor, whole = _U(1 << 32), _U(1 << _LITERAL)
+    f_of, low_of = np.concatenate([np.diff(cum) for cum, _ in orders]).astype(_U), np.concatenate([cum[:-1] for cum, _ in orders]).astype(_U)
+    # the images' tables stand one after another; each sums to 2^20
+    place, more_of = np.repeat(np.arange(len(f_of), dtype=np.int32), f_of.astype(np.int64)), np.concatenate([ids_of for _, ids_of in orders]) + 1
+    first, longer = order_of.astype(np.int64) << _LITERAL, np.searchsorted(-lengths, -np.arange(steps), "left").tolist()
 
     def take(which: np.ndarray) -> None:
         code[which] = code[which] << _U(16) | words[at[which]]
@@ -210,9 +222,7 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray, cum: np.ndarray, ids
         upto = mixer.frequencies()
         upto_u, seen = upto.view(_U), []
         for t in range(t0, min(t0 + CHUNK, steps)):
-            m = n if t < lengths[-1] else n - 1
-            if not m:
-                break
+            m = longer[t]
             own = last[:m]
             at2, at1 = base[:m] + ((own * _TWO ^ mixed[:m]) * _ONE >> _TOP), base[:m] + (own * _ONE >> _TOP)
             e2, e1 = two[at2], one[at1]
@@ -228,7 +238,7 @@ def decode_blocks(blocks: list[bytes], lengths: np.ndarray, cum: np.ndarray, ids
             rest = code[:m] - r * from_
             r *= upto_u[cell + 1] - from_
             r >>= _U(_LITERAL)
-            k = place[(rest // r).view(np.int64)]
+            k = place[(rest // r).view(np.int64) + first[:m]]
             code[:m] = np.where(neither, rest - r * low_of[k], rest)
             r *= np.where(neither, f_of[k], whole)
             size[:m] = r
@@ -278,22 +288,34 @@ def read_header(image: bytes) -> tuple[dict, int]:
     return json.loads(zlib.decompress(image[at : at + size])), at + size
 
 
-def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(doc_ids, lengths, ids) of a file; a checksum that doesn't hold raises."""
-    head, at = read_header(image)
-    blocks = []
-    for _, n, crc in head["blocks"]:
-        blocks.append(image[at : at + n])
-        at += n
-        if zlib.crc32(blocks[-1]) != crc:
-            raise ValueError("a block's checksum doesn't hold")
-    ids_of = np.cumsum(head["ids"]).astype(np.int32)
-    cum = np.concatenate([[0], np.cumsum(frequencies(np.asarray(head["counts"])))])
-    sizes = np.asarray([b[0] for b in head["blocks"]], np.int64)
-    parts: list[np.ndarray] = []
+def read_images(images: list[bytes]) -> list[tuple[dict, np.ndarray, np.ndarray]]:
+    """(header, documents' lengths, ids) of each file, their blocks decoded side by side; a checksum that doesn't hold raises."""
+    heads, blocks, orders = [], [], []
+    for image in images:
+        head, at = read_header(image)
+        for _, n, crc in head["blocks"]:
+            blocks.append(image[at : at + n])
+            at += n
+            if zlib.crc32(blocks[-1]) != crc:
+                raise ValueError("a block's checksum doesn't hold")
+        heads.append(head)
+        orders.append((np.concatenate([[0], np.cumsum(frequencies(np.asarray(head["counts"])))]), np.cumsum(head["ids"]).astype(np.int32)))
+    sizes = np.asarray([b[0] for head in heads for b in head["blocks"]], np.int64)
+    order_of = np.repeat(np.arange(len(heads)), [len(head["blocks"]) for head in heads])
+    parts: list[np.ndarray] = [np.empty(0, np.int32)] * len(blocks)
+    by_size = np.argsort(-sizes, kind="stable")
     for k in range(0, len(blocks), LANES):
-        parts += decode_blocks(blocks[k : k + LANES], sizes[k : k + LANES], cum, ids_of)
-    return head["doc_ids"], np.asarray(head["lengths"], np.int64), np.concatenate(parts)
+        own = by_size[k : k + LANES]
+        for i, ids in zip(own.tolist(), decode_blocks([blocks[i] for i in own.tolist()], sizes[own], orders, order_of[own]), strict=True):
+            parts[i] = ids
+    ends = np.cumsum([len(head["blocks"]) for head in heads]).tolist()
+    return [(head, np.asarray(head["lengths"], np.int64), np.concatenate(parts[e - len(head["blocks"]) : e])) for head, e in zip(heads, ends, strict=True)]
+
+
+def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(doc_ids, lengths, ids) of a file."""
+    head, lengths, ids = read_images([image])[0]
+    return head["doc_ids"], lengths, ids
 
 
 def write_files(docs: DataFrame, path: str, folder: str, end_id: int = 2, image: int = IMAGE) -> None:
@@ -346,7 +368,15 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
         before[shard] = total
         total += tokens
 
+    def rows(images: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for head, lengths, ids in read_images(images):
+            data, ends = ids.astype("<u4"), np.cumsum(lengths)
+            crc = [zlib.crc32(data[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+            start = ends - lengths + before[head["shard"]] + head["first"]
+            yield pa.RecordBatch.from_arrays([pa.array(head["doc_ids"], pa.int64()), pa.array(start), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lanes = [], 0
         for batch in batches:
             for content in batch.column(0):
                 image = content.as_py()
@@ -354,11 +384,14 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                     continue
                 if not image.endswith(END.encode()):
                     raise ValueError("a file was cut off")
-                head, (doc_ids, lengths, ids) = read_header(image)[0], read_image(image)
-                data, ends = ids.astype("<u4"), np.cumsum(lengths)
-                crc = [zlib.crc32(data[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                start = ends - lengths + before[head["shard"]] + head["first"]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start), pa.array(lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                more = len(read_header(image)[0]["blocks"])
+                if held and lanes + more > LANES:
+                    yield from rows(held)
+                    held, lanes = [], 0
+                held.append(image)
+                lanes += more
+        if held:
+            yield from rows(held)
 
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -135,13 +135,26 @@ class PieceTable:
         size = end - start
         up, down = _powers(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        h = (total[end] - total[start]) * down[start]
+        own = total[1:]
+        own[:] = data
+        own += np.uint64(1)
+        own *= up[: len(data)]
+        np.cumsum(own, out=own)
+        h = total[end]
+        h -= total[start]
+        h *= down[start]
         h ^= h >> np.uint64(31)
-        h = h * np.uint64(0xFF51AFD7ED558CCD) + size.astype(np.uint64)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h += size.astype(np.uint64)
         if len(self.slot) > self.pieces:
             self._clear()
-        kinds, first, which = np.unique(h, return_index=True, return_inverse=True)
+        # np.unique would sort stably, at twice the time; any place of a hash will do
+        order = np.argsort(h)
+        sorted_ = h[order]
+        starts = np.ones(len(h), bool)
+        np.not_equal(sorted_[1:], sorted_[:-1], out=starts[1:])
+        kinds, first, which = sorted_[starts], order[starts], np.empty(len(h), np.int64)
+        which[order] = np.cumsum(starts) - 1
         at = np.searchsorted(self.hashes, kinds)
         new = np.ones(len(kinds), bool) if not len(self.hashes) else self.hashes[np.minimum(at, len(self.hashes) - 1)] != kinds
         if new.any():
@@ -230,15 +243,20 @@ class WordEncoder:
         return start[order], end[order]
 
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = data.tobytes().decode("latin-1")
-        texts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         if not self.marked:
-            each = [self.core.encode_single_piece(t.encode()) for t in texts]
+            raw = data.tobytes().decode("latin-1")
+            each = [self.core.encode_single_piece(raw[a:b].encode()) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
             n = np.fromiter(map(len, each), np.int64, len(each))
             return np.fromiter((i for x in each for i in x), np.uint32, int(n.sum())), n
-        ids = np.frombuffer(self.core.encode_to_tiktoken_buffer("\x00".join(texts) + "\x00", set()), np.uint32)
-        wanted = np.fromiter((len(t.encode()) + 1 for t in texts), np.int64, len(texts))
-        return ids, np.diff(np.searchsorted(np.cumsum(self._sizes[ids]), np.cumsum(wanted), "right"), prepend=0)
+        size = end - start
+        upto = np.cumsum(size + 1)
+        codes, own = np.zeros(int(upto[-1]), np.uint8), np.ones(int(upto[-1]), bool)
+        own[upto - 1] = False
+        codes[own] = ragged(data, start, size)
+        ids = np.frombuffer(self.core.encode_to_tiktoken_buffer(codes.tobytes().decode("latin-1"), set()), np.uint32)
+        # codes above 127 are two bytes
+        wanted = upto + np.cumsum(codes > 127)[upto - 1]
+        return ids, np.diff(np.searchsorted(np.cumsum(self._sizes[ids]), wanted, "right"), prepend=0)
 
     @property
     def _sizes(self) -> np.ndarray:

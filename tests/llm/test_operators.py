@@ -400,6 +400,28 @@ def test_id_image_round_trip_and_checksum():
         idfiles.read_image(image[:-1] + bytes([image[-1] ^ 1]))
 
 
+def test_id_images_side_by_side(monkeypatch):
+    # images of unequal size and order 0, whose last blocks end at different steps
+    r = np.random.default_rng(5)
+    all_ids = [(r.zipf(1.3, n) % high).astype(np.int64) for n, high in ((9000, 49000), (1, 5), (20000, 300), (4096, 7), (300, 40000), (4097, 2))]
+    images = [idfiles.write_image([i], np.asarray([len(ids)]), ids, i, 7 * i) for i, ids in enumerate(all_ids)]
+    for lanes in (2048, 3):
+        monkeypatch.setattr(idfiles, "LANES", lanes)
+        for ids, i, (head, lengths, got) in zip(all_ids, range(6), idfiles.read_images(images), strict=True):
+            assert np.array_equal(got, ids) and lengths.tolist() == [len(ids)] and (head["doc_ids"], head["shard"], head["first"]) == ([i], i, 7 * i)
+    with pytest.raises(ValueError):
+        idfiles.read_images([images[0], images[2][:-1] + bytes([images[2][-1] ^ 1])])
+
+
+def test_id_images_take_one_loop(monkeypatch):
+    # one task's files meet in one call; before, each file took a loop over its steps of its own
+    calls, real = [], idfiles.decode_blocks
+    monkeypatch.setattr(idfiles, "decode_blocks", lambda blocks, *a: calls.append(len(blocks)) or real(blocks, *a))
+    r = np.random.default_rng(6)
+    images = [idfiles.write_image([i], np.asarray([5000]), r.integers(0, 99, 5000)) for i in range(5)]
+    assert len(idfiles.read_images(images)) == 5 and calls == [10]
+
+
 # toxicity
 def test_toxicity_learns_and_scores(spark):
     texts, y = prose(300, 8, 20, 60), []
