@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, table, text_of
+from .common import connected_components, lean, materialize, table, text_of
 
 BANDS, ROWS, MINIMA, BITS = 64, 8, 512, 2
 #: An estimate this far below the threshold rules a pair out: over six standard errors.
@@ -182,7 +182,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "n", "da", "db", "keys", "ranks", "planes"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(signed, "doc_id long, n long, da long, db long, keys array<long>, ranks array<int>, planes array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(lean(signed), "doc_id long, n long, da long, db long, keys array<long>, ranks array<int>, planes array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -196,7 +196,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets, pa.int64())], names=["id", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(made, "id long, shingles array<long>")
+    return rows.mapInArrow(lean(made), "id long, shingles array<long>")
 
 
 def _estimate(a: str, b: str) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table, text_of
+from .common import lean, materialize, table, text_of
 from .neardup import slices
 from .tokens import encoder, sound
 
@@ -208,7 +208,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, spread: int = SPREAD) -> D
             columns = [batch.column(f) for f in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(placed, schema)
+    return ranked.mapInArrow(lean(placed), schema)
 
 
 def cut(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
@@ -220,7 +220,7 @@ def cut(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -
         import pyarrow.compute  # noqa: F401
 
         by, end = encoder(path, fast), np.asarray([end_id], "<u4")
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches):
             ids, per = by.encode(batch.column(1).to_pylist())
             ids = ids.astype("<u4")
             out: list[tuple[int, int, int, int, int]] = []
@@ -234,7 +234,7 @@ def cut(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(lean(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def packed_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -28,12 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of
+from .common import lean, table, text_of
 
 #: The most labelled documents that are learnt from, the first by a hash of doc_id.
 SAMPLE = 6000
 #: Words of a training window, and the most windows of them, half around tagged words and half from anywhere.
 WINDOW, WINDOWS = 64, 12000
+#: Texts of about so many code points are split into words at a time.
+PART = 1 << 20
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _ENDS = re.compile(r"^\W+|\W+$")
 _WORDS = re.compile(r"\S+")
@@ -198,15 +200,25 @@ class Scorer:
     def __init__(self, model: Field, words: int = 400_000):
         self.model, self.words, self.table = model, words, {}
 
+    def _weighed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of all words, one text after another, and each text's number of words; only a part's words are held as strings."""
+        weights, per = [np.empty(0)], np.zeros(len(texts), np.int64)
+        part = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // PART
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if len(self.table) > self.words:
+                self.table.clear()
+            split = [t.split() for t in texts[low:high]]
+            flat = [w for ws in split for w in ws]
+            for w in set(flat).difference(self.table):
+                self.table[w] = self.model.word(w)
+            per[low:high] = list(map(len, split))
+            weights.append(np.fromiter(map(self.table.__getitem__, flat), float, len(flat)))
+        return np.concatenate(weights), per
+
     def score(self, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-        if len(self.table) > self.words:
-            self.table.clear()
-        split = [t.split() for t in texts]
-        flat = [w for ws in split for w in ws]
-        for w in set(flat).difference(self.table):
-            self.table[w] = self.model.word(w)
-        per = np.fromiter(map(len, split), np.int64, len(split))
-        p = marginals(np.fromiter(map(self.table.__getitem__, flat), float, len(flat)), per, self.model.moves)
+        weight, per = self._weighed(texts)
+        p = marginals(weight, per, self.model.moves)
         z = self.model.scale[0] + aggregates(p, per) @ np.asarray(self.model.scale[1:])
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
         starts = np.cumsum(per) - per
@@ -246,7 +258,7 @@ def scored(docs: DataFrame, model: Field, batch: int = 2048) -> DataFrame:
                 listed = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), listed], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
