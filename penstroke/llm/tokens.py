@@ -172,14 +172,15 @@ class PieceTable:
 
 
 class WordEncoder:
-    """encode(texts) -> (flat uint32 ids, ids per text). pieces: the most pieces that the table holds."""
+    """encode(texts) -> (flat uint32 ids, ids per text). pieces: the most pieces that the table holds; plain: special strings are plain text."""
 
-    def __init__(self, path: str, fast: bool, pieces: int = 1_000_000):
+    def __init__(self, path: str, fast: bool, pieces: int = 1_000_000, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
         ranks, _, self.marked, special = _parts(path)
-        self.special, self.core = special, None
+        self.special, self.core = [] if plain else special, None
         if fast:
             import tiktoken
 
@@ -311,11 +312,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers_[0], _powers_[1]
 
 
-_encoders: dict[tuple[str, bool], WordEncoder] = {}
+_encoders: dict[tuple[str, bool, bool], WordEncoder] = {}
 
 
-def encoder(path: str, fast: bool) -> WordEncoder:
+def encoder(path: str, fast: bool, plain: bool = False) -> WordEncoder:
     """One for each file in each process; its table lasts from task to task. fast: what `sound` says of the file."""
-    if (path, fast) not in _encoders:
-        _encoders[path, fast] = WordEncoder(path, fast)
-    return _encoders[path, fast]
+    if (path, fast, plain) not in _encoders:
+        _encoders[path, fast, plain] = WordEncoder(path, fast, plain=plain)
+    return _encoders[path, fast, plain]
