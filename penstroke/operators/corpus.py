@@ -14,7 +14,8 @@ BOM = "EFBBBF"
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.coalesce("text", F.lit("")).alias("text"), "source")
+    """Paths are ids of as many digits as the longest have, so that their order is that of the ids."""
+    return docs.select("doc_id", F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("path"), F.coalesce("text", F.lit("")).alias("text"), "source")
 
 
 def admit_bytes(files: DataFrame) -> DataFrame:
@@ -63,6 +64,18 @@ def lines(corpus: DataFrame) -> DataFrame:
     return corpus.select(*[c for c in corpus.columns if c != "text"], F.posexplode(F.split("text", "\n")).alias("seg", "line"))
 
 
+def segments(corpus: DataFrame, segmenter: str = "line") -> DataFrame:
+    """A row per paragraph (seg, line, other columns than text): lines, or with "markdown" the included leaves' text without their excisions."""
+    if segmenter == "line":
+        return lines(corpus)
+    if segmenter != "markdown":
+        raise ValueError(f"no segmenter {segmenter!r}")
+    from . import structure
+
+    leaves = structure.document_leaves(corpus).where("included").select("doc_id", F.col("ordinal").alias("seg"), F.col("text").alias("line"))
+    return corpus.drop("text").join(leaves, "doc_id")
+
+
 def published_screen(corpus: DataFrame, published: DataFrame | None) -> DataFrame:
     """doc_id, tool_output: whether any line is a published paragraph. A null published table is not an empty one: no screening, null flags."""
     if published is None:

@@ -448,7 +448,7 @@ def _in(words) -> str:
 
 
 _AUTHORS = "(" + ", ".join(map(_q, AUTHORS)) + ")"
-_DOCS = "d AS (SELECT doc_id, lpad(doc_id::VARCHAR, 12, '0') AS path, coalesce(text, '') AS text, source, sha256(coalesce(text, '')) AS hash FROM documents)"
+_DOCS = "d AS (SELECT doc_id, lpad(doc_id::VARCHAR, 20, '0') AS path, coalesce(text, '') AS text, source, sha256(coalesce(text, '')) AS hash FROM documents)"
 _ADMITTED = f"""{_DOCS}, w AS (SELECT *, min(path) OVER (PARTITION BY hash) AS winner, len({_lex('text')}) AS lexical FROM d),
 adm AS (SELECT *, CASE WHEN path <> winner THEN 'rejected-duplicate' WHEN lexical < 1 THEN 'rejected-too-short' ELSE 'eligible' END AS admission,
   ('0x' || substr(sha256('17:content-sha256-v112:penstroke-v164:' || hash), 1, 16))::UBIGINT % 10 AS bucket FROM w),

@@ -1,6 +1,6 @@
 """The engine's commands as functions on DataFrames: index, profile, evaluate, score, tells, plan_rewrite, judge_candidates.
 
-A corpus has doc_id, path, text, source. Paragraphs are lines. What a step refuses it refuses by raising, before any later step runs.
+A corpus has doc_id, path, text, source. Paragraphs are lines, or with segmenter="markdown" the included leaves. What a step refuses it refuses by raising, before any later step runs.
 """
 
 from __future__ import annotations
@@ -43,15 +43,15 @@ def index(corpus: DataFrame) -> DataFrame:
     return materialize(corpora.admitted(corpus), "index")
 
 
-def features(indexed: DataFrame) -> DataFrame:
+def features(indexed: DataFrame, segmenter: str = "line") -> DataFrame:
     """Paragraphs above the floor, in long form."""
-    paragraphs = corpora.lines(corpora.eligible(indexed).select("doc_id", "source", "split", "text"))
+    paragraphs = corpora.segments(corpora.eligible(indexed).select("doc_id", "source", "split", "text"), segmenter)
     return style.long_form(style.vectors(paragraphs, floor=C.MIN_LEXICAL).drop("line", "_t"))
 
 
-def profile(indexed: DataFrame) -> Profile:
+def profile(indexed: DataFrame, segmenter: str = "line") -> Profile:
     """The author's profile from train paragraphs, and its reference from calibrate paragraphs."""
-    long = materialize(features(indexed), "features")
+    long = materialize(features(indexed, segmenter), "features")
     one = F.lit("author").alias("author")
     gate = gates.adequacy(indexed.select(one, "admission", "split"), long.select(one, "split", *KEYS).distinct(), "author").first()
     if gate is None or gate["gate"]:

@@ -205,10 +205,11 @@ Note[^n] here is some text for a reader.
 
 
 def test_markdown_leaves():
-    got = [(x.role, x.containers, x.exclusion, MARKDOWN[x.start : x.end][:12]) for x in structure.leaves(MARKDOWN)]
-    assert ("front-matter", (), "role", "---\ntitle: x") in got and ("heading", (), "role", "A heading") in got and ("paragraph", ("block-quote",), "block-quote", "Quoted words") in got
-    assert ("paragraph", ("list", "list-item"), "not-sentential", "short item") in got and ("paragraph", ("list", "list-item"), "", "An item that") in got
-    assert ("code", (), "role", "```\ncode\n```") in got and ("table-cell", ("table",), "role", "c") in got and ("paragraph", ("footnote",), "", "The note its") in got and any(x[0] == "caption" and not x[2] for x in got)
+    got = [(x.role, x.containers[1:], x.exclusion, MARKDOWN[x.start : x.end][:12]) for x in structure.leaves(MARKDOWN)]
+    assert ("front-matter", (), "excluded-by-role", "title: x") in got and ("heading", (), "excluded-by-role", "A heading") in got and ("paragraph", ("block-quote",), "excluded-by-block-quote-policy", "Quoted words") in got
+    assert ("paragraph", ("list", "list-item"), "excluded-not-sentential", "short item") in got and ("paragraph", ("list", "list-item"), "", "An item that") in got
+    assert ("code-block", (), "excluded-by-role", "code") in got and ("table-cell", ("table",), "excluded-by-role", "c") in got and ("footnote", ("footnote-section", "footnote"), "", "The note its") in got
+    assert any(x[0] == "caption" and not x[2] for x in got) and {x[0] for x in got} <= set(structure.ROLES) and {x[2] for x in got} <= set(structure.EXCLUSIONS)
     p = next(x for x in structure.leaves(MARKDOWN) if MARKDOWN.startswith("First", x.start))
     assert structure.run_text(MARKDOWN, p) == "First paragraph with  and  here, long enough to count.\nSecond line of it."
     assert structure.merged([(3, 8), (0, 5), (8, 9)]) == [(0, 8), (8, 9)]
