@@ -41,7 +41,8 @@ LINT_RULES = [
 ]
 
 # --- fixed values: seeds, sizes and levels ---
-BOOTSTRAP_SEED = 0x68617061785F7631
+#: This library's own; seeds are parameters.
+BOOTSTRAP_SEED = 20_260_401
 RESAMPLES, CONFIDENCE, MIN_QUALIFIED = 2000, 0.95, 0.90
 AUTHOR_TARGET, DISTRACTOR_TARGET, AUC_FLOOR = 0.05, 0.10, 0.80
 MIN_LEXICAL, MIN_OBSERVATIONS, MIN_PARAGRAPHS, MIN_DOCUMENTS, MIN_REFERENCE, MIN_FEATURES = 10, 30, 30, 3, 30, 4

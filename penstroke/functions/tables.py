@@ -33,15 +33,16 @@ def cumulative(counts: DataFrame, group: str, value: str, number: str) -> DataFr
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = counts.repartitionByRange(n, group, value).sortWithinPartitions(group, value).withColumn("_place", F.monotonically_increasing_id())
     dealt = materialize(dealt, "ranged").withColumn("_part", F.shiftrightunsigned("_place", 33))
-    sums = dealt.groupBy("_part", group).agg(F.sum(number).alias("s")).collect()
-    starts, running = [], {}
+    sums = dealt.groupBy("_part", group).agg(F.sum(number).alias("s"))
+    total, sums = dict(sums.dtypes)["s"], sums.collect()
+    starts, running, none = [], {}, 0.0 if total == "double" else 0
     for r in sorted(sums, key=lambda r: r["_part"]):
-        starts.append((r["_part"], r[group], running.get(r[group], 0)))
-        running[r[group]] = running.get(r[group], 0) + r["s"]
+        starts.append((r["_part"], r[group], running.get(r[group], none)))
+        running[r[group]] = running.get(r[group], none) + r["s"]
     kind = dict(counts.dtypes)[group]
-    start = spark.createDataFrame(starts or [(0, None, 0)], f"_part long, {group} {kind}, _start long")
+    start = spark.createDataFrame(starts, f"_part long, {group} {kind}, _start {total}")
     from pyspark.sql import Window
 
     within = F.sum(number).over(Window.partitionBy("_part", group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    out = dealt.join(F.broadcast(start), ["_part", group]).withColumn("below", F.col("_start") + F.coalesce(within, F.lit(0)))
+    out = dealt.join(F.broadcast(start), ["_part", group]).withColumn("below", F.col("_start") + F.coalesce(within, F.lit(0).cast(total)))
     return out.drop("_part", "_place", "_start")

@@ -11,12 +11,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.tables import cumulative
+from ..functions.tables import cumulative, materialize
+
+#: Draws that one row of work makes.
+DRAWS = 1 << 20
 
 
 def tail_shares(distances: DataFrame) -> DataFrame:
@@ -64,56 +67,158 @@ def auc(distances: DataFrame, score: str = "distance", positive: str = "class =
     return out.select(F.when(both > 0, F.col("wins") / both).alias("auc"), "positives", "negatives")
 
 
-def draws(seed: int, clusters: int, resample: int) -> np.ndarray:
-    """How often each cluster is drawn in a resample: SplitMix64 outputs modulo the number of clusters."""
+def splitmix(seed: int, first: int, count: int) -> np.ndarray:
+    """Outputs `first`, `first` + 1, ... of SplitMix64; the state is a counter, so any stretch can be made anywhere."""
     with np.errstate(over="ignore"):
-        k = np.arange(resample * clusters + 1, (resample + 1) * clusters + 1, dtype=np.uint64)
+        k = np.arange(first + 1, first + 1 + count, dtype=np.uint64)
         z = np.uint64(seed & (1 << 64) - 1) + k * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return np.bincount(((z ^ z >> np.uint64(31)) % np.uint64(clusters)).astype(np.int64), minlength=clusters)
+    return z ^ z >> np.uint64(31)
 
 
-def _side(pdf: pd.DataFrame, name: str) -> tuple[np.ndarray, np.ndarray, int]:
-    own = pdf[pdf["class"] == name].dropna(subset=["distance"])
-    labels, code = np.unique(own["document"].astype(str).to_numpy(), return_inverse=True)
-    order = np.argsort(own["distance"].to_numpy(), kind="stable")
-    return own["distance"].to_numpy()[order], code[order], len(labels)
+def draws(seed: int, clusters: int, resample: int) -> np.ndarray:
+    """How often each cluster is drawn in a resample: SplitMix64 outputs modulo the number of clusters."""
+    return np.bincount((splitmix(seed, resample * clusters, clusters) % np.uint64(clusters)).astype(np.int64), minlength=clusters)
 
 
-def resampled(distances: DataFrame, low: float | None = None, high: float | None = None, resamples: int = C.RESAMPLES, seed: int = C.BOOTSTRAP_SEED, author_target: float = C.AUTHOR_TARGET, distractor_target: float = C.DISTRACTOR_TARGET, most: int = 5_000_000) -> DataFrame:
-    """(resample, low, high, auc, author_error, distractor_error), one row per resample, computed in parallel.
+def drawn(spark: SparkSession, clusters: dict[str, int], resamples: int, seed: int) -> DataFrame:
+    """(class, code, hits): for each cluster that is drawn, how often it is in which resample. hits has an entry for each resample at most.
 
-    The held-out distances go to every task; they are checked to be at most `most` rows.
+    A row of work is a resample and a block of its draws.
+    """
+    sides = [(i + 1, name, clusters.get(name, 0)) for i, name in enumerate(("author", "distractor"))]
+    work = None
+    for salt, name, n in sides:
+        blocks = -(-n // DRAWS)
+        own = spark.range(resamples * blocks).select(F.lit(salt).alias("salt"), F.lit(name).alias("class"), F.lit(n).cast("long").alias("n"), F.floor(F.col("id") / max(blocks, 1)).alias("resample"), (F.col("id") % max(blocks, 1)).alias("block"))
+        work = own if work is None else work.unionByName(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for salt, name, n, resample, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low = block * DRAWS
+                codes, times = np.unique(splitmix(seed + salt, resample * n + low, min(DRAWS, n - low)) % np.uint64(n), return_counts=True)
+                size = len(codes)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * size), pa.array(codes.astype(np.int64)), pa.array(np.full(size, resample)), pa.array(times)], names=["class", "code", "resample", "times"])
+
+    each = work.repartition("resample", "block").mapInArrow(run, "class string, code long, resample long, times long")
+    each = each.groupBy("class", "code", "resample").agg(F.sum("times").alias("times"))
+    return each.groupBy("class", "code").agg(F.collect_list(F.struct(F.col("resample").cast("int").alias("resample"), F.col("times").cast("int").alias("times"))).alias("hits"))
+
+
+def resampled(
+    distances: DataFrame, low: float | None = None, high: float | None = None, resamples: int = C.RESAMPLES, seed: int = C.BOOTSTRAP_SEED,
+    author_target: float = C.AUTHOR_TARGET, distractor_target: float = C.DISTRACTOR_TARGET,
+) -> DataFrame:
+    """(resample, low, high, auc, author_error, distractor_error), one row per resample, whatever the number of distances.
+
+    Clusters' distinct distances are counted once and meet how often their cluster is drawn; a row per distance then holds a weight for each
+    resample. Rows are dealt out by ranges of distances. The driver sees a sum for each range, class and resample; with what lies below it each
+    range finds its own candidates for the thresholds and its part of the sums.
     """
     spark = distances.sparkSession
-    rows = distances.select("class", F.col("document").cast("string").alias("document"), "distance").limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} held-out distances")
-    (ax, ac, an), (dx, dc, dn) = _side(rows, "author"), _side(rows, "distractor")
-    need_a, need_d = math.ceil(1 / author_target), math.ceil(1 / distractor_target)
-
-    def one(r: int) -> tuple:
-        if not an or not dn:
-            return (r, None, None, None, None, None)
-        wa, wd = draws(seed + 1, an, r)[ac], draws(seed + 2, dn, r)[dc]
-        na, nd = int(wa.sum()), int(wd.sum())
-        ua, ia = np.unique(ax, return_index=True)
-        ud, idx = np.unique(dx, return_index=True)
-        ta, td = np.add.reduceat(wa, ia), np.add.reduceat(wd, idx)
-        above, upto = na - (np.cumsum(ta) - ta), np.cumsum(td)
-        lows, highs = ua[(ta > 0) & (above / max(na, 1) <= author_target)], ud[(td > 0) & (upto / max(nd, 1) <= distractor_target)]
-        ok = na >= need_a and nd >= need_d and len(lows) and len(highs)
-        below, to = (np.concatenate([[0], upto])[np.searchsorted(ud, ua, side)] for side in ("left", "right"))
-        wins = float((ta * ((nd - to) + (to - below) / 2)).sum())
-        errors = (float(wa[ax >= high].sum()) / na if high is not None and na else None, float(wd[dx <= low].sum()) / nd if low is not None and nd else None)
-        return (r, float(lows[0]) if ok else None, float(highs[-1]) if ok else None, wins / (na * nd) if na and nd else None, *errors)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame([one(int(r)) for r in p["id"]], columns=["resample", "low", "high", "auc", "author_error", "distractor_error"])
-
-    return spark.range(resamples).mapInPandas(run, "resample long, low double, high double, auc double, author_error double, distractor_error double")
+    rows = distances.where("distance is not null").select("class", F.col("document").cast("string").alias("document"), F.col("distance").cast("double").alias("distance"))
+    cells = materialize(rows.groupBy("class", "document", "distance").agg(F.count("*").alias("ties")), "cells")
+    labels = cells.select("class", "document").distinct().withColumn("one", F.lit(1).cast("long"))
+    codes = cumulative(labels, "class", "document", "one").select("class", "document", F.col("below").alias("code"))
+    clusters = {r[0]: r[1] for r in codes.groupBy("class").count().collect()}
+    if not (clusters.get("author") and clusters.get("distractor")):
+        return spark.range(resamples).select(F.col("id").alias("resample"), *[F.lit(None).cast("double").alias(c) for c in ("low", "high", "auc", "author_error", "distractor_error")])
+    hits = cells.join(codes, ["class", "document"]).join(drawn(spark, clusters, resamples, seed), ["class", "code"]).select("class", "distance", "ties", F.col("hits.resample").alias("resample"), F.col("hits.times").alias("times"))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each distance and class of a part of a batch, with the weights of all resamples."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                side = np.asarray([x == "distractor" for x in part.column(0).to_pylist()])
+                kinds, of = np.unique(np.stack([part.column(1).to_numpy(), side.astype(float)], 1), axis=0, return_inverse=True)
+                weights = np.zeros((len(kinds), resamples), np.int64)
+                for i, k in enumerate(of.reshape(-1).tolist()):
+                    np.add.at(weights[k], part.column(3)[i].values.to_numpy(), part.column(4)[i].values.to_numpy() * part.column(2)[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(kinds[:, 0]), pa.array(kinds[:, 1] > 0), pa.array([w.tobytes() for w in weights])], names=["distance", "distractor", "weights"])
+
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = hits.mapInArrow(weighed, "distance double, distractor boolean, weights binary").repartitionByRange(ranges, "distance")
+    dealt = materialize(dealt.withColumn("part", F.spark_partition_id()), "weighed")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, bool], np.ndarray] = {}
+        for batch in batches:
+            for side, raw, part in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                own = total.setdefault((part, side), np.zeros(resamples, np.int64))
+                own += np.frombuffer(raw, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.bool_()), pa.array([w.tobytes() for w in total.values()], pa.binary())], names=["part", "distractor", "weights"])
+
+    below: dict[int, np.ndarray] = {}
+    sums: dict[int, np.ndarray] = {}
+    for r in dealt.mapInArrow(summed, "part int, distractor boolean, weights binary").toLocalIterator():
+        sums.setdefault(r["part"], np.zeros((2, resamples), np.int64))[int(r["distractor"])] += np.frombuffer(r["weights"], np.int64)
+    whole = np.zeros((2, resamples), np.int64)
+    for part in sorted(sums):
+        below[part] = whole.copy()
+        whole += sums[part]
+    na, nd = whole
+    enough = (na >= math.ceil(1 / author_target)) & (nd >= math.ceil(1 / distractor_target))
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each part: low and high within it, and its share of the sums, by resample."""
+        state, part, held = None, None, None
+
+        def settle(at: np.ndarray, weights: np.ndarray) -> None:
+            """Whole distances in order: weights[i] are those of both classes at at[i]."""
+            author, distractor = weights[:, 0], weights[:, 1]
+            above = na - (state["below"][0] + np.cumsum(author, 0) - author)
+            upto = state["below"][1] + np.cumsum(distractor, 0)
+            lows, highs = (author > 0) & (above / na <= author_target), (distractor > 0) & (upto / nd <= distractor_target)
+            state["low"] = np.fmin(state["low"], np.where(lows.any(0), at[lows.argmax(0)], np.nan))
+            state["high"] = np.fmax(state["high"], np.where(highs.any(0), at[len(at) - 1 - highs[::-1].argmax(0)], np.nan))
+            state["wins"] += (author * (nd - upto + distractor / 2)).sum(0)
+            state["author"] += author[at >= high].sum(0) if high is not None else 0
+            state["distractor"] += distractor[at <= low].sum(0) if low is not None else 0
+            state["below"] += weights.sum(0)
+
+        def out() -> pa.RecordBatch:
+            if held is not None:
+                settle(*held)
+            columns = [np.arange(resamples), *(state[c] for c in ("low", "high", "wins", "author", "distractor"))]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(float) if i else c, from_pandas=True) for i, c in enumerate(columns)], names=["resample", "low", "high", "wins", "author", "distractor"])
+
+        for batch in batches:
+            distance, side, of = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(int), batch.column(3).to_numpy()
+            for own in np.unique(of):
+                for chunk in np.array_split(np.flatnonzero(of == own), max(1, int((of == own).sum()) // 256)):
+                    if own != part:
+                        if part is not None:
+                            yield out()
+                        part, held = own, None
+                        state = {"below": below[int(own)].copy(), **{c: np.full(resamples, np.nan) for c in ("low", "high")}, **{c: np.zeros(resamples) for c in ("wins", "author", "distractor")}}
+                    at, k = np.unique(distance[chunk], return_inverse=True)
+                    weights = np.zeros((len(at), 2, resamples), np.int64)
+                    for i, j in zip(chunk.tolist(), k.tolist(), strict=True):
+                        weights[j, side[i]] += np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+                    if held is not None:  # the last distance may go on
+                        if held[0][0] == at[0]:
+                            weights[0] += held[1][0]
+                        else:
+                            at, weights = np.concatenate([held[0], at]), np.concatenate([held[1], weights])
+                    if len(at) > 1:
+                        settle(at[:-1], weights[:-1])
+                    held = (at[-1:], weights[-1:])
+        if part is not None:
+            yield out()
+
+    sorted_ = dealt.repartition(ranges, "part").sortWithinPartitions("part", "distance")
+    found = sorted_.mapInArrow(ranged, "resample long, low double, high double, wins double, author double, distractor double")
+    one = found.groupBy("resample").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("wins").alias("wins"), F.sum("author").alias("author"), F.sum("distractor").alias("distractor"))
+    totals = spark.createDataFrame([(i, int(na[i]), int(nd[i]), bool(enough[i])) for i in range(resamples)], "resample long, na long, nd long, enough boolean")
+    both = F.col("enough") & F.col("low").isNotNull() & F.col("high").isNotNull()
+    return one.join(F.broadcast(totals), "resample").select(
+        "resample", F.when(both, F.col("low")).alias("low"), F.when(both, F.col("high")).alias("high"), (F.col("wins") / (F.col("na") * F.col("nd"))).alias("auc"),
+        (F.col("author") / F.col("na") if high is not None else F.lit(None).cast("double")).alias("author_error"),
+        (F.col("distractor") / F.col("nd") if low is not None else F.lit(None).cast("double")).alias("distractor_error"),
+    )
 
 
 def _at(values: list[float], index: int) -> float | None:

@@ -64,18 +64,12 @@ def _distances(spark: SparkSession, sf: str, split: str = "test") -> DataFrame:
     return materialize(d.withColumn("document", F.col("doc_id")).withColumn("distance", _r("distance")), "distances")
 
 
-def _evaluation(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    test, held = _distances(spark, sf), _distances(spark, sf, "calibrate")
-    limits = evaluate.thresholds(held)
+def _bounded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(thresholds, resamples of the test distances under them, clusters by class)."""
+    test, limits = _distances(spark, sf), materialize(thresholds(spark, sf), "limits")
     row = limits.first()
     clusters = {r[0]: r[1] for r in test.where("distance is not null").groupBy("class").agg(F.countDistinct("document")).collect()}
-    draws = materialize(evaluate.resampled(test, row["low"], row["high"]), "draws")
-    return {
-        "limits": limits,
-        "intervals": evaluate.intervals(materialize(evaluate.resampled(held), "draws")),
-        "bounds": evaluate.error_bounds(draws, clusters.get("author", 0), clusters.get("distractor", 0)),
-        "auc": evaluate.auc_bound(draws, min(clusters.get("author", 0), clusters.get("distractor", 0))),
-    }
+    return limits, materialize(evaluate.resampled(test, row["low"], row["high"]), "draws"), {c: clusters.get(c, 0) for c in ("author", "distractor")}
 
 
 def doc_admission(spark, sf):
@@ -213,25 +207,30 @@ def quality_auc(spark, sf):
 
 
 def bootstrap_intervals(spark, sf):
-    return _evaluation(spark, sf)["intervals"]
+    return evaluate.intervals(materialize(evaluate.resampled(_distances(spark, sf, "calibrate")), "draws"))
 
 
 def band_error_bounds(spark, sf):
-    return _evaluation(spark, sf)["bounds"]
+    _, draws, clusters = _bounded(spark, sf)
+    return evaluate.error_bounds(draws, clusters["author"], clusters["distractor"])
 
 
 def auc_lower_bound(spark, sf):
-    return _evaluation(spark, sf)["auc"]
+    _, draws, clusters = _bounded(spark, sf)
+    return evaluate.auc_bound(draws, min(clusters.values())).select(_r("auc_lower").alias("auc_lower"), "passed")
 
 
 def release_verdict(spark, sf):
-    e = _evaluation(spark, sf)
-    return evaluate.release(e["limits"], e["bounds"], e["auc"])
+    limits, draws, clusters = _bounded(spark, sf)
+    bounds = evaluate.error_bounds(draws, clusters["author"], clusters["distractor"])
+    return evaluate.release(limits, bounds, evaluate.auc_bound(draws, min(clusters.values()))).withColumn("auc_lower", _r("auc_lower"))
 
 
 def _candidates(spark, sf):
-    long = _long(spark, sf).where("source = 'src0' and split = 'train'")
-    return materialize(long.withColumn("id", F.col("doc_id") * 100000 + F.col("seg")).select("id", "feature", "value"), "candidates")
+    """The author's train paragraphs, named so that their order is that of documents and lines."""
+    long = _long(spark, sf).where("class = 'author' and split = 'train'")
+    name = F.concat(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit(":"), F.lpad(F.col("seg").cast("string"), 10, "0"))
+    return materialize(long.withColumn("id", name).select("id", "source", "feature", "value"), "candidates")
 
 
 def self_midrank(spark, sf):
@@ -243,13 +242,24 @@ def exemplar_density(spark, sf):
 
 
 def exemplar_eligible(spark, sf):
-    return exemplars.eligible(exemplar_density(spark, sf))
+    return exemplars.eligible(materialize(exemplar_density(spark, sf), "density"))
+
+
+def _selection(spark, sf):
+    """Twelve exemplars over a stratum for each source."""
+    candidates = _candidates(spark, sf)
+    stratum = candidates.select("id", F.concat(F.lit("paragraph|"), "source").alias("stratum")).distinct()
+    return exemplars.select(materialize(exemplars.self_ranked(candidates), "ranked"), stratum, 12)
 
 
 def exemplar_medoids(spark, sf):
-    ranked = materialize(exemplars.self_ranked(_candidates(spark, sf)), "ranked")
-    chosen = exemplars.eligible(exemplars.densities(ranked)).withColumn("stratum", F.lit("paragraph|"))
-    return spark.createDataFrame(exemplars.medoids(ranked, materialize(chosen, "chosen")), "stratum string, id long, distance_sum double")
+    return _selection(spark, sf).medoids
+
+
+def exemplar_certificate(spark, sf):
+    """One row: how many neighbours make a density, the population, the eligible ones, and what they add up to."""
+    s = _selection(spark, sf)
+    return s.density.agg(F.lit(s.k).alias("k"), F.count("*").alias("population"), F.count_if("eligible").alias("eligible"), F.round(F.sum(F.when(F.col("eligible"), F.col("density"))), 3).alias("density"))
 
 
 def stratum_order(spark, sf):
@@ -428,7 +438,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         doc_admission, dedupe_first_wins, split_assignment, corpus_summary, check_statuses, overlap_screen, tool_output_screen, already_rewritten_flags, token_counts, contraction_flags, sentential_lines,
         feature_vectors, sampling_variance, paragraph_floor_partition, profile_stats, profile_by_source, profile_stats_mad, standardized_values, reference_sizes_caps, rank_transform, distance_scores,
         feature_deltas, tier_plan, thresholds, band_occupancy, achieved_rates, auc_midrank, quality_auc, bootstrap_intervals, band_error_bounds, auc_lower_bound, release_verdict, self_midrank,
-        exemplar_density, exemplar_eligible, exemplar_medoids, stratum_order, lint_findings, lint_counts, lint_severity_vector, lint_overlap_filtered, preserve_differences, audit_identifiers, script_counts,
+        exemplar_density, exemplar_eligible, exemplar_medoids, exemplar_certificate, stratum_order, lint_findings, lint_counts, lint_severity_vector, lint_overlap_filtered, preserve_differences, audit_identifiers, script_counts,
         structure_leaves, publication_evidence, replacement_shift, paragraph_dispositions, register_selection, head_pointers, sole_artifact, ordinal_gaps, orphan_rows, invalid_ids, rehydrate_nodes, reachability_prune,
         scripts_introduced, scripts_overgrown, expansion_guard, rejection_codes, accepted_attempts, urls_extracted, quotes_extracted, interval_union, content_ids,
     )
@@ -496,10 +506,28 @@ _PASSAGES = "ps AS (SELECT DISTINCT sha256(trim(l)) AS h FROM (SELECT unnest(str
 _DLINES = "dl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)"
 _PAIRS = """c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT o.conv_id || ':' || n.turn AS pair_id, o.text AS current, n.text AS candidate FROM c o JOIN c n ON o.conv_id = n.conv_id AND n.turn = o.turn + 1 WHERE o.role = 'user' AND n.role = 'assistant')"""
-_CAND = f"{_LONG}, k AS (SELECT doc_id * 100000 + seg AS id, feature, value FROM l WHERE source = 'src0' AND split = 'train'), sr AS (SELECT id, feature, CASE WHEN value IS NOT NULL THEN (rank() OVER (PARTITION BY feature ORDER BY value) - 1 + count(*) OVER (PARTITION BY feature, value) / 2e0 + 0.5e0) / (count(value) OVER (PARTITION BY feature) + 1) END AS u FROM k)"
-_DENS = f"""{_CAND}, sq AS (SELECT *, {probit_sql('u')} AS q FROM sr), nn AS (SELECT count(DISTINCT id) AS n FROM k), kk AS (SELECT least(greatest(floor(sqrt(n)), 3), 15) AS k, n FROM nn),
-  pr AS (SELECT a.id AS a, b.id AS b, avg(abs(a.q - b.q)) AS dist FROM sq a JOIN sq b ON a.feature = b.feature AND a.id <> b.id WHERE a.q IS NOT NULL AND b.q IS NOT NULL GROUP BY a.id, b.id HAVING count(*) >= 3),
-  nr AS (SELECT a, dist, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS rn FROM pr), den AS (SELECT a AS id, round(avg(dist), 6) AS density FROM nr, kk WHERE rn <= k GROUP BY a HAVING count(*) >= max(k))"""
+_CAND = f"{_LONG}, k AS (SELECT lpad(doc_id::VARCHAR, 20, '0') || ':' || lpad(seg::VARCHAR, 10, '0') AS id, source, feature, value FROM l WHERE class = 'author' AND split = 'train'), sr AS (SELECT id, source, feature, CASE WHEN value IS NOT NULL THEN (rank() OVER (PARTITION BY feature ORDER BY value) - 1 + count(*) OVER (PARTITION BY feature, value) / 2e0 + 0.5e0) / (count(value) OVER (PARTITION BY feature) + 1) END AS u FROM k)"
+_Q = [f"q{i}" for i in range(len(C.FEATURES))]
+_APART = "(" + " + ".join(f"coalesce(abs(a.{q} - b.{q}), 0)" for q in _Q) + ") / (" + " + ".join(f"(a.{q} IS NOT NULL AND b.{q} IS NOT NULL)::INT" for q in _Q) + ")"
+_MET = " + ".join(f"(a.{q} IS NOT NULL AND b.{q} IS NOT NULL)::INT" for q in _Q) + " >= 3"
+# the k least distances of each against all, by brute force
+_DENS = f"""{_CAND}, sq AS (SELECT *, {probit_sql('u')} AS q FROM sr), wq AS (SELECT id, any_value(source) AS source, {", ".join(f"max(CASE WHEN feature = '{f}' THEN q END) AS q{i}" for i, f in enumerate(C.FEATURES))} FROM sq GROUP BY id),
+  kk AS (SELECT least(greatest(floor(sqrt(count(*))), 3), 15)::INT AS k, count(*) AS n FROM wq),
+  nr AS (SELECT a.id, min({_APART}, 15) AS best FROM wq a JOIN wq b ON a.id <> b.id WHERE {_MET} GROUP BY a.id),
+  den AS (SELECT id, round(list_avg(best[1:k]), 6) AS density FROM nr, kk WHERE len(best) >= k),
+  eli AS (SELECT id, density FROM (SELECT id, density, row_number() OVER (ORDER BY density, id) AS rn FROM den), kk WHERE rn <= ceil(0.75 * n))"""
+
+
+def _medoids(picks: int) -> str:
+    """Round by round over strata in order, sums of all pairs that are left: rd0, rd1, ... hold what was picked up to then."""
+    out = f"""{_DENS}, ew AS (SELECT wq.*, 'paragraph|' || source AS stratum FROM wq JOIN eli USING (id)), so AS (SELECT stratum, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, stratum) AS place FROM ew GROUP BY stratum),
+  ps AS (SELECT a.id AS a, b.id AS b, a.stratum, {_APART} AS apart FROM ew a JOIN ew b ON a.stratum = b.stratum AND a.id <> b.id WHERE {_MET}),
+  sm AS (SELECT a AS id, stratum, sum(apart) AS total FROM ps GROUP BY a, stratum),
+  rd0 AS (SELECT NULL::INT AS round, NULL::VARCHAR AS stratum, NULL::VARCHAR AS id, NULL::DOUBLE AS distance_sum, 0 AS place WHERE false)"""
+    for n in range(1, picks + 1):
+        out += f""", lf{n} AS (SELECT m.stratum, m.id, round(m.total - coalesce((SELECT sum(p.apart) FROM ps p WHERE p.a = m.id AND p.b IN (SELECT id FROM rd{n - 1})), 0), 6) AS total FROM sm m WHERE m.id NOT IN (SELECT id FROM rd{n - 1})),
+  rd{n} AS (SELECT * FROM rd{n - 1} UNION ALL SELECT {n}, stratum, id, total, place FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY total, id) AS rn FROM lf{n}) JOIN so USING (stratum) WHERE rn = 1)"""
+    return out
 
 
 #: Scripts that the SQL looks for, letter by letter; the queries know all.
@@ -589,8 +617,10 @@ ORACLE: dict[str, str] = {
     "auc_midrank": f"WITH {_dist('test')}, y AS (SELECT class, distance AS x FROM ds WHERE distance IS NOT NULL), pr AS (SELECT avg(CASE WHEN p.x > q.x THEN 1e0 WHEN p.x = q.x THEN 0.5e0 ELSE 0e0 END) AS auc FROM y p, y q WHERE p.class = 'distractor' AND q.class = 'author') SELECT round(auc, 9) AS auc, (SELECT count(*) FROM y WHERE class = 'distractor') AS positives, (SELECT count(*) FROM y WHERE class = 'author') AS negatives FROM pr",
     "quality_auc": "WITH y AS (SELECT quality, n_chars AS x FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL), pr AS (SELECT avg(CASE WHEN p.x > q.x THEN 1e0 WHEN p.x = q.x THEN 0.5e0 ELSE 0e0 END) AS auc FROM y p, y q WHERE p.quality = 1 AND q.quality <> 1) SELECT round(auc, 9) AS auc, (SELECT count(*) FROM y WHERE quality = 1) AS positives, (SELECT count(*) FROM y WHERE quality <> 1) AS negatives FROM pr",
     "self_midrank": f"WITH {_CAND} SELECT id, feature, round(u, 9) AS u, round({probit_sql('u')}, 9) AS q FROM sr",
-    "exemplar_density": f"WITH {_DENS} SELECT i.id, density FROM (SELECT DISTINCT id FROM k) i LEFT JOIN den USING (id)",
-    "exemplar_eligible": f"WITH {_DENS} SELECT id, density FROM (SELECT id, density, row_number() OVER (ORDER BY density, id) AS rn FROM den), kk WHERE rn <= ceil(0.75 * n)",
+    "exemplar_density": f"WITH {_DENS} SELECT wq.id, density FROM wq LEFT JOIN den USING (id)",
+    "exemplar_eligible": f"WITH {_DENS} SELECT id, density FROM eli",
+    "exemplar_medoids": f"WITH {_medoids(2)} SELECT round, stratum, id, distance_sum FROM rd2 ORDER BY round, place LIMIT 12",
+    "exemplar_certificate": f"WITH {_DENS} SELECT k, n AS population, (SELECT count(*) FROM eli) AS eligible, (SELECT round(sum(density), 3) FROM eli) AS density FROM kk",
     "stratum_order": f"WITH {_SEGMENTS}, y AS (SELECT 'paragraph|' || source AS stratum, count(*) AS size FROM s WHERE class = 'author' GROUP BY 1) SELECT stratum, size, row_number() OVER (ORDER BY size DESC, stratum) AS place FROM y",
     "lint_counts": f"WITH {_DOCS}, tx AS (SELECT text FROM d UNION ALL SELECT coalesce(html, '') FROM pages), y AS (" + " UNION ALL ".join(f"SELECT {_q(r.id)} AS rule, len(regexp_extract_all(text, {_q(r.pattern)})) AS n FROM tx" for r in RULES) + ") SELECT rule, sum(n)::BIGINT AS findings, count(*) AS texts FROM y WHERE n > 0 GROUP BY rule",
     "lint_severity_vector": f"WITH {_DOCS}, y AS (SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, {_q(r.pattern)})) AS n{i}" for i, r in enumerate(DERIVED)) + " FROM d) SELECT doc_id, n0 AS errors, n1 AS warns, 0 AS infos, CASE WHEN n0 + n1 > 0 THEN 'flagged' ELSE 'indeterminate' END AS screening FROM y WHERE n0 + n1 + n2 > 0",
@@ -620,3 +650,48 @@ ORACLE |= {
     "rehydrate_nodes": "SELECT CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'content-changed' ELSE 'ok' END AS outcome, count(*) AS n FROM documents GROUP BY 1",
     "reachability_prune": "WITH RECURSIVE e AS (SELECT 'region' AS fk, n_regionkey::BIGINT AS fi, 'nation' AS tk, n_nationkey::BIGINT AS ti FROM nation UNION ALL SELECT 'nation', c_nationkey, 'customer', c_custkey FROM customer UNION ALL SELECT 'customer', o_custkey, 'order', o_orderkey FROM orders), r AS (SELECT 'region' AS kind, r_regionkey::BIGINT AS id FROM region WHERE r_regionkey < 2 UNION SELECT tk, ti FROM r JOIN e ON fk = kind AND fi = id) SELECT DISTINCT tk AS kind, ti AS id FROM e ANTI JOIN r ON tk = kind AND ti = id",
 }
+
+
+def _resampled(seed: int) -> str:
+    """Draws by SplitMix64 in 64-bit arithmetic, row by row, over the distances ds: rcl (clusters), rws (weights by resample and distance), rnn (their sums)."""
+    top = "18446744073709551616::UHUGEINT"
+
+    def mixed(z: str, shift: int, factor: str) -> str:
+        return f"(xor({z}, {z} >> {shift}) * {factor}::UHUGEINT) % {top}"
+
+    return f"""rcl AS (SELECT class, document, row_number() OVER (PARTITION BY class ORDER BY document) - 1 AS code, count(*) OVER (PARTITION BY class) AS n FROM (SELECT DISTINCT class, doc_id::VARCHAR AS document FROM ds WHERE distance IS NOT NULL)),
+rcn AS (SELECT class, max(n) AS n FROM rcl GROUP BY class),
+z0 AS (SELECT class, n, r, (({seed} + CASE class WHEN 'author' THEN 1 ELSE 2 END)::UHUGEINT + (r * n + k)::UHUGEINT * 11400714819323198485::UHUGEINT) % {top} AS z FROM rcn, range({C.RESAMPLES}) AS a(r), unnest(range(1, n + 1)) AS b(k)),
+z1 AS (SELECT class, n, r, {mixed("z", 30, "13787848793156543929")} AS z FROM z0), z2 AS (SELECT class, n, r, {mixed("z", 27, "10723151780598845931")} AS z FROM z1),
+dw AS (SELECT class, r, (xor(z, z >> 31) % n::UHUGEINT)::BIGINT AS code, count(*) AS times FROM z2 GROUP BY ALL),
+rce AS (SELECT class, doc_id::VARCHAR AS document, distance, count(*) AS ties FROM ds WHERE distance IS NOT NULL GROUP BY ALL),
+rws AS (SELECT class, r, distance, sum(times * ties) AS w FROM rce JOIN rcl USING (class, document) JOIN dw USING (class, code) GROUP BY ALL),
+rcu AS (SELECT *, sum(w) OVER (PARTITION BY class, r) AS total, sum(w) OVER (PARTITION BY class, r ORDER BY distance) AS upto FROM rws),
+rnn AS (SELECT r, sum(w) FILTER (class = 'author') AS na, sum(w) FILTER (class = 'distractor') AS nd FROM rws GROUP BY r)"""
+
+
+_ORDERED = f"""rts AS (SELECT r, min(CASE WHEN class = 'author' AND (total - upto + w) / total::DOUBLE <= {C.AUTHOR_TARGET} THEN distance END) AS low, max(CASE WHEN class = 'distractor' AND upto / total::DOUBLE <= {C.DISTRACTOR_TARGET} THEN distance END) AS high FROM rcu GROUP BY r),
+ok AS (SELECT low, high FROM rts JOIN rnn USING (r) WHERE na >= 20 AND nd >= 10 AND low IS NOT NULL AND high IS NOT NULL),
+ar AS (SELECT list_sort(list(low)) AS l, list_sort(list(high)) AS h, count(*) AS q FROM ok)"""
+_DRAWS = C.BOOTSTRAP_SEED
+# the SQL's own order statistics: index floor(p n) from 0, at most the last
+ORACLE["bootstrap_intervals"] = f"""WITH {_dist('calibrate')}, {_resampled(_DRAWS)}, {_ORDERED},
+iv AS (SELECT l[least(floor((1 - {C.CONFIDENCE}) / 2 * q), q - 1)::INT + 1] AS low_lower, l[least(floor((1 - (1 - {C.CONFIDENCE}) / 2) * q), q - 1)::INT + 1] AS low_upper,
+  h[least(floor((1 - {C.CONFIDENCE}) / 2 * q), q - 1)::INT + 1] AS high_lower, h[least(floor((1 - (1 - {C.CONFIDENCE}) / 2) * q), q - 1)::INT + 1] AS high_upper, q FROM ar)
+SELECT low_lower, low_upper, high_lower, high_upper, q::INT AS qualified, {C.RESAMPLES} AS resamples, q / {C.RESAMPLES}::DOUBLE >= {C.MIN_QUALIFIED} AS usable, coalesce(low_upper < high_lower, false) AS actionable,
+  q / {C.RESAMPLES}::DOUBLE >= {C.MIN_QUALIFIED} AND coalesce(low_upper < high_lower, false) AS shippable,
+  CASE WHEN q / {C.RESAMPLES}::DOUBLE < {C.MIN_QUALIFIED} THEN 'insufficient-qualified-resamples' WHEN coalesce(low_upper < high_lower, false) THEN '' ELSE 'overlapping-intervals' END AS reason FROM iv"""
+_BOUNDS = f"""lim AS (WITH {_dist('calibrate')}, {_LIMITS} SELECT low, high, CASE WHEN low IS NULL OR high IS NULL THEN 'uncalibrated' WHEN low < high THEN 'separated' ELSE 'pair-incompatible' END AS verdict FROM lm), ds AS (SELECT * FROM (WITH {_dist('test')} SELECT * FROM ds)), {_resampled(_DRAWS)},
+er AS (SELECT r, sum(CASE WHEN class = 'author' AND distance >= lim.high THEN w ELSE 0 END) / max(na)::DOUBLE AS ae, sum(CASE WHEN class = 'distractor' AND distance <= lim.low THEN w ELSE 0 END) / max(nd)::DOUBLE AS de FROM rws JOIN rnn USING (r), lim GROUP BY r),
+el AS (SELECT list_sort(list(ae)) AS a, list_sort(list(de)) AS d FROM er),
+eb AS (SELECT 'not-you' AS band, CASE WHEN (SELECT high FROM lim) IS NOT NULL THEN greatest(a[least(floor({C.CONFIDENCE} * len(a)), len(a) - 1)::INT + 1], 3e0 / (SELECT n FROM rcn WHERE class = 'author')) END AS bound, {C.AUTHOR_TARGET} AS target FROM el
+  UNION ALL SELECT 'in-range', CASE WHEN (SELECT low FROM lim) IS NOT NULL THEN greatest(d[least(floor({C.CONFIDENCE} * len(d)), len(d) - 1)::INT + 1], 3e0 / (SELECT n FROM rcn WHERE class = 'distractor')) END, {C.DISTRACTOR_TARGET} FROM el),
+bd AS (SELECT band, bound, coalesce(bound <= target, false) AS emitted, CASE WHEN bound IS NULL THEN 'empty-error-class' WHEN bound <= target THEN '' ELSE 'error-bound-exceeds-target' END AS reason FROM eb)"""
+_AUCS = f"""rbc AS (SELECT r, distance, sum(CASE WHEN class = 'author' THEN w ELSE 0 END) AS wa, sum(CASE WHEN class = 'distractor' THEN w ELSE 0 END) AS wd FROM rws GROUP BY ALL),
+uc AS (SELECT *, sum(wd) OVER (PARTITION BY r ORDER BY distance DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over FROM rbc),
+au AS (SELECT r, sum(wa * (coalesce(over, 0) + wd / 2e0)) / max(na * nd)::DOUBLE AS auc FROM uc JOIN rnn USING (r) GROUP BY r), al AS (SELECT list_sort(list(auc)) AS u FROM au),
+ab AS (SELECT least(u[least(floor((1 - {C.CONFIDENCE}) * len(u)), len(u) - 1)::INT + 1], 1 - 3e0 / (SELECT min(n) FROM rcn)) AS auc_lower FROM al)"""
+ORACLE["band_error_bounds"] = f"WITH {_BOUNDS} SELECT band, bound, emitted, reason FROM bd"
+ORACLE["auc_lower_bound"] = f"WITH {_BOUNDS}, {_AUCS} SELECT round(auc_lower, 9) AS auc_lower, auc_lower >= {C.AUC_FLOOR} AS passed FROM ab"
+ORACLE["release_verdict"] = f"""WITH {_BOUNDS}, {_AUCS}, rv AS (SELECT verdict, (SELECT count(*) FROM bd WHERE emitted) AS emitted, auc_lower FROM lim, ab)
+SELECT verdict, emitted, round(auc_lower, 9) AS auc_lower, CASE WHEN auc_lower < {C.AUC_FLOOR} THEN 'discrimination-failed' WHEN verdict <> 'separated' OR emitted = 0 THEN 'uncalibrated' ELSE '' END AS reason, auc_lower >= {C.AUC_FLOOR} AND verdict = 'separated' AND emitted > 0 AS shippable FROM rv"""
