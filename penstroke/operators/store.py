@@ -118,3 +118,65 @@ def reachable(seeds: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFra
 def pruned(objects: DataFrame, seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """The objects (kind, id) that nothing kept leads to."""
     return objects.join(reachable(seeds, edges), ["kind", "id"], "left_anti")
+
+
+#: The columns of each kind of artifact that pruning reads.
+ARTIFACTS = {
+    "snapshot": ["id"], "document": ["id", "snapshot_id"], "node": ["id", "document_id"], "profile": ["id", "snapshot_id"], "reference": ["id", "profile_id"], "selection": ["id", "profile_id"],
+    "selection_member": ["selection_id", "node_id"], "evaluation": ["profile_id"], "attempt": ["profile_id", "node_id"], "head": ["register", "profile_id"], "threshold": ["id", "profile_id"],
+}
+#: (table, the kind and column it is reached by, the kind and column it leads to): the eight rules by which what is kept keeps others.
+RULES = (
+    ("profile", "profile", "id", "snapshot", "snapshot_id"), ("reference", "profile", "profile_id", "reference", "id"), ("selection", "profile", "profile_id", "selection", "id"),
+    ("document", "snapshot", "snapshot_id", "document", "id"), ("node", "document", "document_id", "node", "id"), ("node", "node", "id", "document", "document_id"),
+    ("document", "document", "id", "snapshot", "snapshot_id"), ("selection_member", "selection", "selection_id", "node", "node_id"),
+)
+#: Rows that stay with what they belong to.
+DEPENDENT = {"head": ("profile", "profile_id"), "threshold": ("profile", "profile_id"), "selection_member": ("selection", "selection_id")}
+
+
+def kept_artifacts(tables: dict[str, DataFrame], profiles: DataFrame) -> DataFrame:
+    """(kind, id) of all that the profiles to keep (id) and the audit rows lead to. A profile that isn't there raises.
+
+    Audit rows (evaluations and attempts) are never pruned, so that the profiles and nodes that they name are seeds too.
+    """
+    missing = profiles.select("id").join(tables["profile"].select("id"), "id", "left_anti").first()
+    if missing is not None:
+        raise LookupError(f"no profile {missing['id']}")
+    seeds = profiles.select(F.lit("profile").alias("kind"), "id")
+    for table, kind, column in (("evaluation", "profile", "profile_id"), ("attempt", "profile", "profile_id"), ("attempt", "node", "node_id")):
+        seeds = seeds.unionByName(tables[table].where(F.col(column).isNotNull()).select(F.lit(kind).alias("kind"), F.col(column).alias("id")))
+    edges = None
+    for table, kind, column, to, target in RULES:
+        own = tables[table].select(F.lit(kind).alias("from_kind"), F.col(column).alias("from_id"), F.lit(to).alias("to_kind"), F.col(target).alias("to_id")).where("from_id is not null and to_id is not null")
+        edges = own if edges is None else edges.unionByName(own)
+    return reachable(seeds, edges)
+
+
+def prune_artifacts(tables: dict[str, DataFrame], profiles: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the tables without what nothing kept leads to, (kind, removed) of each table that loses rows)."""
+    kept = materialize(kept_artifacts(tables, profiles), "kept")
+    left, removed = {}, None
+    for name, df in tables.items():
+        kind, column = DEPENDENT.get(name, (name, "id"))
+        if name in ("evaluation", "attempt"):
+            left[name] = df
+            continue
+        own = kept.where(F.col("kind") == kind).select(F.col("id").alias(column))
+        left[name] = df.join(own, column, "left_semi").select(*df.columns)
+        gone = df.join(own, column, "left_anti").agg(F.lit(name).alias("kind"), F.count("*").alias("removed"))
+        removed = gone if removed is None else removed.unionByName(gone)
+    return left, removed.where("removed > 0")
+
+
+def strangers_of_selection(members: DataFrame, nodes: DataFrame, documents: DataFrame, snapshot: str) -> DataFrame:
+    """Members (selection_id, node_id) whose node isn't one of the snapshot's (nodes (id, document_id), documents (id, snapshot_id))."""
+    own = nodes.join(documents.where(F.col("snapshot_id") == snapshot).select(F.col("id").alias("document_id")), "document_id", "left_semi").select(F.col("id").alias("node_id"))
+    return members.join(own, "node_id", "left_anti")
+
+
+def inconsistent_parents(children: DataFrame, parents: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, column, child, parent) where a child's copy of its parent's value differs from the parent's, or the parent is missing."""
+    j = children.alias("c").join(parents.alias("p"), key, "left")
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c.{c}").cast("string").alias("child"), F.col(f"p.{c}").cast("string").alias("parent")) for c in columns])
+    return j.select(key, F.explode(each).alias("x")).select(key, "x.*").where(~F.col("child").eqNullSafe(F.col("parent")))
