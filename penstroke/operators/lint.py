@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from .tokens import ByteOffsets, edge
 
 
 @dataclass(frozen=True)
@@ -39,38 +42,88 @@ def default_rules() -> list[Rule]:
     return [Rule(i, s, p, category="formatting" if i == "double-space" else "author-deviation") for i, s, p in C.LINT_RULES]
 
 
+def _spans(corpus: DataFrame, one: Callable[[str], list[tuple]], schema: str) -> DataFrame:
+    """(doc_id, start, length, ...) of what `one` finds in each text; it gives spans in code points, which become bytes in one pass a text."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+    types = [kinds[f.split()[1]] for f in schema.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for whole in batches:
+            for key, value in zip(whole.column(0).to_pylist(), whole.column(1), strict=True):
+                text = value.as_py() or ""
+                found = one(text)
+                at = ByteOffsets(text, {i for x in found for i in x[:2]})
+                for x in found:
+                    rows.append((key, at(x[0]), at(x[1]) - at(x[0]), *x[2:]))
+                    if len(rows) >= 10_000:
+                        yield batch(rows)
+                        rows = []
+        yield batch(rows)
+
+    return corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def directives(corpus: DataFrame, rules: list[Rule], tag: str = "lint") -> DataFrame:
+    """(doc_id, start, length, rule, reason, state, scope_start, scope_end) of comments `<!-- TAG:allow RULE reason="..." -->`, in bytes.
+
+    state: malformed without a reason, unknown for a rule that isn't there, dangling without a next line, else applied to the next line.
+    """
+    allow = re.compile(rf'<!--\s*{re.escape(tag)}:allow\s+([^\s>]+)(?:\s+reason="([^"]*)")?\s*-->')
+    known = {r.id for r in rules}
+
+    def one(text: str) -> list[tuple]:
+        out = []
+        for m in allow.finditer(text):
+            low = text.find("\n", m.end()) + 1
+            state = "malformed" if not m[2] else "unknown" if m[1] not in known else "applied" if low else "dangling"
+            high = text.find("\n", low) if low else -1
+            low, high = (low, len(text) if high < 0 else high) if state == "applied" else (m.end(), m.end())
+            # the scope in bytes from the directive's end, as no offset inside it is asked elsewhere
+            gap = len(text[m.end() : low].encode("utf-8", "surrogatepass"))
+            out.append((m.start(), m.end(), m[1], m[2] or "", state, gap, gap + len(text[low:high].encode("utf-8", "surrogatepass"))))
+        return out
+
+    found = _spans(corpus, one, "doc_id long, start long, length long, rule string, reason string, state string, after long, upto long")
+    end, applied = F.col("start") + F.col("length"), F.col("state") == "applied"
+    return found.withColumns({"scope_start": F.when(applied, end + F.col("after")), "scope_end": F.when(applied, end + F.col("upto"))}).drop("after", "upto")
+
+
 def findings(corpus: DataFrame, rules: list[Rule], register: str | None = None, author: str | None = None, limit: int = 0, tag: str = "lint", honour: bool = False) -> DataFrame:
-    """(doc_id, rule, start, length, severity, provenance, category, suppressed) in bytes of the text, rules in order, each leftmost without overlaps.
+    """(doc_id, rule, start, length, severity, provenance, category, widened, truncated, suppressed, reason) in bytes, each rule leftmost without overlaps.
 
-    A comment `<!-- TAG:allow RULE reason="..." -->` suppresses the rule on the next line. A limit counts findings
-    and suppressed ones alike, in the order of rules.
+    Spans are widened to whole graphemes. A limit counts a document's findings, suppressed ones too, in the order of rules; truncated says of each
+    finding whether its document has more. With `honour` a directive suppresses its rule where it begins on the next line.
     """
     active = [r for r in rules if r.in_scope(register, author)]
-    allow = re.compile(rf'<!--\s*{re.escape(tag)}:allow\s+([^\s>]+)(?:\s+reason="([^"]*)")?\s*-->')
+    compiled = [(r, re.compile(r.pattern)) for r in active]
 
-    def one(text: str, compiled: list) -> list[tuple]:
-        scopes, out = [], []
-        for m in allow.finditer(text) if honour else ():
-            low = text.find("\n", m.end())
-            if m[2] and low >= 0:
-                high = text.find("\n", low + 1)
-                scopes.append((m[1], low + 1, len(text) if high < 0 else high))
+    def one(text: str) -> list[tuple]:
+        out = []
         for rule, pattern in compiled:
             for m in pattern.finditer(text):
-                if limit and len(out) >= limit:
-                    return out
-                hidden = any(i == rule.id and a <= m.start() < b for i, a, b in scopes)
-                start = len(text[: m.start()].encode())
-                out.append((rule.id, start, len(m[0].encode()), rule.severity, rule.provenance, rule.category, hidden))
-        return out
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(r, re.compile(r.pattern)) for r in active]
-        for p in parts:
-            rows = [(d, *f) for d, t in zip(p["doc_id"], p["text"], strict=True) for f in one(t or "", compiled)]
-            yield pd.DataFrame(rows, columns=["doc_id", "rule", "start", "length", "severity", "provenance", "category", "suppressed"])
-
-    return corpus.select("doc_id", "text").mapInPandas(run, "doc_id long, rule string, start long, length long, severity string, provenance string, category string, suppressed boolean")
+                low, high = edge(text, m.start(), -1), edge(text, m.end(), 1)
+                out.append((low, high, rule.id, rule.severity, rule.provenance, rule.category, (low, high) != m.span(), m.start() - low))
+                if limit and len(out) > limit:
+                    return [(*x, True) for x in out[:limit]]
+        return [(*x, False) for x in out]
+
+    schema = "doc_id long, start long, length long, rule string, severity string, provenance string, category string, widened boolean, shift int, truncated boolean"
+    found = _spans(corpus, one, schema)
+    columns = ["doc_id", "rule", "start", "length", "severity", "provenance", "category", "widened", "truncated"]
+    if not honour:
+        return found.select(*columns, F.lit(False).alias("suppressed"), F.lit(None).cast("string").alias("reason"))
+    # directives are intervals; a finding meets those of its document and rule
+    scopes = directives(corpus, rules, tag).where("state = 'applied'").select("doc_id", "rule", F.col("start").alias("_at"), "reason", "scope_start", "scope_end")
+    found = found.withColumn("_row", F.monotonically_increasing_id())
+    met = found.alias("f").join(scopes.alias("s"), ["doc_id", "rule"]).where((F.col("f.start") + F.col("shift") >= F.col("scope_start")) & (F.col("f.start") + F.col("shift") < F.col("scope_end")))
+    first = met.groupBy("_row").agg(F.min(F.struct("_at", "reason")).alias("first")).select("_row", F.col("first.reason").alias("reason"))
+    return found.join(first, "_row", "left").select(*columns, F.col("reason").isNotNull().alias("suppressed"), "reason")
 
 
 def without_overlaps(found: DataFrame) -> DataFrame:
@@ -105,3 +158,18 @@ def severity_vector(found: DataFrame) -> DataFrame:
 def no_worse(a: str = "a", b: str = "b") -> Column:
     """Whether severity vector a is lexicographically at most b."""
     return F.struct(*[F.col(f"{a}.{c}") for c in ("errors", "warns", "infos")]) <= F.struct(*[F.col(f"{b}.{c}") for c in ("errors", "warns", "infos")])
+
+
+def comparable(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(doc_id, comparable, comparison) of two sides' reports (doc_id, errors, warns, infos, truncated, rules): only whole reports by the same rules can be
+    compared; comparison is 1 if b has more than a, in the order of severities, -1 if it has less."""
+    j = a.alias("a").join(b.alias("b"), "doc_id")
+    can = ~F.col("a.truncated") & ~F.col("b.truncated") & F.col("a.rules").eqNullSafe(F.col("b.rules"))
+    old, new = (F.struct(*[F.col(f"{x}.{c}") for c in ("errors", "warns", "infos")]) for x in "ab")
+    return j.select("doc_id", can.alias("comparable"), F.when(can, F.when(new > old, 1).when(new < old, -1).otherwise(0)).alias("comparison"))
+
+
+def rule_set_id(rules: list[Rule]) -> str:
+    """A digest of a set of rules that doesn't depend on their order."""
+    rows = sorted(json.dumps([r.id, r.severity, r.pattern, r.provenance, r.category, sorted(r.registers), sorted(r.authors)], ensure_ascii=False) for r in rules)
+    return hashlib.sha256("\n".join(rows).encode()).hexdigest()

@@ -13,18 +13,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.tables import materialize
-from .tokens import _TOKEN
+from .tokens import _TOKEN, ByteOffsets, edge
 
 #: Roles that are never part of the feature population.
 ROLE_SKIPPED = ("heading", "code-block", "front-matter", "table-cell", "image", "html-block", "definition-term")
@@ -44,7 +42,6 @@ _RULE_ROW = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[
 _DESCRIPTION = re.compile(r"^:([ \t]+)(?=\S)")
 _TERMINAL = re.compile(r"[.!?][\"'”’)\]}*_]*\s*$")
 _CAPTION = re.compile(r"<figcaption>(.*?)</figcaption>", re.I | re.S)
-_GRAPHEME = regex.compile(r"\X")
 # fixed values of the CommonMark grammar: how HTML blocks begin, and how those end that don't end at an empty line
 _BLOCK_TAGS = (
     "address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|"
@@ -143,24 +140,13 @@ class Parser:
             number = self.parents[number]
         return tuple(reversed(out))
 
-    def _boundary(self, at: int, step: int) -> int:
-        """The nearest edge of a grapheme at or beyond `at`, in the direction of step."""
-        text = self.text
-        if at <= 0 or at >= len(text) or (ord(text[at - 1]) < 0x300 and ord(text[at]) < 0x300 and not (text[at - 1] == "\r" and text[at] == "\n")):
-            return at
-        low = text.rfind("\n", 0, at - 1) + 1
-        for m in _GRAPHEME.finditer(text, low):
-            if m.end() >= at:
-                return m.start() if step < 0 and m.end() > at else m.end()
-        return at
-
     def _leaf(self, role: str, start: int, end: int, number: int, lines: list[Row] | None = None) -> Leaf | None:
         while end > start and self.text[end - 1] in "\r\n":
             end -= 1
         if end == start:
             return None
         path = self._path(number)
-        leaf = Leaf(role, self._boundary(start, -1), self._boundary(end, 1), path, tuple(self.kinds[i] for i in path), lines=lines or [])
+        leaf = Leaf(role, edge(self.text, start, -1), edge(self.text, end, 1), path, tuple(self.kinds[i] for i in path), lines=lines or [])
         for (_, a), (b, _) in zip(leaf.lines, leaf.lines[1:], strict=False):
             gap = self.text[a:b]
             leaf.excisions += [(a + m.start(), a + m.end()) for m in re.finditer(r"[^\r\n]+", gap)]
@@ -498,22 +484,6 @@ _FIELDS = [
 SCHEMA = ", ".join(f"{n} {s}" for n, _, s in _FIELDS)
 
 
-class _Bytes:
-    """Byte offsets of code points, found once for all that are asked."""
-
-    def __init__(self, text: str, wanted: set[int]):
-        self.at = sorted(wanted)
-        self.plain = text.isascii()
-        self.bytes, before, size = [], 0, 0
-        for i in [] if self.plain else self.at:
-            size += len(text[before:i].encode("utf-8", "surrogatepass"))
-            self.bytes.append(size)
-            before = i
-
-    def __call__(self, i: int) -> int:
-        return i if self.plain else self.bytes[bisect_left(self.at, i)]
-
-
 def parsed(corpus: DataFrame) -> DataFrame:
     """A row per leaf with its evidence; path numbers its containers within the document, from the root (0) down. Spans are bytes."""
 
@@ -527,7 +497,7 @@ def parsed(corpus: DataFrame) -> DataFrame:
             for key, value in zip(whole.column(0).to_pylist(), whole.column(1), strict=True):
                 text = value.as_py() or ""
                 found = Parser(text).leaves
-                at = _Bytes(text, {i for x in found for i in (x.start, x.end, *(i for s in x.excisions for i in s))})
+                at = ByteOffsets(text, {i for x in found for i in (x.start, x.end, *(i for s in x.excisions for i in s))})
                 for k, x in enumerate(found):
                     cut = [{"start": at(a), "length": at(b) - at(a)} for a, b in x.excisions]
                     rows.append((key, k, x.role, list(x.containers), list(x.path), at(x.start), at(x.end) - at(x.start), cut, x.words, x.terminal, run_text(text, x)))

@@ -86,6 +86,31 @@ def boundaries(text: str) -> list[int]:
     return out
 
 
+def edge(text: str, at: int, step: int) -> int:
+    """The nearest edge of a grapheme at a code point or beyond it, backwards or forwards; only the line around it is looked at, and only where it must be."""
+    if at <= 0 or at >= len(text) or (ord(text[at - 1]) < 0x300 and ord(text[at]) < 0x300 and not (text[at - 1] == "\r" and text[at] == "\n")):
+        return at
+    for m in _GRAPHEME.finditer(text, text.rfind("\n", 0, at - 1) + 1):
+        if m.end() >= at:
+            return m.start() if step < 0 and m.end() > at else m.end()
+    return at
+
+
+class ByteOffsets:
+    """Bytes before code points of a text, found in one pass for all that are asked."""
+
+    def __init__(self, text: str, wanted: set[int]):
+        self.at, self.plain = sorted(wanted), text.isascii()
+        self.bytes, before, size = [], 0, 0
+        for i in [] if self.plain else self.at:
+            size += len(text[before:i].encode("utf-8", "surrogatepass"))
+            self.bytes.append(size)
+            before = i
+
+    def __call__(self, i: int) -> int:
+        return i if self.plain else self.bytes[bisect_left(self.at, i)]
+
+
 def snap(edges: list[int], start: int, length: int) -> tuple[int, int]:
     """The least span of whole graphemes around a span that is first clamped to the text."""
     low = min(max(start, 0), edges[-1])

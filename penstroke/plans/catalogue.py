@@ -11,12 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.scalars import LEXICAL, contraction, ends_terminal, lexical_tokens, possessive, probit_sql
+from ..functions.scalars import LEXICAL, ends_terminal, lexical_tokens, probit_sql
 from ..functions.tables import materialize, read
 from ..operators import corpus, evaluate, exemplars, lint, preserve, rewrite, store, structure, style
 
 AUTHORS = [f"src{i}" for i in range(10)]
-RULES = lint.default_rules()
 
 
 def _r(x: str | Column, n: int = 9) -> Column:
@@ -59,14 +58,26 @@ def _deviations(spark: SparkSession, sf: str, split: str = "test") -> DataFrame:
     return style.deviations(z.where(f"class = 'distractor' or split = '{split}'"), reference)
 
 
-def _distances(spark: SparkSession, sf: str, split: str = "test") -> DataFrame:
-    d = style.distances(_deviations(spark, sf, split), ["class", "doc_id", "seg"])
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances of all distractors' paragraphs and the author's held-out ones, standardised and ranked once. A written table."""
+    z = materialize(_standard(spark, sf), "standard")
+    devs = style.deviations(z.where("class = 'distractor' or split in ('test', 'calibrate')"), z.where("class = 'author' and split = 'calibrate'"))
+    d = style.distances(devs, ["class", "split", "doc_id", "seg"])
     return materialize(d.withColumn("document", F.col("doc_id")).withColumn("distance", _r("distance")), "distances")
 
 
+def _of(scored: DataFrame, split: str) -> DataFrame:
+    return scored.where(f"class = 'distractor' or split = '{split}'")
+
+
+def _distances(spark: SparkSession, sf: str, split: str = "test") -> DataFrame:
+    return _of(_scored(spark, sf), split)
+
+
 def _bounded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """(thresholds, resamples of the test distances under them, clusters by class)."""
-    test, limits = _distances(spark, sf), materialize(thresholds(spark, sf), "limits")
+    scored = _scored(spark, sf)
+    test, limits = _of(scored, "test"), materialize(evaluate.thresholds(_of(scored, "calibrate")), "limits")
     row = limits.first()
     clusters = {r[0]: r[1] for r in test.where("distance is not null").groupBy("class").agg(F.countDistinct("document")).collect()}
     return limits, materialize(evaluate.resampled(test, row["low"], row["high"]), "draws"), {c: clusters.get(c, 0) for c in ("author", "distractor")}
@@ -117,11 +128,6 @@ def token_counts(spark, sf):
     return corpus.all_tokens(_docs(spark, sf))
 
 
-def contraction_flags(spark, sf):
-    t = _docs(spark, sf).select(F.explode(lexical_tokens(F.col("text"))).alias("t")).where("t rlike '[\\'’]'")
-    return t.groupBy("t").agg(F.count("*").alias("n")).select("t", "n", contraction(F.col("t")).alias("contraction"), possessive(F.col("t")).alias("possessive"))
-
-
 def sentential_lines(spark, sf):
     s = corpus.lines(_docs(spark, sf)).withColumn("words", F.size(lexical_tokens(F.col("line")))).withColumn("terminal", ends_terminal(F.col("line")))
     return s.select("doc_id", "seg", "words", "terminal", ((F.col("terminal") & (F.col("words") >= C.MIN_SENTENTIAL)) | (F.col("words") >= C.MIN_UNPUNCTUATED)).alias("sentential"))
@@ -187,12 +193,15 @@ def thresholds(spark, sf):
 
 
 def band_occupancy(spark, sf):
-    return evaluate.occupancy(evaluate.banded(_distances(spark, sf), thresholds(spark, sf)))
+    """Bands between both thresholds, the lower one first: as they come, they needn't separate."""
+    scored = _scored(spark, sf)
+    limits = evaluate.thresholds(_of(scored, "calibrate")).select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high"))
+    return evaluate.occupancy(evaluate.banded(_of(scored, "test"), limits))
 
 
 def achieved_rates(spark, sf):
-    d, t = _distances(spark, sf, "calibrate"), thresholds(spark, sf)
-    j = d.where("distance is not null").crossJoin(F.broadcast(t.select("low", "high")))  # one row
+    d = _distances(spark, sf, "calibrate")
+    j = d.where("distance is not null").crossJoin(F.broadcast(evaluate.thresholds(d).select("low", "high")))  # one row
     a, b = F.col("class") == "author", F.col("class") == "distractor"
     return j.agg(_r(F.avg(F.when(a, (F.col("distance") >= F.col("low")).cast("double")))).alias("author_rate"), _r(F.avg(F.when(b, (F.col("distance") <= F.col("high")).cast("double")))).alias("distractor_rate"))
 
@@ -267,15 +276,6 @@ def stratum_order(spark, sf):
     return exemplars.strata(s)
 
 
-def lint_findings(spark, sf):
-    return lint.findings(_docs(spark, sf), RULES)
-
-
-def lint_counts(spark, sf):
-    pages = read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.coalesce("html", F.lit("")).alias("text"))
-    return lint.counts(_docs(spark, sf).select("doc_id", "text").unionByName(pages), RULES).groupBy("rule").agg(F.sum("n").alias("findings"), F.count("*").alias("texts"))
-
-
 #: Derived rules that the invented prose does match.
 DERIVED = [lint.Rule("doubled-article", "error", "(the the|la la|de de|die die)", "derived"), lint.Rule("pipe-table", "warn", " \\| ", "derived", "source-contamination"), lint.Rule("exclaimed", "info", "!!", "derived", "formatting")]
 
@@ -308,16 +308,6 @@ def script_counts(spark, sf):
     return preserve.script_counts(_docs(spark, sf), "doc_id", "text")
 
 
-def scripts_introduced(spark, sf):
-    p = _pairs(spark, sf)
-    return preserve.introduced(preserve.script_counts(p, "pair_id", "current"), preserve.script_counts(p, "pair_id", "candidate"), "pair_id")
-
-
-def scripts_overgrown(spark, sf):
-    p = _pairs(spark, sf)
-    return preserve.overgrown(preserve.script_counts(p, "pair_id", "current"), preserve.script_counts(p, "pair_id", "candidate"), "pair_id")
-
-
 def expansion_guard(spark, sf):
     return preserve.judged(_pairs(spark, sf)).select("pair_id", "n_current", "n_candidate", (F.col("n_candidate") > C.EXPANSION * F.col("n_current")).alias("expanded"))
 
@@ -364,17 +354,14 @@ def structure_leaves(spark, sf):
     return structure.document_leaves(_docs(spark, sf)).select("doc_id", "ordinal", "role", "start", "length", "words", "terminal", "included", "exclusion")
 
 
-def publication_evidence(spark, sf):
-    return rewrite.evidence(structure.document_leaves(_docs(spark, sf))).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.min("paragraph_hash").alias("first_hash"))
-
-
 def replacement_shift(spark, sf):
     e = corpus.lines(_docs(spark, sf)).select("doc_id", F.col("seg").cast("long").alias("start"), F.octet_length("line").cast("long").alias("length"), (F.octet_length("line") * 2 % 7).cast("long").alias("new_length"))
     return rewrite.shifted(e).select("doc_id", "start", "new_start")
 
 
 def paragraph_dispositions(spark, sf):
-    d = evaluate.banded(_distances(spark, sf), thresholds(spark, sf))
+    scored = _scored(spark, sf)
+    d = evaluate.banded(_of(scored, "test"), evaluate.thresholds(_of(scored, "calibrate")))
     flags = already_rewritten_flags(spark, sf)
     text = corpus.lines(_docs(spark, sf)).select("doc_id", "seg", F.sha2(F.trim("line"), 256).alias("h"), F.contains("line", F.lit("`")).alias("excised"))
     j = d.join(text, ["doc_id", "seg"]).join(flags, "h")
@@ -403,10 +390,6 @@ def ordinal_gaps(spark, sf):
     return store.gaps(read(spark, sf, "lineitem").where("l_quantity > 2").select("l_orderkey", (F.col("l_linenumber") - 1).alias("ordinal")), "l_orderkey")
 
 
-def orphan_rows(spark, sf):
-    return store.orphans(read(spark, sf, "customer").select("c_custkey"), read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
-
-
 def invalid_ids(spark, sf):
     h = corpus.hashed(_docs(spark, sf)).select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.upper("content_hash")).otherwise(F.col("content_hash")).alias("id"))
     return store.bad_ids(h, "id").select("doc_id")
@@ -435,12 +418,12 @@ def reachability_prune(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        doc_admission, dedupe_first_wins, split_assignment, corpus_summary, check_statuses, overlap_screen, tool_output_screen, already_rewritten_flags, token_counts, contraction_flags, sentential_lines,
+        doc_admission, dedupe_first_wins, split_assignment, corpus_summary, check_statuses, overlap_screen, tool_output_screen, already_rewritten_flags, token_counts, sentential_lines,
         feature_vectors, sampling_variance, paragraph_floor_partition, profile_stats, profile_by_source, profile_stats_mad, standardized_values, reference_sizes_caps, rank_transform, distance_scores,
         feature_deltas, tier_plan, thresholds, band_occupancy, achieved_rates, auc_midrank, quality_auc, bootstrap_intervals, band_error_bounds, auc_lower_bound, release_verdict, self_midrank,
-        exemplar_density, exemplar_eligible, exemplar_medoids, exemplar_certificate, stratum_order, lint_findings, lint_counts, lint_severity_vector, lint_overlap_filtered, preserve_differences, audit_identifiers, script_counts,
-        structure_leaves, publication_evidence, replacement_shift, paragraph_dispositions, register_selection, head_pointers, sole_artifact, ordinal_gaps, orphan_rows, invalid_ids, rehydrate_nodes, reachability_prune,
-        scripts_introduced, scripts_overgrown, expansion_guard, rejection_codes, accepted_attempts, urls_extracted, quotes_extracted, interval_union, content_ids,
+        exemplar_density, exemplar_eligible, exemplar_medoids, exemplar_certificate, stratum_order, lint_severity_vector, lint_overlap_filtered, preserve_differences, audit_identifiers, script_counts,
+        structure_leaves, replacement_shift, paragraph_dispositions, register_selection, head_pointers, sole_artifact, ordinal_gaps, invalid_ids, rehydrate_nodes, reachability_prune,
+        expansion_guard, rejection_codes, accepted_attempts, urls_extracted, quotes_extracted, interval_union, content_ids,
     )
 }
 
@@ -598,7 +581,6 @@ ORACLE: dict[str, str] = {
     "tool_output_screen": f"WITH {_DOCS}, {_PASSAGES}, {_DLINES} SELECT doc_id, bool_or(sha256(trim(line)) IN (SELECT h FROM ps)) AS tool_output FROM dl GROUP BY doc_id",
     "already_rewritten_flags": f"WITH {_DOCS}, {_PASSAGES}, {_DLINES} SELECT DISTINCT sha256(trim(line)) AS h, sha256(trim(line)) IN (SELECT h FROM ps) AS produced FROM dl",
     "token_counts": f"WITH {_DOCS} SELECT doc_id, len({_lex('text')}) AS lexical, len(regexp_extract_all(text, '[0-9]+')) AS digit_runs, len(regexp_extract_all(text, '[,;:.!?]')) AS punctuation, len(regexp_extract_all(text, '[\\p{{So}}\\p{{Sc}}]')) AS symbols FROM d",
-    "contraction_flags": f"WITH {_DOCS}, k AS (SELECT unnest({_lex('text')}) AS t FROM d) SELECT t, count(*) AS n, NOT ends_with({_APO}, '''') AND ({_SUFFIX} OR (ends_with({_APO}, '''s') AND {_HOST})) AS contraction, ends_with({_APO}, '''') OR (ends_with({_APO}, '''s') AND NOT {_HOST}) AS possessive FROM k WHERE regexp_matches(t, '[''’]') GROUP BY t",
     "sentential_lines": f"WITH {_DOCS}, q AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d), y AS (SELECT doc_id, i - 1 AS seg, len({_lex('ls[i]')}) AS words, regexp_matches(ls[i], '[.!?][\"''”’)\\]}}*_]* *$') AS terminal FROM q, unnest(generate_series(1, len(ls))) AS g(i)) SELECT doc_id, seg, words, terminal, (terminal AND words >= 4) OR words >= 8 AS sentential FROM y",
     "feature_vectors": f"WITH {_VECTORS} SELECT doc_id, seg, lexical, {_FLIST} FROM v",
     "sampling_variance": f"WITH {_VECTORS} SELECT doc_id, seg, {_SVLIST} FROM v",
@@ -622,13 +604,10 @@ ORACLE: dict[str, str] = {
     "exemplar_medoids": f"WITH {_medoids(2)} SELECT round, stratum, id, distance_sum FROM rd2 ORDER BY round, place LIMIT 12",
     "exemplar_certificate": f"WITH {_DENS} SELECT k, n AS population, (SELECT count(*) FROM eli) AS eligible, (SELECT round(sum(density), 3) FROM eli) AS density FROM kk",
     "stratum_order": f"WITH {_SEGMENTS}, y AS (SELECT 'paragraph|' || source AS stratum, count(*) AS size FROM s WHERE class = 'author' GROUP BY 1) SELECT stratum, size, row_number() OVER (ORDER BY size DESC, stratum) AS place FROM y",
-    "lint_counts": f"WITH {_DOCS}, tx AS (SELECT text FROM d UNION ALL SELECT coalesce(html, '') FROM pages), y AS (" + " UNION ALL ".join(f"SELECT {_q(r.id)} AS rule, len(regexp_extract_all(text, {_q(r.pattern)})) AS n FROM tx" for r in RULES) + ") SELECT rule, sum(n)::BIGINT AS findings, count(*) AS texts FROM y WHERE n > 0 GROUP BY rule",
     "lint_severity_vector": f"WITH {_DOCS}, y AS (SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, {_q(r.pattern)})) AS n{i}" for i, r in enumerate(DERIVED)) + " FROM d) SELECT doc_id, n0 AS errors, n1 AS warns, 0 AS infos, CASE WHEN n0 + n1 > 0 THEN 'flagged' ELSE 'indeterminate' END AS screening FROM y WHERE n0 + n1 + n2 > 0",
     "preserve_differences": f"WITH {_DIFF} SELECT pair_id, class, item, direction, n FROM df",
     "audit_identifiers": f"WITH {_DIFF} SELECT DISTINCT class, direction, item, 'preserve-v1:' || class || ':' || direction || ':' || substr(sha256('preserve-v1' || chr(0) || class || chr(0) || direction || chr(0) || item), 1, 16) AS identifier FROM df",
     "script_counts": f"WITH {_DOCS}, {_scripts('y', 'd', 'doc_id', 'text')} SELECT doc_id, script, letters FROM y",
-    "scripts_introduced": f"WITH {_PAIRS}, {_SCR} SELECT pair_id, script FROM sn ANTI JOIN so USING (pair_id, script)",
-    "scripts_overgrown": f"WITH {_PAIRS}, {_SCR}, {_OVER} SELECT pair_id, script, old_letters, new_letters FROM ov",
     "expansion_guard": f"WITH {_PAIRS} SELECT pair_id, len({_lex('current')}) AS n_current, len({_lex('candidate')}) AS n_candidate, len({_lex('candidate')}) > 1.5 * len({_lex('current')}) AS expanded FROM p",
     "rejection_codes": f"WITH {_DIFF}, {_SCR}, {_OVER}, y AS (SELECT pair_id, len({_lex('current')}) AS a, len({_lex('candidate')}) AS b FROM p) SELECT pair_id, CASE WHEN a = 0 THEN 'unscoreable' WHEN b = 0 THEN 'candidate-unscoreable' WHEN pair_id IN (SELECT pair_id FROM df) THEN 'not-preserved' WHEN b > 1.5 * a THEN 'expanded' WHEN pair_id IN (SELECT pair_id FROM sn ANTI JOIN so USING (pair_id, script)) THEN 'language' WHEN pair_id IN (SELECT pair_id FROM ov) THEN 'language-growth' ELSE '' END AS code FROM y",
     "urls_extracted": f"WITH y AS (SELECT page_id, unnest(list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?:https?://|www[.])[^ \\t-\\r\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]*'), lambda x: regexp_replace(x, '[.,;:!?)\\]}}\"''”’]+$', '')), lambda x: x <> '')) AS url FROM pages) SELECT page_id, url, count(*) AS n FROM y GROUP BY page_id, url",
@@ -636,7 +615,7 @@ ORACLE: dict[str, str] = {
     "interval_union": "WITH e AS (SELECT user_id, epoch_us(ts) AS s, epoch_us(ts) + trunc(value * 1e6)::BIGINT AS e FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value > 0), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM e), i AS (SELECT *, sum(CASE WHEN upto IS NULL OR s >= upto THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS island FROM m) SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS parts FROM i GROUP BY user_id, island",
     "content_ids": f"WITH {_DOCS} SELECT path, {_framed(_q('snapshot'), 'path')} AS document_id, {_framed(_framed(_q('snapshot'), 'path'), _q('0'))} AS node_id FROM d",
 }
-ORACLE["band_occupancy"] = f"""WITH lim AS (WITH {_dist('calibrate')}, {_LIMITS} SELECT low, high FROM lm), dd AS (WITH {_dist('test')} SELECT class, distance FROM ds),
+ORACLE["band_occupancy"] = f"""WITH lim AS (WITH {_dist('calibrate')}, {_LIMITS} SELECT least(low, high) AS low, greatest(low, high) AS high FROM lm), dd AS (WITH {_dist('test')} SELECT class, distance FROM ds),
 y AS (SELECT class, CASE WHEN low <= high THEN CASE WHEN distance <= low THEN 'in-range' WHEN distance >= high THEN 'not-you' WHEN distance IS NOT NULL THEN 'drifting' END END AS band FROM dd, lim)
 SELECT band, count(*) FILTER (class = 'author') AS author, count(*) FILTER (class = 'distractor') AS distractor FROM y WHERE band IS NOT NULL GROUP BY band"""
 ORACLE |= {
@@ -645,7 +624,6 @@ ORACLE |= {
     "head_pointers": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1",
     "sole_artifact": "SELECT o_custkey, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN min(o_orderpriority) END AS priority, CASE WHEN count(DISTINCT o_orderpriority) = 1 THEN 'sole' ELSE 'ambiguous' END AS state FROM orders GROUP BY o_custkey",
     "ordinal_gaps": "SELECT DISTINCT l_orderkey FROM (SELECT l_orderkey, l_linenumber - 1 AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS want FROM lineitem WHERE l_quantity > 2) WHERE o <> want",
-    "orphan_rows": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
     "invalid_ids": f"WITH {_DOCS} SELECT doc_id FROM d WHERE doc_id % 7 = 0 AND regexp_matches(hash, '[a-f]')",
     "rehydrate_nodes": "SELECT CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'content-changed' ELSE 'ok' END AS outcome, count(*) AS n FROM documents GROUP BY 1",
     "reachability_prune": "WITH RECURSIVE e AS (SELECT 'region' AS fk, n_regionkey::BIGINT AS fi, 'nation' AS tk, n_nationkey::BIGINT AS ti FROM nation UNION ALL SELECT 'nation', c_nationkey, 'customer', c_custkey FROM customer UNION ALL SELECT 'customer', o_custkey, 'order', o_orderkey FROM orders), r AS (SELECT 'region' AS kind, r_regionkey::BIGINT AS id FROM region WHERE r_regionkey < 2 UNION SELECT tk, ti FROM r JOIN e ON fk = kind AND fi = id) SELECT DISTINCT tk AS kind, ti AS id FROM e ANTI JOIN r ON tk = kind AND ti = id",

@@ -13,11 +13,8 @@ from ..functions.tables import read
 from ..operators import corpus, gates, preserve, tokens
 from . import catalogue as K
 
-#: Bands that may be claimed, thresholds, and reports that hold together or don't.
+#: Bands that may be claimed, and thresholds.
 LOW, HIGH, EMITTED = 0.6, 1.0, {"in-range": True, "not-you": False}
-REPORTS = [(1, 0.04, 0.05, 80, True), (2, 0.07, 0.05, 80, True), (3, 0.04, 0.05, 60, True), (4, 0.01, 0.10, 100, True), (5, None, 0.05, 0, True), (6, 0.20, 0.10, 40, False), (7, 0.04, 0.05, 50, True)]
-RULE_SETS = [("none", "unvalidated", "author-deviation", True), ("formal", "derived", "formatting", True), ("elsewhere", "derived", "author-deviation", False), ("elsewhere", "derived", "formatting", True), ("active", "derived", "source-contamination", True), ("active", "unvalidated", "formatting", False)]
-NUMERALS = [("I", 1), ("IV", 4), ("XIV", 14), ("LXXXV", 85), ("XCIX", 99), ("MCMXCIV", 1994), ("MMXXVI", 2026), ("IIX", 8), ("ABC", 0), ("", 0)]
 
 
 def profile_adequacy(spark, sf):
@@ -44,10 +41,6 @@ def index_counts(spark, sf):
     return docs.crossJoin(train).crossJoin(flagged)  # one row each
 
 
-def inactive_reasons(spark, sf):
-    return gates.inactive_reason(spark.createDataFrame(RULE_SETS, "rules string, provenance string, category string, in_scope boolean"), "rules")
-
-
 def calibrated_bands(spark, sf):
     b = gates.calibrated_bands(K._distances(spark, sf), LOW, HIGH, EMITTED)
     return b.groupBy("class", "band", "reason").agg(F.count("*").alias("n"))
@@ -79,14 +72,6 @@ def ordered_differences(spark, sf):
     return gates.ordered_differences(preserve.differences(K._pairs(spark, sf)))
 
 
-def report_violations(spark, sf):
-    return gates.report_violations(spark.createDataFrame(REPORTS, "id int, bound double, target double, clusters int, emitted boolean"))
-
-
-def roman_values(spark, sf):
-    return spark.createDataFrame(NUMERALS, "numeral string, want int").select("numeral", gates.roman(F.col("numeral")).alias("value"))
-
-
 def leading_spaces(spark, sf):
     p = read(spark, sf, "pages").select("page_id", F.explode(F.split(F.coalesce("html", F.lit("")), "\n")).alias("line"))
     return p.groupBy("page_id").agg(F.count("*").alias("lines"), F.sum(gates.leading_space(F.col("line"))).cast("long").alias("spaces"))
@@ -144,8 +129,8 @@ def surface_plan(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        profile_adequacy, distractor_pool, copies_by_source, index_counts, inactive_reasons, calibrated_bands, judged_segments, membership_strangers, manifest_mismatches, binding_states,
-        ordered_differences, report_violations, roman_values, leading_spaces, registers_by_source, token_classes, token_offsets, run_tokens, snapped_spans, surface_scores, surface_plan,
+        profile_adequacy, distractor_pool, copies_by_source, index_counts, calibrated_bands, judged_segments, membership_strangers, manifest_mismatches, binding_states,
+        ordered_differences, leading_spaces, registers_by_source, token_classes, token_offsets, run_tokens, snapped_spans, surface_scores, surface_plan,
     )
 }
 
@@ -154,13 +139,6 @@ _REASON = "CASE WHEN distance IS NULL THEN 'undefined-distance' ELSE '' END"
 _DS = K.ORACLE["distance_scores"]
 
 
-def _values(rows: list[tuple]) -> str:
-    def one(v) -> str:
-        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else K._q(v) if isinstance(v, str) else repr(v)
-
-    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
-
-
 def _judged(unscored: str) -> str:
     return f"CASE WHEN n <> 1 THEN 'not-one-segment' WHEN d IS NULL THEN '{unscored}' ELSE '' END"
 
@@ -174,8 +152,6 @@ SELECT source, documents, eligible, train, coalesce(n, 0) AS paragraphs, CASE WH
     "copies_by_source": "SELECT source, sum(n)::BIGINT AS documents, count(*) AS texts, max(n) AS most_copies FROM (SELECT source, coalesce(text, '') AS t, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY source",
     "index_counts": f"""WITH {K._VECTORS} SELECT (SELECT count(*) FROM a) AS documents, (SELECT count(*) FROM a WHERE admission = 'eligible') AS eligible, (SELECT count(*) FROM s) AS nodes,
   (SELECT count(*) FROM v WHERE split = 'train') AS train_paragraphs, (SELECT count(*) FROM ({K.ORACLE["tool_output_screen"]}) AS x WHERE tool_output) AS tool_output""",
-    "inactive_reasons": f"""SELECT r AS rules, CASE WHEN bool_or(p = 'derived' AND c <> 'formatting' AND i) THEN '' WHEN bool_or(p = 'derived' AND c <> 'formatting') THEN 'no-rule-in-scope' ELSE 'no-validated-rule' END AS reason
-FROM (VALUES {_values(RULE_SETS)}) AS v(r, p, c, i) GROUP BY r""",
     "calibrated_bands": f"SELECT class, {_BAND} AS band, {_REASON} AS reason, count(*) AS n FROM ({_DS}) AS x GROUP BY ALL",
     "judged_segments": f"SELECT class, doc_id, {_judged('unscoreable')} AS current, {_judged('candidate-unscoreable')} AS candidate FROM (SELECT class, doc_id, count(*) AS n, max(distance) AS d FROM ({_DS}) AS x GROUP BY class, doc_id)",
     "membership_strangers": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
@@ -184,10 +160,6 @@ SELECT key, sum(d)::BIGINT AS declared, sum(f)::BIGINT AS found FROM c GROUP BY
     "binding_states": "SELECT o_custkey, count(*) AS rows, count(DISTINCT (o_orderstatus, o_orderpriority)) = 1 AS alike FROM orders GROUP BY o_custkey",
     "ordered_differences": f"""SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY CASE class WHEN 'number' THEN 1 WHEN 'entity' THEN 2 WHEN 'negation' THEN 3 WHEN 'url' THEN 4 ELSE 5 END,
   CASE direction WHEN 'lost' THEN 0 ELSE 1 END, item) - 1 AS ordinal FROM ({K.ORACLE["preserve_differences"]}) AS x""",
-    "report_violations": f"""WITH r AS (SELECT * FROM (VALUES {_values(REPORTS)}) AS v(id, bound, target, clusters, emitted)), x AS (
-SELECT id, 'bound-not-finite' AS violation FROM r WHERE emitted AND bound IS NULL UNION ALL SELECT id, 'decision' FROM r WHERE (bound <= target) <> emitted
-UNION ALL SELECT id, 'bound-below-floor' FROM r WHERE clusters > 0 AND bound * clusters < 3 UNION ALL SELECT id, 'too-few-clusters' FROM r WHERE emitted AND clusters < ceil(3.0 / target)) SELECT * FROM x""",
-    "roman_values": f"SELECT n AS numeral, w AS value FROM (VALUES {_values(NUMERALS)}) AS v(n, w)",
     "leading_spaces": """WITH l AS (SELECT page_id, unnest(string_split(coalesce(html, ''), chr(10))) AS line FROM pages)
 SELECT page_id, count(*) AS lines, sum(length(line) - length(ltrim(line, ' ')))::BIGINT AS spaces FROM l GROUP BY page_id""",
     "registers_by_source": "SELECT source, string_agg(lang, ',' ORDER BY lang) AS registers FROM (SELECT DISTINCT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) GROUP BY source",
