@@ -44,6 +44,8 @@ def default_rules() -> list[Rule]:
 
 def _spans(corpus: DataFrame, one: Callable[[str], list[tuple]], schema: str) -> DataFrame:
     """(doc_id, start, length, ...) of what `one` finds in each text; it gives spans in code points, which become bytes in one pass a text."""
+    key = "string" if dict(corpus.dtypes)["doc_id"] == "string" else "long"
+    schema = schema.replace("doc_id long", f"doc_id {key}")
     names = [f.split()[0] for f in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
     types = [kinds[f.split()[1]] for f in schema.split(", ")]
@@ -66,7 +68,7 @@ def _spans(corpus: DataFrame, one: Callable[[str], list[tuple]], schema: str) ->
                         rows = []
         yield batch(rows)
 
-    return corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return corpus.select(F.col("doc_id").cast(key).alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def directives(corpus: DataFrame, rules: list[Rule], tag: str = "lint") -> DataFrame:

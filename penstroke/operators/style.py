@@ -20,7 +20,7 @@ def vectors(segments: DataFrame, text: str = "line", floor: int = 0) -> DataFram
     """Adds lexical count, the six values and their sampling variances (null where undefined) to each segment."""
     t = lexical_tokens(F.col(text))
     # as a generator's output tokens are made once, whatever is pushed below the columns that use them
-    with_tokens = segments.withColumn("_t", F.explode(F.array(t)))
+    with_tokens = segments.withColumn("_t", F.explode(F.array(t))).withColumn("_low", F.explode(F.array(F.transform("_t", lambda x: F.lower(x)))))
     n = F.size("_t")
     lengths = F.transform("_t", lambda x: F.char_length(x))
     raw = with_tokens.select(
@@ -29,8 +29,8 @@ def vectors(segments: DataFrame, text: str = "line", floor: int = 0) -> DataFram
         F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("_chars"),
         F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x * x).alias("_squares"),
         *[F.length(F.regexp_replace(text, f"[^{c}]", "")).alias(f"_n{k}") for k, c in enumerate(",;:")],
-        count_in(F.col("_t"), C.FUNCTION_WORDS).alias("_fw"),
-        count_in(F.col("_t"), C.CLAUSE_MARKERS).alias("_cm"),
+        count_in(F.col("_low"), C.FUNCTION_WORDS).alias("_fw"),
+        count_in(F.col("_low"), C.CLAUSE_MARKERS).alias("_cm"),
     )
     raw = raw.where(F.col("lexical") >= floor) if floor else raw
     d = F.when(F.col("lexical") > 0, F.col("lexical").cast("double"))

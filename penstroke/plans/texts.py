@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.scalars import contraction, lexical_tokens, possessive
-from ..functions.tables import read
-from ..operators import corpus, gates, lint, papers, preserve, rewrite, store, structure
+from ..functions.tables import materialize, read
+from ..operators import gates, lint, papers, preserve, publication, rewrite, store, structure
 from . import catalogue as K
 from . import documents
 
@@ -116,6 +116,30 @@ def publication_evidence(spark, sf):
     return e.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.min("paragraph_hash").alias("first_hash"))
 
 
+def _replaced(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(Markdown documents, their leaves, replacements of plain paragraphs and of what definitions say)."""
+    docs = documents.markdown(K._docs(spark, sf)).select("doc_id", "text")
+    leaves = materialize(structure.document_leaves(docs), "leaves")
+    plain = (F.size("excisions") == 0) & (F.col("role").isin("paragraph", "definition-description")) & ~F.array_contains("containers", "list") & ~F.array_contains("containers", "block-quote")
+    return docs, leaves, leaves.where(plain).select("doc_id", "start", "length", F.concat("text", F.lit(" Indeed.")).alias("text"))
+
+
+def assembled_documents(spark, sf):
+    """Documents with their replacements; every tenth also has one that is of no leaf."""
+    docs, leaves, new = _replaced(spark, sf)
+    stray = docs.where("doc_id % 10 = 0").select("doc_id", F.lit(1).cast("long").alias("start"), F.lit(1).cast("long").alias("length"), F.lit("x").alias("text"))
+    return publication.assembled(docs, leaves, new.unionByName(stray)).select("doc_id", F.sha2("text", 256).alias("sha256"), F.col("replaced").cast("long").alias("replaced"), F.coalesce("refused", F.lit("")).alias("refused"))
+
+
+def publication_checks(spark, sf):
+    """Assembled documents against what was expected of them, which is made wrong for some."""
+    docs, leaves, new = _replaced(spark, sf)
+    k = F.col("doc_id") % 10
+    wrong = {"role": F.when(k == 1, "caption").otherwise(F.col("role")), "tokens": F.when(k == 2, "none").otherwise(F.col("tokens")), "length": F.when(k == 3, F.col("length") + 1).otherwise(F.col("length"))}
+    found = publication.checked(publication.expectations(leaves, new).withColumns(wrong), publication.assembled(docs, leaves, new).select("doc_id", "text"))
+    return found.groupBy("doc_id", "outcome").agg(F.count("*").alias("leaves"))
+
+
 def inactive_reasons(spark, sf):
     """Rule sets by source, a rule for each document."""
     d, k = read(spark, sf, "documents").where("source is not null"), F.col("doc_id")
@@ -140,7 +164,7 @@ def roman_values(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        lint_findings, lint_directives, lint_limited, lint_counts, edition_papers, contraction_flags, scripts_introduced, scripts_overgrown, orphan_rows, publication_evidence, inactive_reasons, report_violations, roman_values,
+        lint_findings, lint_directives, lint_limited, lint_counts, edition_papers, contraction_flags, scripts_introduced, scripts_overgrown, orphan_rows, publication_evidence, assembled_documents, publication_checks, inactive_reasons, report_violations, roman_values,
     )
 }
 
@@ -174,6 +198,10 @@ k AS (SELECT unnest({K._lex('text')}) AS t FROM tx) SELECT t, count(*) AS n, NOT
     "orphan_rows": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey % 5 = 0)",
     "publication_evidence": f"""WITH {documents._LEAVES}, ev AS (SELECT doc_id, CASE WHEN k = 5 AND part = 0 THEN 'Said so.' ELSE t || '.' END AS text FROM bk, unnest(range(CASE k WHEN 5 THEN 2 ELSE 1 END)) AS g(part) WHERE k IN (0, 4, 5) OR (k = 3 AND w >= {C.MIN_SENTENTIAL}))
 SELECT doc_id, count(*) AS paragraphs, min(sha256(nfc_normalize(text))) AS first_hash FROM ev GROUP BY doc_id""",
+    "assembled_documents": f"""WITH {documents._LEAVES}, bt AS (SELECT doc_id, i, k, doc_id % 10 = 0 AS off, CASE k WHEN 0 THEN t || '.' WHEN 1 THEN '# ' || t WHEN 2 THEN '> ' || t || '.' WHEN 3 THEN '- ' || t || '.' WHEN 4 THEN 'Term' || {_NL} || ': ' || t || '.' ELSE 'Said so.[^' || i || ']' || {_NL} || {_NL} || '[^' || i || ']: ' || t || '.' END AS block FROM bk),
+ax AS (SELECT doc_id, string_agg(block || CASE WHEN k IN (0, 4) AND NOT off THEN ' Indeed.' ELSE '' END, {_NL} || {_NL} ORDER BY i) AS text, count(*) FILTER (k IN (0, 4) AND NOT off) AS replaced FROM bt GROUP BY doc_id)
+SELECT doc_id, sha256(coalesce(ax.text, '')) AS sha256, coalesce(replaced, 0) AS replaced, CASE WHEN doc_id % 10 = 0 THEN 'not-a-leaf' ELSE '' END AS refused FROM d LEFT JOIN ax USING (doc_id)""",
+    "publication_checks": f"""WITH {documents._LEAVES} SELECT doc_id, CASE doc_id % 10 WHEN 1 THEN 'role' WHEN 2 THEN 'tokens' WHEN 3 THEN 'missing' ELSE 'ok' END AS outcome, count(*) AS leaves FROM lv WHERE exclusion = '' GROUP BY ALL""",
     "inactive_reasons": """WITH v AS (SELECT source, doc_id % 40 = 0 AND doc_id % 3 <> 0 AS fit, coalesce(lang = 'en', false) AS here FROM documents WHERE source IS NOT NULL)
 SELECT source, CASE WHEN bool_or(fit AND here) THEN '' WHEN bool_or(fit) THEN 'no-rule-in-scope' ELSE 'no-validated-rule' END AS reason FROM v GROUP BY source""",
     "report_violations": """WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 31 <> 0 THEN (o_orderkey % 40)::DOUBLE / 250 END AS bound, CASE WHEN o_orderkey % 3 = 0 THEN 0.05e0 ELSE 0.1e0 END AS target, o_custkey % 120 AS clusters, o_orderkey % 7 < 4 AS emitted FROM orders)

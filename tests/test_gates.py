@@ -5,7 +5,7 @@ import unicodedata
 
 import pytest
 from penstroke import surface
-from penstroke.operators import gates, tokens
+from penstroke.operators import gates, tokens, structure
 from pyspark.sql import functions as F
 
 
@@ -101,6 +101,13 @@ def test_surface_tells_an_author_from_another(spark):
     fitted = surface.profile(own)
     result = surface.evaluate(fitted, own, other)
     assert result.auc > 0.6
+    # a handful of test documents can't bound an error at 5 %
+    assert set(result.bounds) == set(result.emitted) == {"in-range", "not-you"} and result.bounds["not-you"] > 0.05 and not result.emitted["not-you"]
+    assert result.auc_lower is not None and result.auc_lower <= result.auc and not result.shippable and result.intervals["resamples"] == 2000
+    claims = surface.Evaluation(0.7, 1.0, "separated", None, {"in-range": False, "not-you": True})
+    withheld = {r["band"]: r["count"] for r in surface.score(fitted, surface.features(other), claims).groupBy("band").count().collect()}
+    free = {r["band"]: r["count"] for r in surface.score(fitted, surface.features(other), surface.Evaluation(0.7, 1.0, "separated", None)).groupBy("band").count().collect()}
+    assert "in-range" in free and "in-range" not in withheld and withheld["drifting"] == free["in-range"] + free.get("drifting", 0) and withheld.get("not-you") == free.get("not-you")
     scored = surface.score(fitted, surface.features(other), surface.Evaluation(0.7, 1.0, "separated", None))
     assert scored.count() == 480 and {r[0] for r in scored.select("band").distinct().collect()} <= {"in-range", "drifting", "not-you"}
     assert {r[0] for r in surface.score(fitted, surface.features(other)).select("reason").distinct().collect()} == {"uncalibrated"}
@@ -117,3 +124,25 @@ def test_surface_tells_an_author_from_another(spark):
         surface.profile(own.limit(2))
     found, verdicts = surface.tells(spark.createDataFrame([(1, "We delve  into it.")], "doc_id long, text string"))
     assert {r["rule"] for r in found.collect()} == {"double-space", "delve"} and verdicts.first()["screening"] == "indeterminate"
+
+
+def test_surface_rewrites_and_checks_its_documents(spark):
+    own = surface.index(corpus_of(spark, 1, "a", "sea"))
+    fitted = surface.profile(own)
+    r = random.Random(3)
+    near = " ".join(r.choice(["the", "house", "which", "river", "of", "and", "stone", "sea"]) for _ in range(20)) + "."
+    far = " ".join(["incomprehensibilities"] * 16) + "."
+    documents = spark.createDataFrame([(1, f"{far}\n\n> Quoted.\n\n{near}\n"), (2, f"{far}\n")], "doc_id long, text string")
+    leaves = {(x["doc_id"], x["start"]): x["length"] for x in structure.document_leaves(documents).where("included").collect()}
+    targets = spark.createDataFrame([(d, s, n) for (d, s), n in leaves.items()], "doc_id long, start long, length long")
+    closer = " ".join(["incomprehensibilities"] * 10 + ["the"] * 2 + ["which"] * 4) + "."
+    later = max(s for d, s in leaves if d == 1)
+    rows = [(1, 0, 0, closer + "\n\nTwo."), (1, 0, 1, "# " + closer), (1, 0, 2, closer), (1, later, 0, far), (1, later, 1, None), (2, 0, 0, far + " Alice"), (2, 0, 1, " ".join(["incomprehensibilities"] * 40))]
+    outcome, made, checked = surface.execute(fitted, None, documents, targets, spark.createDataFrame(rows, "doc_id long, start long, index int, text string"), allow_uncalibrated=True)
+    codes = {(x["target"], x["index"]): x["code"] for x in outcome.attempts.collect()}
+    assert codes["1:0", 2] == "" and codes["1:0", 0] != "" and codes["1:0", 1] == "not-spliceable" and codes[f"1:{later}", 0] == "not-improved" and codes["2:0", 0] == "not-preserved" and codes["2:0", 1] == "expanded"
+    done = {x["target"]: (x["terminal"], x["changed"]) for x in outcome.targets.collect()}
+    assert done == {"1:0": ("attempts-exhausted", True), f"1:{later}": ("empty-provider-response", False), "2:0": ("empty-provider-response", False)}
+    texts = {x["doc_id"]: x["text"] for x in made.collect()}
+    assert texts == {1: f"{closer}\n\n> Quoted.\n\n{near}\n", 2: f"{far}\n"}
+    assert {(x["doc_id"], x["outcome"]) for x in checked.collect()} == {(1, "ok"), (2, "ok")} and checked.count() == 3
