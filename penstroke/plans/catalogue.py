@@ -317,10 +317,11 @@ def rejection_codes(spark, sf):
 
 
 def accepted_attempts(spark, sf):
+    """Each document's first line as the paragraph, every line after it as an attempt."""
     d = _distances(spark, sf).where("distance is not null").select("doc_id", "seg", "distance")
     first = d.where("seg = 0").select("doc_id", F.col("distance").alias("start"))
-    tries = d.where("seg between 1 and 4").join(first, "doc_id").select(F.col("doc_id").alias("target"), (F.col("seg") - 1).alias("index"), "start", "distance", F.lit("").alias("code"))
-    return preserve.accepted(tries)
+    tries = d.where("seg > 0").join(first, "doc_id").select(F.col("doc_id").alias("target"), (F.col("seg") - 1).alias("index"), "start", "distance", F.lit("").alias("code"))
+    return preserve.accepted(tries, most=(1 << 31) - 1)
 
 
 def urls_extracted(spark, sf):
@@ -673,3 +674,10 @@ ORACLE["band_error_bounds"] = f"WITH {_BOUNDS} SELECT band, bound, emitted, reas
 ORACLE["auc_lower_bound"] = f"WITH {_BOUNDS}, {_AUCS} SELECT round(auc_lower, 9) AS auc_lower, auc_lower >= {C.AUC_FLOOR} AS passed FROM ab"
 ORACLE["release_verdict"] = f"""WITH {_BOUNDS}, {_AUCS}, rv AS (SELECT verdict, (SELECT count(*) FROM bd WHERE emitted) AS emitted, auc_lower FROM lim, ab)
 SELECT verdict, emitted, round(auc_lower, 9) AS auc_lower, CASE WHEN auc_lower < {C.AUC_FLOOR} THEN 'discrimination-failed' WHEN verdict <> 'separated' OR emitted = 0 THEN 'uncalibrated' ELSE '' END AS reason, auc_lower >= {C.AUC_FLOOR} AND verdict = 'separated' AND emitted > 0 AS shippable FROM rv"""
+ORACLE["accepted_attempts"] = f"""WITH {_dist('test')}, tr AS (SELECT doc_id AS target, list({{'i': seg - 1, 'd': distance}} ORDER BY seg) FILTER (seg > 0) AS a, max(distance) FILTER (seg = 0) AS start FROM ds WHERE distance IS NOT NULL GROUP BY doc_id),
+ac AS (SELECT target, list_reduce(list_prepend({{'i': -1::BIGINT, 'd': start}}, a), lambda s, x: CASE WHEN x.d <= s.d - {C.EPSILON} THEN x ELSE s END) AS s FROM tr WHERE start IS NOT NULL AND a IS NOT NULL)
+SELECT target, s.i::INT AS accepted, s.d AS distance FROM ac"""
+ORACLE["paragraph_dispositions"] = f"""WITH {_DOCS}, {_PASSAGES}, lim AS (WITH {_dist('calibrate')}, {_LIMITS} SELECT low, high FROM lm), dd AS (WITH {_dist('test')} SELECT class, doc_id, seg, distance FROM ds),
+lx AS (SELECT doc_id, i - 1 AS seg, string_split(text, chr(10))[i] AS line FROM d, unnest(generate_series(1, len(string_split(text, chr(10))))) AS g(i))
+SELECT class, CASE WHEN distance IS NULL THEN 'unmeasurable' WHEN sha256(trim(line)) IN (SELECT h FROM ps) THEN 'already-rewritten' WHEN low <= high AND distance <= low THEN 'in-range' WHEN contains(line, '`') THEN 'contains-excisions' ELSE 'target' END AS disposition, count(*) AS n
+FROM dd JOIN lx USING (doc_id, seg), lim GROUP BY ALL"""

@@ -165,6 +165,8 @@ SELECT page_id, count(*) AS lines, sum(length(line) - length(ltrim(line, ' '))):
     "registers_by_source": "SELECT source, string_agg(lang, ',' ORDER BY lang) AS registers FROM (SELECT DISTINCT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) GROUP BY source",
     "token_classes": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT doc_id, 'word' AS class, unnest({K._lex("text")}) AS x FROM t
 UNION ALL SELECT doc_id, 'symbol', unnest(regexp_extract_all(text, '[\\p{{So}}\\p{{Sc}}]')) FROM t) SELECT doc_id, class, count(*) AS tokens, sum(strlen(x))::BIGINT AS bytes FROM w GROUP BY doc_id, class""",
+    "token_offsets": f"""WITH {K._DOCS}, x AS (SELECT doc_id, text, regexp_extract(text, '[0-9]*[\\p{{L}}\\p{{M}}][\\p{{L}}\\p{{M}}\\p{{Nd}}]*(?:[-''’‑][\\p{{L}}\\p{{M}}\\p{{Nd}}]+)*[^\\p{{L}}\\p{{M}}]*$') AS rest FROM d)
+SELECT doc_id, strlen(text) - strlen(rest) AS last_word_start FROM x WHERE rest <> ''""",
     "surface_scores": f"SELECT doc_id, seg, available, met, distance FROM ({_DS}) AS x WHERE class = 'author'",
     "surface_plan": f"""WITH ds AS ({_DS}), {K._PASSAGES}, ln AS (SELECT doc_id, i - 1 AS seg, string_split(coalesce(text, ''), chr(10))[i] AS line FROM documents, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS g(i))
 SELECT doc_id, seg, CASE WHEN distance IS NULL THEN 'unmeasurable' WHEN sha256(trim(line)) IN (SELECT h FROM ps) THEN 'already-rewritten' WHEN distance <= {LOW} THEN 'in-range'
