@@ -50,12 +50,10 @@ def fold(events: DataFrame) -> DataFrame:
     e = events.select(
         "conv_id", "turn", "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    # the few regenerations of a conversation, to be met by its events
-    again = e.where("kind = 'regenerate'").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "seq")).alias("again"))
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
-    again = again.select(key.alias("key"), "again")
-    met = e.withColumn("key", key).join(again, "key", "left")
-    dead = F.exists("again", lambda a: (a["turn"] <= F.col("turn")) & (a["seq"] > F.col("seq")))
+    # the few regenerations of a conversation, to be met by its events; null conversations and turns are values like others
+    again = e.where("kind = 'regenerate'").groupBy(F.col("conv_id").alias("key")).agg(F.collect_list(F.struct(F.struct("turn").alias("at"), "seq")).alias("again"))
+    met = e.join(again, e["conv_id"].eqNullSafe(again["key"]), "left")
+    dead = F.exists("again", lambda a: (a["at"] <= F.struct("turn")) & (F.struct(a["seq"].alias("seq")) > F.struct("seq")))
     live = met.where(F.coalesce(~dead, F.lit(True)))
     of_turn = live.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "text", "role"))).alias("log"))
     last_set = F.aggregate(
@@ -114,12 +112,22 @@ def digests(back: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Each row of the table as the only delta of a message. Rows that share conv_id and turn are messages in order of role and text."""
+    """Each row of the table as a message that was streamed: a delta that is taken back, an edit to the text's first half, and a delta with its second.
+
+    A conversation in four is also regenerated from turn 0 on before its edits, which takes all first deltas with it. Rows that share conv_id and turn are
+    messages in order of role and text.
+    """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     listed = rows.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("role", "text"))).alias("rows"))
-    each = listed.select("conv_id", "turn", F.posexplode("rows").alias("n", "row"))
-    at = F.struct(F.col("turn").alias("turn"), F.col("n").alias("n"))
-    return each.select("conv_id", at.alias("turn"), F.lit(0).alias("seq"), F.lit("delta").alias("kind"), "row.role", "row.text")
+    each = listed.select("conv_id", "turn", F.posexplode("rows").alias("n", "row")).select("conv_id", F.struct("turn", "n").alias("at"), "row.role", "row.text")
+    half = F.floor(F.char_length("text") / 2).cast("int")
+
+    def event(seq: int, kind: str, text) -> Column:
+        return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    begun = (F.col("conv_id") % 4 == 1) & (F.col("at.turn") == 0) & (F.col("at.n") == 0)
+    said = [event(0, "delta", F.lit("taken back")), F.when(begun, event(1, "regenerate", F.lit(""))), event(2, "edit", F.left("text", half)), event(3, "delta", F.substr("text", half + 1))]
+    return each.select("conv_id", F.col("at").alias("turn"), "role", F.explode(F.array_compact(F.array(*said))).alias("e")).select("conv_id", "turn", "e.seq", "e.kind", "role", "e.text")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,7 +324,9 @@ def _ids(rows: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row."""
+    """(doc_id, n_shingles, component_id, kept) for each row. The keys by which rows meet lose no link from 80 percent up; less is refused."""
+    if percent < 80:
+        raise ValueError(f"percent: {percent}, at least 80")
     signed = materialize(signatures(docs, width), "signatures")
     classes = materialize(_classes(signed), "classes")
     planes, size = classes.select("id", "planes"), classes.select("id", "n")

@@ -73,6 +73,26 @@ def test_chat_edges(spark):
     assert chat.digests(chat.read_back(chat.format_chats(chat.conversation_events(df.limit(0))))).count() == 0
 
 
+def test_null_turns_and_conversations_regenerate_as_values(spark):
+    rows = [
+        (1, None, 1, "delta", "user", "old"), (1, 2, 2, "delta", "user", "later"), (1, None, 3, "regenerate", "user", ""), (1, None, 4, "delta", "user", "new"), (1, 3, 5, "delta", "user", "after"),
+        (None, 0, 1, "delta", "user", "a"), (None, 0, 2, "regenerate", "user", ""), (None, 0, 3, "delta", "user", "b"), (None, 1, 1, "delta", "user", "gone"),
+    ]
+    kind = "turn int, seq int, kind string, role string, text string"
+    got = {(r["conv_id"], r["turn"]): r["text"] for r in chat.fold(spark.createDataFrame(rows, f"conv_id long, {kind}")).collect()}
+    assert got == {(1, None): "new", (1, 3): "after", (None, 0): "b"}
+    named = [("null", 0, 1, "delta", "user", "stays"), (None, 0, 1, "delta", "user", "goes"), (None, 0, 2, "regenerate", "user", "")]
+    got = {(r["conv_id"], r["turn"]): r["text"] for r in chat.fold(spark.createDataFrame(named, f"conv_id string, {kind}")).collect()}
+    assert got == {("null", 0): "stays", (None, 0): ""}
+
+
+def test_the_tables_messages_are_streamed_in_parts(spark):
+    df = spark.createDataFrame([(5, 0, "user", "hello"), (5, 1, "assistant", "x"), (6, None, "user", None)], "conv_id long, turn long, role string, text string")
+    events = chat.conversation_events(df)
+    assert {r["kind"] for r in events.collect()} == {"delta", "edit", "regenerate"} and events.count() == 10
+    assert sorted((r["conv_id"], r["text"]) for r in chat.fold(events).collect()) == [(5, "hello"), (5, "x"), (6, "")]
+
+
 # warc
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 40000 + "\r\n\r\nWARC/1.1\r\n" + "z" * 5000
@@ -180,6 +200,11 @@ def test_recall_of_pairs_just_above_the_threshold(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in range(300)) == 300
 
 
+def test_thresholds_that_would_lose_links_are_refused(spark):
+    with pytest.raises(ValueError, match="percent"):
+        neardup.components(documents(spark, [(1, "a b c"), (2, "a b d")]), 1, 50)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.components(documents(spark, []).limit(0)).count() == 0
     assert [x["kept"] for x in neardup.components(documents(spark, [(1, ""), (2, None)])).collect()] == [True, True]
