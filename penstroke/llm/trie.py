@@ -145,9 +145,11 @@ def rolled_up(nodes: DataFrame, paths: DataFrame, longest: int) -> DataFrame:
         sums = state.where("ancestor is not null").groupBy(F.col("ancestor").alias("digest")).agg(F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
         state = state.drop("ancestor").join(sums, "digest", "left")
         state = state.select("digest", "conv_id", "depth", *[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) for c in ("leaves", "saved")], (F.col("depth") - 2 * s).alias("place"))
-        state = state.join(places.where(F.col("room") >= 2 * s).drop("room"), ["conv_id", "place"], "left")
-        ancestor = F.when(F.col("place") == 0, F.unhex(F.lit(ROOT))).otherwise(F.col("ancestor"))
-        state = materialize(state.select("digest", "conv_id", "depth", ancestor.alias("ancestor"), "leaves", "saved"), "jumped")
+        columns = ["digest", "conv_id", "depth", "ancestor", "leaves", "saved"]
+        # only nodes deep enough for an ancestor below the root look it up
+        found = state.where("place > 0").join(places.where(F.col("room") >= 2 * s).drop("room"), ["conv_id", "place"], "left").select(columns)
+        rest = state.where("place <= 0").withColumn("ancestor", F.when(F.col("place") == 0, F.unhex(F.lit(ROOT)))).select(columns)
+        state = materialize(found.unionByName(rest), "jumped")
         s *= 2
     return state.select("digest", "leaves", "saved")
 
@@ -156,7 +158,7 @@ def prefix_trie(conversations: DataFrame, heads: Column | None = None, family: i
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of each node."""
     convs, rows = rebuilt(numbered_turns(conversations), heads, family)
     longest = convs.agg(F.max("length")).first()[0] or 0
-    paths, root = prefixed(rows, longest), F.unhex(F.lit(ROOT))
+    paths, root = materialize(prefixed(rows, longest), "paths"), F.unhex(F.lit(ROOT))
     nodes = paths.groupBy("digest", F.col("pos").alias("depth")).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.first("bytes").alias("bytes"))
     top = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
     nodes = materialize(nodes.unionByName(top.select(root.alias("digest"), F.lit(0).cast("long").alias("depth"), "conv_id", "n_convs", F.lit(0).cast("long").alias("bytes"))), "nodes")
