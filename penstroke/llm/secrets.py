@@ -1,14 +1,16 @@
 """Secret scans: three exact patterns, and a character convolutional network over all other candidates.
 
-The patterns give the base spans. Candidates are runs of 16 and more of [A-Za-z0-9+/_.=-] with a digit that no
-base span overlaps. The network sees a candidate and the characters around it (in windows of 48, of which a
-long candidate's highest counts): an embedding, a convolution over 5 characters, the largest and the mean
-activation of each filter, and a logistic output. It is trained in numpy on labelled findings; its logits are
-calibrated on a part of them that it hasn't seen, and the threshold is the highest, at least 1/2, that finds a
+The patterns give the base spans. Candidates are what base spans leave of runs of [A-Za-z0-9+/_.=-], where 12
+characters and more are left. The network sees a candidate and the characters around it (in windows of 48, of which
+a long candidate's highest counts): an embedding, a convolution over 5 characters, the largest and the mean
+activation of each filter, and a logistic output. It is trained in numpy on the windows of labelled findings. Its logits
+are calibrated on a part of the findings of its own; on another one, neither learnt from nor calibrated on, the
+threshold is chosen as candidates are judged, by their highest windows: the highest one, at most `THRESHOLD`, that finds a
 wanted share (`recall`) of that part's secrets. Candidates over it become spans of the kind `model`.
 
-Without a table of labelled findings of one's own, findings are generated by rule: keys of many vendors' shapes,
-against mail addresses, network addresses, card numbers, paths, dates, versions and long words.
+Without a table of labelled findings of one's own, findings are generated by rule: random keys of many alphabets, lengths
+and prefixes, against words and names built from syllables, constants, UUIDs, short hex ids, numbers, addresses, paths,
+dates, versions and file names.
 
 Defined results: null and empty texts have no spans; rows are scanned each on its own, whatever their ids.
 Extra columns are ignored.
@@ -22,6 +24,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +37,14 @@ KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+#: Characters of the shortest candidate.
+SHORTEST = 12
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 LEFT, BODY, RIGHT = 24, 48, 8
-WIDTH, DIMS, FILTERS = 5, 8, 24
-RECALL = 0.99
+WIDTH, DIMS, FILTERS = 5, 8, 32
+RECALL, THRESHOLD = 0.98, 0.9
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -57,24 +61,39 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    out = []
+    """What the taken spans leave of each run, where it is long enough."""
+    out, edges, i = [], [], 0
+    for s, e in sorted(t[:2] for t in taken):
+        if edges and s <= edges[-1][1]:
+            edges[-1] = (edges[-1][0], max(e, edges[-1][1]))
+        else:
+            edges.append((s, e))
     for run in RUN.finditer(text):
-        a, b = run.span()
-        if DIGIT.search(text, a, b) and not any(s < b and a < e for s, e, _ in taken):
-            out.append((a, b))
+        at, end = run.span()
+        while i < len(edges) and edges[i][1] <= at:
+            i += 1
+        for s, e in takewhile(lambda t: t[0] < end, islice(edges, i, None)):
+            if s - at >= SHORTEST:
+                out.append((at, s))
+            at = e
+        if end - at >= SHORTEST:
+            out.append((at, end))
     return out
 
 
 def windows(text: str, a: int, b: int) -> list[np.ndarray]:
     """Codes of a candidate's windows: 0 pads, 1 stands for other than ASCII, 2 and more for printable ASCII; + 100 inside the candidate."""
+    low = max(0, a - LEFT)
+    point = np.frombuffer(text[low : b + RIGHT].encode("utf-32-le"), np.uint32).astype(np.int64)
+    code = np.where((point >= 32) & (point < 127), point - 30, 1)
+    code[a - low : b - low] += 100
     out = []
     for at in [*range(a, b - BODY, BODY // 2), max(b - BODY, a)]:  # the last one ends with the candidate
-        codes = np.zeros(LEFT + BODY + RIGHT, np.int64)
-        end = min(at + BODY, b)
-        for place, piece, mark in ((LEFT - (at - max(0, at - LEFT)), text[max(0, at - LEFT) : at], 0), (LEFT, text[at:end], 100), (LEFT + BODY, text[end : end + RIGHT], 0)):
-            for i, c in enumerate(piece):
-                codes[place + i] = (ord(c) - 30 if 32 <= ord(c) < 127 else 1) + mark
-        out.append(codes)
+        whole, end = np.zeros(LEFT + BODY + RIGHT, np.int64), min(at + BODY, b)
+        before, body, after = (code[max(x, low) - low : y - low] for x, y in ((at - LEFT, at), (at, end), (end, end + RIGHT)))
+        whole[LEFT - len(before) : LEFT], whole[LEFT : LEFT + len(body)] = before % 100, body
+        whole[LEFT + BODY : LEFT + BODY + len(after)] = after % 100
+        out.append(whole)
     return out
 
 
@@ -102,70 +121,128 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -40, 40)))
 
 
-def generated_findings(size: int = 6000, seed: int = 11) -> list[tuple[str, int, int, int]]:
+def generated_findings(size: int = 12000, seed: int = 11) -> list[tuple[str, int, int, int]]:
     """(text, start, end, label): labelled findings by rule."""
     r = random.Random(seed)
     upper, lower, digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    mixed = upper + lower + digit
+    onsets = ["", *"bcdfghjklmnprstvwz", "st", "tr", "ch", "th", "sh", "br", "pr", "sch", "gr", "pl", "qu", "wh"]
+    codas = ["", "", "", *"nrstldmxy", "nt", "st", "ng", "ch", "rs", "ck", "nd", "th", "ble", "ment", "heit"]
 
     def some(letters: str, low: int, high: int) -> str:
         return "".join(r.choice(letters) for _ in range(r.randint(low, high)))
 
     def word(low: int = 2, high: int = 9) -> str:
-        w = some(lower, low, high)
+        n, w = r.randint(low, high), ""
+        while len(w) < n:
+            w += r.choice(onsets) + r.choice(("a", "e", "i", "o", "u", "e", "i", "ie", "ou", "io", "au", "y")) + r.choice(codas)
         return w.capitalize() if r.random() < 0.2 else w
 
+    def words(low: int, high: int, with_what: str) -> str:
+        return with_what.join(word(3) for _ in range(r.randint(low, high)))
+
+    def number(low: int, high: int) -> str:
+        return some(digit, low, high)
+
+    def name() -> str:
+        return r.choice((word(3), word(3).upper(), word(3) + number(1, 4), number(1, 5)))
+
+    def letters() -> str:
+        # letters of one case are words, however odd
+        of = r.choice((lower, "aeinrstdhulcgmobwfkzpv", "eeeennniiissrratttdhhuulcgmobwfkzpfschtz"))
+        w = some(of, 10, 24) + r.choice(("", "tion", "schaft", "lich", "erer"))
+        return r.choice((w, w, w.capitalize(), w.upper()))
+
+    def uuid() -> str:
+        letters = r.choice(("0123456789abcdef", "0123456789ABCDEF"))
+        return "-".join(some(letters, n, n) for n in (8, 4, 4, 4, 12))
+
     secret = [
-        lambda: some(upper + lower + digit, 24, 44),
-        lambda: some(upper + lower + digit + "+/", 38, 64) + "=" * r.randint(0, 2),
+        lambda: some(mixed, 20, 44),
+        lambda: some(mixed, 20, 64),
+        lambda: some(upper + lower, 24, 64),
+        lambda: some(mixed, 14, 20),
+        lambda: some(mixed + "+/", 38, 88) + "=" * r.randint(0, 2),
+        lambda: some(mixed + "_-", 24, 64),
         lambda: some("0123456789ABCDEF", 28, 64),
-        lambda: r.choice(("sk_live_", "sk-", "ghp_", "gho_", "pk_test_", "rk_live_", "glpat-", "xoxb-", "AIza")) + some(upper + lower + digit, 20, 40),
-        lambda: "eyJ" + some(upper + lower + digit, 16, 30) + "." + some(upper + lower + digit + "_-", 20, 40) + "." + some(upper + lower + digit + "_-", 20, 40),
-        lambda: some(lower + digit, 28, 40),
+        lambda: some(upper + digit, 24, 60),
+        lambda: some(lower + digit, 24, 40),
+        lambda: r.choice(("sk_live_", "sk-", "ghp_", "gho_", "pk_test_", "rk_live_", "glpat-", "xoxb-", "AIza")) + some(mixed, 20, 40),
+        lambda: r.choice((some(lower, 2, 5), some(upper, 2, 5), some(upper + lower, 2, 4) + number(1, 2))) + r.choice("_-.") + some(mixed + r.choice(("", "_-")), 20, 44),
+        lambda: "eyJ" + some(mixed, 16, 30) + "." + some(mixed + "_-", 20, 40) + "." + some(mixed + "_-", 20, 40),
     ]
     harmless = [
-        lambda: f"{word()}.{word()}{r.randint(0, 99)}",
-        lambda: f"mail{r.randint(0, 9)}.{word(5)}.example.{r.choice(('com', 'org', 'net'))}",
-        lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)) + some(digit, 3, 8),
-        lambda: some(digit, 16, 19),
-        lambda: "-".join(some(digit, 4, 4) for _ in range(4)),
-        lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}-{word(4)}",
-        lambda: "/".join(word(3) for _ in range(r.randint(3, 6))) + f"/{r.randint(1, 999)}",
-        lambda: f"{word(5)}-{word(5)}-v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}",
-        lambda: word(14, 24) + str(r.randint(0, 99)),
-        lambda: f"{word(4)}_{word(4)}_{word(4)}_{r.randint(0, 9999)}",
-        lambda: "=" * r.randint(8, 30) + str(r.randint(0, 9)) + "=" * r.randint(8, 30),
+        lambda: f"{r.choice(('mail', word(), ''))}{number(1, 2)}.{r.choice((word(), 'example'))}.{r.choice(('com', 'org', 'net'))}",
+        lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)) + r.choice(("", ".", "/" + number(2, 2))),
+        lambda: number(12, 30),
+        lambda: r.choice("-.").join(number(2, 5) for _ in range(r.randint(3, 6))),
+        lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}" + r.choice(("T" + number(2, 2) + "." + number(2, 2) + "Z", "-" + word(4), "_" + number(4, 6))),
+        lambda: r.choice(("", "/", "./", "../")) + "/".join(name() for _ in range(r.randint(3, 7))) + r.choice(("", "/", ".txt", ".py", ".html")),
+        lambda: f"{word(5)}-{words(1, 2, '-')}-v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}",
+        lambda: word(12, 30) + r.choice(("", ".", "...", number(1, 2))),
+        lambda: word(12, 24).upper() + r.choice(("", ".", number(1, 2))),
+        lambda: word(12, 24) + "." + word(1, 6),
+        lambda: letters() + r.choice(("", "", ".", ".", "...", number(1, 1))),
+        lambda: letters() + r.choice(("", ".")),
+        lambda: letters() + r.choice(("", ".")),
+        lambda: words(2, 4, r.choice("-_./+=")),
+        lambda: "_".join(name() for _ in range(r.randint(3, 5))),
+        lambda: words(2, 5, "_").upper() + r.choice(("", "_" + number(1, 4))),
+        lambda: "_".join(some(upper, 3, 8) for _ in range(r.randint(2, 4))) + r.choice(("", "_" + number(1, 4))),
+        uuid,
+        uuid,
+        lambda: some("0123456789ABCDEF", 12, 22),
+        lambda: some("0123456789ABCDEF", 12, 22),
+        lambda: some("0123456789ABCDEF", 16, 22),
+        lambda: number(13, 19),
+        lambda: number(13, 19),
+        lambda: number(14, 16),
+        lambda: some("0123456789abcdef", 12, 23),
+        lambda: "-".join(r.choice((some(upper, 2, 4), number(2, 6))) for _ in range(r.randint(3, 5))),
+        lambda: r.choice(("IMG", "DSC", "Screenshot", "report", "scan")) + r.choice("_-") + number(8, 8) + r.choice("_-") + number(4, 6) + r.choice((".jpg", ".png", ".pdf")),
+        lambda: r.choice("=-_.+/") * r.randint(12, 60),
         lambda: "...".join(word() + str(r.randint(0, 9)) for _ in range(4)),
-        lambda: "".join(word(2, 4).capitalize() + str(r.randint(0, 9)) * (r.random() < 0.3) for _ in range(6)) + str(r.randint(0, 9)),
+        lambda: "".join(word(2, 6).capitalize() + number(1, 2) * (r.random() < 0.2) for _ in range(r.randint(3, 6))),
+        lambda: words(2, 4, "").title() if r.random() < 0.3 else "".join(word(3, 9).capitalize() for _ in range(r.randint(2, 4))),
+        lambda: word(3).lower() + "".join(word(2, 6).capitalize() for _ in range(r.randint(2, 4))) + r.choice(("", number(1, 2), "." + word(4).lower())),
     ]
     lead = ["key ", "Authorization: Bearer ", "credential -> ", "export KEY=", "private ", "auth ", "access key id ", "the value is ", "set ", '"']
     out = []
-    for i in range(size):
-        label = int(i % 2 == 0)
+    while len(out) < size:
+        label = int(len(out) % 2 == 0)
         found = r.choice(secret if label else harmless)()
-        if len(found) < 16 or not any(c in digit for c in found):
-            found += some(digit, 16, 16) if not label else some(upper + digit, 16, 16) + "7"
         before = " ".join(word() for _ in range(r.randint(0, 6)))
-        if r.random() < (0.5 if label else 0.15):
+        if r.random() < (0.5 if label else 0.2):
             before += " " + r.choice(lead)
         elif before:
             before += r.choice((" ", " ", "\n", "(", "@" if not label else " "))
-        text = before + found + r.choice((" ", '"', "\n", ". ", ")", ",")) + " ".join(word() for _ in range(r.randint(0, 4)))
-        out.append((text, len(before), len(before) + len(found), label))
+        after = r.choice((" ", '"', "\n", " . ", ")", ",", "!! ", ",!! ")) + " ".join(word() for _ in range(r.randint(0, 4)))
+        style = r.random()
+        if style < 0.3:
+            before, after = before.replace(" ", r.choice((" ", "!! ", ", ", "\u00fc ", ".\n"))), after.replace("e", r.choice("e\u00e9"))
+        if style < 0.15:
+            before, after = before.upper(), after.upper()
+        text, at = before + found + after, len(before)
+        if len(found) >= SHORTEST:
+            out.append((text, at, at + len(found), label))
     return out
 
 
-def train(findings: list[tuple[str, int, int, int]], recall: float = RECALL, epochs: int = 5, seed: int = 5) -> Net:
-    """Adam over shuffled batches on four fifths of the findings; slope, offset and threshold from the last fifth."""
+def train(findings: list[tuple[str, int, int, int]], recall: float = RECALL, epochs: int = 8, seed: int = 5) -> Net:
+    """Adam over shuffled batches of the windows of three fifths of the findings; slope and offset from the fourth, the threshold from the last."""
     draw = np.random.default_rng(seed)
-    codes = np.stack([windows(t, a, b)[0] for t, a, b, _ in findings])
-    label = np.asarray([y for *_, y in findings], float)
-    held = np.arange(len(label)) % 5 == 4
+    cut = [windows(t, a, b) for t, a, b, _ in findings]
+    owner = np.repeat(np.arange(len(findings)), [len(c) for c in cut])
+    codes = np.stack([w for c in cut for w in c])
+    label = np.asarray([y for *_, y in findings], float)[owner]
+    fit, tune, hold = owner % 5 < 3, owner % 5 == 3, owner % 5 == 4
     net = Net(draw.normal(0, 0.3, (200, DIMS)), draw.normal(0, (WIDTH * DIMS) ** -0.5, (WIDTH * DIMS, FILTERS)), np.zeros(FILTERS), draw.normal(0, 0.1, 2 * FILTERS), 0.0)
     net.table[0] = 0
     parts = ["table", "filters", "shift", "out"]
     m, v, step = {p: 0.0 for p in parts}, {p: 0.0 for p in parts}, 0
-    learn = np.flatnonzero(~held)
-    for _ in range(epochs):
+    learn = np.flatnonzero(fit)
+    for epoch in range(epochs):
+        pace = 0.01 * (1 - epoch / epochs)
         for at in np.array_split(draw.permutation(learn), max(1, len(learn) // 64)):
             z, (cols, h, pooled) = net.forward(codes[at])
             dz = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[at]) / len(at)
@@ -178,24 +255,26 @@ def train(findings: list[tuple[str, int, int, int]], recall: float = RECALL, epo
             dcols = dh @ net.filters.T
             grad = {"filters": np.tensordot(cols, dh, ([0, 1], [0, 1])), "shift": dh.sum((0, 1)), "out": pooled.T @ dz, "table": np.zeros_like(net.table)}
             n = h.shape[1]
+            dx = np.zeros((*codes[at].shape, DIMS))
             for k in range(WIDTH):
-                np.add.at(grad["table"], codes[at][:, k : k + n], dcols[:, :, k * DIMS : (k + 1) * DIMS])
+                dx[:, k : k + n] += dcols[:, :, k * DIMS : (k + 1) * DIMS]
+            np.add.at(grad["table"], codes[at], dx)
             grad["table"][0] = 0
-            net.bias -= 0.01 * float(dz.sum())
+            net.bias -= pace * float(dz.sum())
             step += 1
             for p in parts:
                 m[p] = 0.9 * m[p] + 0.1 * grad[p]
                 v[p] = 0.999 * v[p] + 0.001 * grad[p] ** 2
-                setattr(net, p, getattr(net, p) - 0.01 * (m[p] / (1 - 0.9**step)) / (np.sqrt(v[p] / (1 - 0.999**step)) + 1e-8))
-    z, y = net.forward(codes[held])[0], label[held]
-    for _ in range(200):  # slope and offset by gradient steps on the held part
+                setattr(net, p, getattr(net, p) - pace * (m[p] / (1 - 0.9**step)) / (np.sqrt(v[p] / (1 - 0.999**step)) + 1e-8))
+    z, y = net.forward(codes[tune])[0], label[tune]
+    for _ in range(200):  # slope and offset by gradient steps
         off = y - 1 / (1 + np.exp(-np.clip(net.slope * z + net.offset, -40, 40)))
         net.slope += 0.05 * float((off * z).mean()) - 0.0005 * net.slope
         net.offset += 0.5 * float(off.mean())
-    p = np.sort(net.probability(codes[held])[y == 1])
-    net.threshold = max(0.5, float(p[int((1 - recall) * len(p))])) if len(p) else 0.5
-    if len(p) and np.mean(p >= net.threshold) < recall:
-        net.threshold = float(p[int((1 - recall) * len(p))])
+    highest = np.zeros(len(findings))
+    np.maximum.at(highest, owner[hold], net.probability(codes[hold]))
+    p = np.sort([highest[i] for i in range(4, len(findings), 5) if findings[i][3] == 1])
+    net.threshold = min(THRESHOLD, float(p[int((1 - recall) * len(p))])) if len(p) else THRESHOLD
     return net
 
 

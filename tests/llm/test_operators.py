@@ -233,6 +233,54 @@ def test_secrets(spark):
     assert secrets.redacted("ab secret=abcdef cd", secrets.base_spans("ab secret=abcdef cd")) == "ab <secret> cd"
     got = secrets.scanned(documents(spark, [(1, None), (1, ""), (None, text), (4, "x " * 50000 + "secret=abcdef")]), net).collect()
     assert sorted(len(r["spans"]) for r in got) == [0, 0, 1, 4]
+    assert secrets.scanned(documents(spark, []), net).count() == 0
+
+
+def test_candidates_are_what_base_spans_leave():
+    text = "abcdefghijkl short deadbeefdeadbeefdeadbeef00/tail-of-the-run AAAAAAAAAAAA=BBBB"
+    taken = secrets.base_spans(text)
+    assert [text[a:b] for a, b in secrets.candidates(text, taken)] == ["abcdefghijkl", "/tail-of-the-run", "AAAAAAAAAAAA=BBBB"]
+    assert secrets.candidates(text, [(0, 5, "assign"), (3, 8, "hex"), *taken, (62, 64, "hex")]) == [(45, 61), (64, 79)]
+    assert secrets.candidates("", []) == [] and secrets.candidates("x" * 11, []) == []
+
+
+FOUND = {  # shapes that the generator doesn't have, or has by another name
+    "npm": lambda s: "npm_" + s(36), "mail sender": lambda s: f"SG.{s(22)}.{s(43)}", "letters": lambda s: s(40, "A-Za-z"), "fifteen": lambda s: s(15),
+    "age": lambda s: "AGE-SECRET-KEY-1" + s(58, "A-Z0-9"), "cloud": lambda s: s(40, "A-Za-z0-9+/"), "account": lambda s: s(86, "A-Za-z0-9+/") + "==",
+    "bot": lambda s: s(9, "0-9") + "-AA" + s(33), "three parts": lambda s: f"{s(24)}.{s(6)}.{s(27)}",
+}
+LEFT_ALONE = {
+    "constant": lambda s: f"{s(6, 'A-Z')}_{s(7, 'A-Z')}_{s(5, 'A-Z')}_{s(2, '0-9')}", "hex id": lambda s: s(20, "0-9A-F"), "digits": lambda s: s(20, "0-9"), "card": lambda s: s(16, "0-9"),
+    "uuid": lambda s: "-".join(s(n, "0-9a-f") for n in (8, 4, 4, 4, 12)), "path": lambda s: f"/usr/lib/server/{s(4, '0-9')}/window/handler.so", "compound": lambda s: "Donaudampfschifffahrtskapitän",
+}
+
+
+@pytest.mark.parametrize("shape", [*FOUND, *LEFT_ALONE])
+def test_secrets_of_other_origin(shape):
+    r, net = random.Random(shape), secrets.default_net()
+    alphabet = {"A-Za-z0-9": [c for c in map(chr, range(48, 123)) if c.isalnum()], "A-Za-z0-9+/": [c for c in map(chr, range(43, 123)) if c.isalnum() or c in "+/"]}
+    alphabet |= {"A-Za-z": [c for c in alphabet["A-Za-z0-9"] if c.isalpha()], "A-Z0-9": [c for c in alphabet["A-Za-z0-9"] if not c.islower()], "0-9": list("0123456789")}
+    alphabet |= {"A-Z": alphabet["A-Z0-9"][10:], "0-9A-F": list("0123456789ABCDEF"), "0-9a-f": list("0123456789abcdef")}
+    made = [(FOUND | LEFT_ALONE)[shape](lambda n, of="A-Za-z0-9": "".join(r.choice(alphabet[of]) for _ in range(n))) for _ in range(200)]
+    share = np.mean([any(k == "model" for *_, k in spans) for spans in secrets.scan([f"we have {x} in the list" for x in made], net)])
+    assert share >= 0.95 if shape in FOUND else share <= 0.05
+
+
+def test_base_columns_of_the_query_are_those_of_a_loop(spark):
+    said = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    hit = 0
+    for r in secrets.op4_secrets(spark, "/root/testdata/sf0.01").collect():
+        spans = []
+        for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", said[r["doc_id"]], re.ASCII):
+            spans += [(m.start(), 0, m.end(), "assign")] * (len(m[2]) >= 6)
+        spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", said[r["doc_id"]]) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", said[r["doc_id"]]) if len(m[0]) >= 24]
+        want = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+        hit += bool(want)
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for *_, x in spans) for k in ("assign", "access", "hex")]
+        assert ",".join(x for x in r["spans"].split(",") if not x.startswith("model")) == want
+    assert hit
 
 
 def test_secret_at_the_end_of_a_long_candidate():
