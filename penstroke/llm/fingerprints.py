@@ -25,8 +25,6 @@ from .common import materialize, table, text_of
 
 
 SAMPLES = 32
-#: Stands for a missing doc_id; no doc_id may have this value.
-NO_ID = -(1 << 63)
 #: Bits of a code that order samples.
 PLACE = 46
 
@@ -125,24 +123,27 @@ def neighbours(docs: DataFrame) -> DataFrame:
 def edited(docs: DataFrame) -> DataFrame:
     """Each row with its edited text and next_id: the last half of its text replaced by the first as much of the next one's."""
     near = materialize(neighbours(docs), "neighbours")
-    # a key that is never null keeps both joins below on one and the same exchange of the texts
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("key"), text_of().alias("text"))
-    heads = own.join(near.select(F.col("next_id").alias("key"), "doc_id", "need"), "key").select(F.col("doc_id"), F.col("key").alias("next_id"), F.left("text", F.col("need")).alias("head"))
-    heads = heads.groupBy(F.col("doc_id").alias("key")).agg(F.min(F.struct("head", "next_id")).alias("h")).select("key", "h.head", "h.next_id")
+    # a slot that is never null keeps both joins below on one and the same exchange of the texts, over which rows without an id spread
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()).alias("slot"), F.col("doc_id").isNotNull().alias("named"), text_of().alias("text"))
+    heads = own.join(near.select(F.col("next_id").alias("slot"), "doc_id", "need"), "slot")
+    # the slot of a row without an id may be another's id: it gives no head, and takes none
+    head = F.when(F.col("named"), F.struct(F.left("text", F.col("need")).alias("head"), F.col("slot").alias("next_id")))
+    heads = heads.groupBy(F.col("doc_id").alias("of")).agg(F.min(head).alias("h")).select("of", "h.head", "h.next_id")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    both = own.join(heads, "key", "left").withColumn("n_chars", n.cast("long"))
-    return both.withColumn("edited", F.concat(F.left("text", n - half), F.left(F.coalesce("head", F.lit("")), half))).drop("head")
+    both = own.join(heads, (F.col("slot") == F.col("of")) & F.col("named"), "left").withColumn("n_chars", n.cast("long"))
+    return both.select("slot", "next_id", "n_chars", "text", F.concat(F.left("text", n - half), F.left(F.coalesce("head", F.lit("")), half)).alias("edited"))
 
 
 def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """The rows that op10 returns."""
+    """The rows that op10 returns. Rows with an id, and no others, have a next one (the only one: itself)."""
     rows = edited(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["key", "row", "next_id", "n_chars", "edited_sha256"]
+    keys = ["slot", "row", "next_id", "n_chars", "edited_sha256"]
     prints = materialize(fingerprint(rows, keys, {"fingerprint": "text", "edited_fingerprint": "edited"}, samples), "fingerprints")
-    following = prints.groupBy(F.col("key").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
-    out = prints.join(following, "next_id", "left")
-    return out.select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    named = F.col("next_id").isNotNull()
+    following = prints.where(named).groupBy(F.col("slot").alias("after")).agg(F.min("fingerprint").alias("next_fingerprint"))
+    out = prints.join(following, (F.coalesce("next_id", "row") == F.col("after")) & named, "left")
+    return out.select(F.when(named, F.col("slot")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -625,3 +625,22 @@ def test_fingerprints(spark, rows):
     errors = [r["near_edited"] for r in got]
     assert all(0 <= x <= 1 for x in errors)
     assert fingerprints.fingerprinted(documents(spark, []).limit(0)).count() == 0
+
+
+def test_fingerprints_of_rows_without_ids_stand_apart(spark):
+    # ids that a row's number may equal, the least id there is, ties and equal rows without an id
+    docs = [(0, "a b c d"), (1, "e f g h"), (2, "i j"), (-(1 << 63), "k l m n o"), (1, "e f g i")] + [(None, t) for t in ("a b c d", "a b c d", None, "z", "y x w v")]
+    got = fingerprints.fingerprinted(documents(spark, docs)).collect()
+    order, heads = [2, 1, 0, -(1 << 63)], {}
+    for d, t in docs:
+        if d is not None:
+            heads[d] = min(heads.get(d, t), t)
+    want = Counter()
+    for d, t in docs:
+        t = t or ""
+        h, nxt = len(t) // 2, heads[order[(order.index(d) + 1) % 4]] if d is not None else ""
+        want[d, len(t), hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest(), d is None] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_next"] is None) for r in got) == want
+    assert len({r["fingerprint"] for r in got if r["n_chars"] == 7 and r["doc_id"] is None}) == 2
+    alone = fingerprints.fingerprinted(documents(spark, [(None, "a b"), (5, "a b c d"), (None, None)])).collect()
+    assert sorted((r["doc_id"] or 0, r["near_next"]) for r in alone if r["doc_id"]) == [(5, 1.0)] and len(alone) == 3
