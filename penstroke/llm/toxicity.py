@@ -129,7 +129,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, .
     return tuple(w.tolist())
 
 
-def fit(texts: list[str], toxic: list[int]) -> Field:
+def fit(texts: list[str], toxic: list[int], most: int = WINDOWS) -> Field:
+    """A field from at most `most` windows of the texts, half around tagged words and half from anywhere, drawn by a fixed seed; features and the score are of whole texts."""
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
@@ -156,9 +157,9 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
     tagged = [(d, t) for d, ws in enumerate(split) if toxic[d] for t, w in enumerate(ws) if w in hit]
     near = sorted({(d, t // WINDOW) for d, t in tagged})
     draw = np.random.default_rng(7)
-    near = [near[i] for i in draw.permutation(len(near))[: WINDOWS // 2]]
+    near = [near[i] for i in draw.permutation(len(near))[: most // 2]]
     rest = [(d, k) for d, ws in enumerate(split) for k in range(-(-len(ws) // WINDOW))]
-    rest = [rest[i] for i in draw.permutation(len(rest))[: WINDOWS // 2]]
+    rest = [rest[i] for i in draw.permutation(len(rest))[: most // 2]]
     windows = sorted({*near, *rest})
     words, lengths, labels = [], [], []
     for d, k in windows:
@@ -230,13 +231,13 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), spans
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from at most `sample` labelled rows whose crc32 of doc_id isn't a multiple of 5."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = WINDOWS) -> Field:
+    """A field from at most `sample` labelled rows whose crc32 of doc_id isn't a multiple of 5, and at most `most` of their windows."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     rows = rows.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(rows), "doc_id")  # `sample` rows at most
     got = sorted(taken.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())  # `sample` rows at most
-    return fit([r["text"] for r in got], [r["toxic"] for r in got])
+    return fit([r["text"] for r in got], [r["toxic"] for r in got], most)
 
 
 def held_out(doc_id: Column) -> Column:
