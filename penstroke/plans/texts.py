@@ -107,8 +107,8 @@ def scripts_overgrown(spark, sf):
 
 
 def orphan_rows(spark, sf):
-    """Customers without one of every fifth order."""
-    return store.orphans(read(spark, sf, "customer").select("c_custkey"), read(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers without an order."""
+    return store.orphans(read(spark, sf, "customer").select("c_custkey"), read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 def publication_evidence(spark, sf):
@@ -195,7 +195,7 @@ SELECT doc_id, index, number::INT AS number, {K._in(UNITS[0])}[number + 1] AS ro
 k AS (SELECT unnest({K._lex('text')}) AS t FROM tx) SELECT t, count(*) AS n, NOT ends_with({K._APO}, '''') AND ({K._SUFFIX} OR (ends_with({K._APO}, '''s') AND {K._HOST})) AS contraction, ends_with({K._APO}, '''') OR (ends_with({K._APO}, '''s') AND NOT {K._HOST}) AS possessive FROM k WHERE regexp_matches(t, '[''’]') GROUP BY t""",
     "scripts_introduced": f"WITH {_GREEK}, {K._SCR} SELECT pair_id, script FROM sn ANTI JOIN so USING (pair_id, script)",
     "scripts_overgrown": f"WITH {_GREEK}, {K._SCR}, {K._OVER} SELECT pair_id, script, old_letters, new_letters FROM ov",
-    "orphan_rows": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey % 5 = 0)",
+    "orphan_rows": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
     "publication_evidence": f"""WITH {documents._LEAVES}, ev AS (SELECT doc_id, CASE WHEN k = 5 AND part = 0 THEN 'Said so.' ELSE t || '.' END AS text FROM bk, unnest(range(CASE k WHEN 5 THEN 2 ELSE 1 END)) AS g(part) WHERE k IN (0, 4, 5) OR (k = 3 AND w >= {C.MIN_SENTENTIAL}))
 SELECT doc_id, count(*) AS paragraphs, min(sha256(nfc_normalize(text))) AS first_hash FROM ev GROUP BY doc_id""",
     "assembled_documents": f"""WITH {documents._LEAVES}, bt AS (SELECT doc_id, i, k, doc_id % 10 = 0 AS off, CASE k WHEN 0 THEN t || '.' WHEN 1 THEN '# ' || t WHEN 2 THEN '> ' || t || '.' WHEN 3 THEN '- ' || t || '.' WHEN 4 THEN 'Term' || {_NL} || ': ' || t || '.' ELSE 'Said so.[^' || i || ']' || {_NL} || {_NL} || '[^' || i || ']: ' || t || '.' END AS block FROM bk),
