@@ -72,12 +72,16 @@ def edition_papers(spark, sf):
     each = d.select("doc_id", "name", F.posexplode(_words()).alias("i", "words"))
     n = (F.floor(F.col("i") / 3) % 5 + 1).cast("int")
     numeral = F.concat(F.lit("No. "), F.element_at(F.lit(UNITS[0]), n + 1), F.lit("."))
-    heading = F.array(F.lit(EDITION), numeral, F.lit(""), F.col("words"), F.col("name"), F.lit(""))
+    # a full stop, which words never have, so that a title or body of the same letters isn't taken for it; languages without a name have such a line too
+    said = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    by = F.concat(F.coalesce(said[F.col("name")], F.lit("")), F.lit("."))
+    heading = F.array(F.lit(EDITION), numeral, F.lit(""), F.col("words"), by, F.lit(""))
     lines = F.when(F.col("i") % 3 == 0, heading).otherwise(F.array(F.concat(F.lit("  "), "words"), F.lit("")))
     rows = each.select("doc_id", "i", F.posexplode(lines).alias("k", "line")).select("doc_id", (F.col("i") * 8 + F.col("k")).alias("seg"), "line")
     # numbers of lines without gaps, from the lengths of what stands before
     before = (F.floor(F.col("seg") / 8) * 2 + F.floor((F.floor(F.col("seg") / 8) + 2) / 3) * 4).cast("int")
-    return papers.papers(rows.select("doc_id", (before + F.col("seg") % 8).alias("seg"), "line"), EDITION, NAMES)
+    out = papers.papers(rows.select("doc_id", (before + F.col("seg") % 8).alias("seg"), "line"), EDITION, {f"{n}.": n for n in ("", *NAMES.values())})
+    return out.withColumn("attribution", F.nullif("attribution", F.lit("")))
 
 
 def contraction_flags(spark, sf):
