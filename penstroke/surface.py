@@ -77,7 +77,7 @@ def score(fitted: Profile, segments: DataFrame, evaluated: Evaluation | None = N
 
     A band whose error isn't bounded within its target falls to drifting, which claims nothing.
     """
-    devs = style.deviations(style.standardized(segments, fitted.stats), fitted.reference)
+    devs = style.deviations(materialize(style.standardized(segments, fitted.stats), "standard"), fitted.reference)
     d = style.distances(devs, KEYS).withColumn("distance", F.round("distance", 9))
     apart = evaluated is not None and evaluated.verdict == "separated"
     return gates.calibrated_bands(d, evaluated.low if apart else 0.0, evaluated.high if apart else 0.0, evaluated.emitted if apart else {}, apart)
@@ -136,7 +136,8 @@ def measured(fitted: Profile, texts: DataFrame, evaluated: Evaluation | None = N
     """(key, segments, distance, banded, features) of texts (key, text): how many paragraphs above the floor each is, and of one that is one, its distance,
     whether it falls in a band, and the features that the distance rests on."""
     lines = corpora.lines(texts.select(F.col("key").alias("doc_id"), "text"))
-    devs = style.deviations(style.standardized(style.long_form(style.vectors(lines, floor=C.MIN_LEXICAL).drop("line", "_t")), fitted.stats), fitted.reference)
+    standard = style.standardized(style.long_form(style.vectors(lines, floor=C.MIN_LEXICAL).drop("line")), fitted.stats)
+    devs = style.deviations(materialize(standard, "standard"), fitted.reference)
     used = devs.where("dev is not null").groupBy(*KEYS).agg(F.array_sort(F.collect_set("feature")).alias("features"))
     apart = evaluated is not None and evaluated.verdict == "separated"
     d = style.distances(devs, KEYS).withColumn("distance", F.round("distance", 9))
