@@ -367,6 +367,30 @@ def test_search_bounds_leave_out_no_row(monkeypatch):
             assert got == [(q, round(x, 6), h, i) for q, x, h, i in want]
 
 
+def test_search_bounds_exceed_scores_by_rounding_alone(monkeypatch):
+    r = np.random.default_rng(3)
+    bags = [Counter((r.zipf(1.3, m) % 300).tolist()) for m in np.sort(r.integers(1, 90, 500))]
+    doc, term, tf = (np.array(x) for x in zip(*((d, t, c) for d, b in enumerate(bags) for t, c in sorted(b.items()))))
+    monkeypatch.setattr(search, "DENSE", 20 * 500)
+    index = search.opened(search.build(doc, term, tf) | {"doc_ids": np.arange(500), "has_id": np.ones(500, bool), "lengths": np.bincount(doc, tf, 500)}, 40)
+    assert 0 < len(index["dense"]) < len(index["vocabulary"])
+    codes = [np.searchsorted(index["vocabulary"], sorted(bags[d])) for d in (10, 250, 499)]
+    idf = [np.log(2 + c) for c in codes]
+    bound = search.bounds(index, np.repeat(np.arange(3), [len(c) for c in codes]), np.concatenate(codes), np.concatenate(idf), 3)
+    for row, c, w in zip(bound, codes, idf):
+        idf_of = np.zeros(len(index["vocabulary"]))
+        idf_of[c] = w
+        score = search.exact(index, idf_of, np.arange(500))
+        assert (row >= score).all() and (row <= score * 1.0001).all()
+
+
+def test_search_meets_many_shards_in_few_rounds(spark, monkeypatch):
+    docs, made, write = list(enumerate(prose(400, seed=5))), [], search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name, *more: made.append(name) or write(df, name, *more))
+    search.search(documents(spark, docs), documents(spark, docs[::50]), k=5, postings=400).collect()
+    assert made.count("answers") <= 4  # of some 50 shards
+
+
 # packing
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
